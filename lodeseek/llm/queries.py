@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeseek.llm.byte_bpe import op10_byte_bpe
+from lodeseek.llm.license_scan import op7_license_scan
 from lodeseek.llm.quality_rules import op4_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
+    "op7_license_scan": op7_license_scan,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
