@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from lodeseek.llm.byte_bpe import op10_byte_bpe
 from lodeseek.llm.license_scan import op7_license_scan
 from lodeseek.llm.quality_rules import op4_quality_rules
+from lodeseek.llm import warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op7_license_scan": op7_license_scan,
+    "op9_warc": warc.op9_warc,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": warc.ORACLE,
+}
