@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeseek.llm.byte_bpe import op10_byte_bpe
+from lodeseek.llm.language_id import op1_language_id
 from lodeseek.llm.license_scan import op7_license_scan
 from lodeseek.llm.quality_rules import op4_quality_rules
 from lodeseek.llm import warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op7_license_scan": op7_license_scan,
     "op9_warc": warc.op9_warc,
