@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import islice
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,8 +30,8 @@ from pyspark.sql import types as T
 from lodeseek.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens whose ids a worker remembers before it starts afresh.
-MEMO_ENTRIES = 200_000
+#: Pre-tokens whose ids a worker remembers (about 200 bytes each) before it starts afresh.
+MEMO_ENTRIES = 800_000
 #: Pre-tokens of one text that are handled at a time.
 SLICE = 65_536
 #: Pre-tokens longer than this many characters are not remembered.
@@ -106,6 +108,7 @@ class Vocabulary:
     tokens: list[bytes]
     hashed: PerfectHash
     id_at_slot: list[int]
+    mark: str = ""
     ranks: dict[bytes, int] = field(default_factory=dict)
 
     @classmethod
@@ -120,7 +123,7 @@ class Vocabulary:
             tokens[rank] = key
         keys = list(ranks)
         hashed, slots = PerfectHash.build(keys)
-        return cls(tokens, hashed, [ranks[keys[place]] for place in slots])
+        return cls(tokens, hashed, [ranks[keys[place]] for place in slots], xxhash.xxh3_128_hexdigest(lines))
 
     def whole(self, piece: bytes) -> int | None:
         """The id of piece if it is a vocabulary entry."""
@@ -158,7 +161,7 @@ class Vocabulary:
         return self.ranks
 
     def __getstate__(self) -> dict:
-        return {"tokens": self.tokens, "hashed": self.hashed, "id_at_slot": self.id_at_slot, "ranks": {}}
+        return {"tokens": self.tokens, "hashed": self.hashed, "id_at_slot": self.id_at_slot, "mark": self.mark, "ranks": {}}
 
 
 class Encoder(dict):
@@ -172,7 +175,7 @@ class Encoder(dict):
         raw = piece.encode()
         found = self.vocabulary.whole(raw)
         ids = self.vocabulary.merged(raw) if found is None else [found]
-        packed = np.array(ids, "<u4").tobytes()
+        packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= MEMO_CHARS:
             self[piece] = packed
         return packed
@@ -190,6 +193,18 @@ class Encoder(dict):
         return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
+#: A worker process keeps the encoder of the broadcast that it last used, with what it remembers, for its next task.
+_LAST: list = [None, None]
+
+
+def _encoder(shared: Broadcast, pattern: str) -> Encoder:
+    """The vocabulary's own mark tells broadcasts apart: a worker unpickles it anew for each task."""
+    mark = (shared.value.mark, pattern)
+    if _LAST[0] != mark:
+        _LAST[:] = [mark, Encoder(shared.value, pattern)]
+    return _LAST[1]
+
+
 def load(spark: SparkSession, path: str) -> Vocabulary:
     """Read a rank file, by Spark if its path has a scheme, else from the driver's disk."""
     if "://" in path:
@@ -212,7 +227,7 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: Vocabulary, pattern:
     schema = T.StructType([T.StructField("key", kept), T.StructField("n_tokens", T.LongType()), T.StructField("ids", ids_type), T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, pattern)
+        encoder = _encoder(shared, pattern)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
