@@ -356,7 +356,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     A response's size and digest are taken from the payload that was read, a revisit's from its headers.
     """
     path = fresh_path(spark, "warc")
-    write_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    write_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path, compression="gzip")
     response = F.col("record_type") == "response"
     back = read_pages(spark, path).withColumns({"read_bytes": F.octet_length("payload").cast("long"), "read_hex": F.sha1("payload")})
     return back.select(
