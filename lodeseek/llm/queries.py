@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodeseek.llm import warc
 from lodeseek.llm.byte_bpe import op10_byte_bpe
+from lodeseek.llm.html_text import op3_html_text
 from lodeseek.llm.language_id import op1_language_id
 from lodeseek.llm.license_scan import op7_license_scan
 from lodeseek.llm.quality_rules import op4_quality_rules
@@ -16,6 +17,7 @@ from lodeseek.llm.toxicity import op2_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
+    "op3_html_text": op3_html_text,
     "op4_quality_rules": op4_quality_rules,
     "op7_license_scan": op7_license_scan,
     "op9_warc": warc.op9_warc,
