@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeseek.llm import warc
+from lodeseek.llm.ann_tree import op6_ann_tree
 from lodeseek.llm.byte_bpe import op10_byte_bpe
 from lodeseek.llm.html_text import op3_html_text
 from lodeseek.llm.language_id import op1_language_id
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_html_text": op3_html_text,
     "op4_quality_rules": op4_quality_rules,
+    "op6_ann_tree": op6_ann_tree,
     "op7_license_scan": op7_license_scan,
     "op9_warc": warc.op9_warc,
     "op10_byte_bpe": op10_byte_bpe,
