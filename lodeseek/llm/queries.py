@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeseek.llm import warc
+from lodeseek.llm import mixing, warc
 from lodeseek.llm.ann_tree import op6_ann_tree
 from lodeseek.llm.byte_bpe import op10_byte_bpe
 from lodeseek.llm.html_text import op3_html_text
@@ -22,10 +22,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op6_ann_tree": op6_ann_tree,
     "op7_license_scan": op7_license_scan,
+    "op8_mixing": mixing.op8_mixing,
     "op9_warc": warc.op9_warc,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_mixing": mixing.oracle(),
     "op9_warc": warc.ORACLE,
 }
