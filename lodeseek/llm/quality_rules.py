@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import SPACE_CLASS, share_below, table
+from lodeseek.llm.common import SPACE_CLASS, share_below, table, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
@@ -36,6 +36,10 @@ MAX_CONDITIONS = 3
 MIN_PRECISION = 0.9
 MIN_TAKEN = 3
 
+#: Always 0, but not deterministic: filters on the measures stay above the projection that makes
+#: them. Moved below, they would measure each text once more for each place where a measure is used.
+STAY = "CAST(floor(rand(0)) AS BIGINT)"
+
 #: Feature name -> expression over the measures; ratios are to the words, lines or code points of the text.
 FEATURES: dict[str, str] = {
     "mean_word_chars": "word_chars / n_words",
@@ -81,7 +85,7 @@ def measures(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     # Starts ascending: each covers WINDOW words, less what the one before has covered.
     covered = f"aggregate({starts}, named_struct('last', -{WINDOW}, 'n', 0L), (a, x) -> named_struct('last', x, 'n', a.n + least({WINDOW}, x - a.last)), a -> a.n)"
     counted = twice.selectExpr(
-        *keep, "CAST(size(_w) AS BIGINT) AS n_words", "CAST(length(array_join(_w, '')) AS BIGINT) AS word_chars",
+        *keep, f"CAST(size(_w) AS BIGINT) + {STAY} AS n_words", "CAST(length(array_join(_w, '')) AS BIGINT) AS word_chars",
         f"CAST({_removed('_text', '[' + SYMBOLS + ']+')} AS BIGINT) AS n_symbols",
         "CAST(size(_lines) AS BIGINT) AS n_lines", "CAST(size(_lines) - size(array_distinct(_lines)) AS BIGINT) AS n_dup_lines",
         f"{covered} AS n_repeat_words",
@@ -209,7 +213,8 @@ def learn(documents: DataFrame, labels: DataFrame, key: str, text: str, label: s
     chosen = known.where(share_below(F.col("_key"), rows / n, 11))
     # Bounded by rows (about 16 bytes each), so the larger side isn't shuffled.
     joined = documents.select(F.col(key).alias("_key"), F.col(text).alias("_body")).join(F.broadcast(chosen), "_key")
-    return cover(*labelled_counts(measures(joined, "_body", ["_key", "_label"]), "_label", "_key"))
+    measured = written(measures(joined, "_body", ["_key", "_label"]), "quality")  # read twice: for the cuts, then the counts
+    return cover(*labelled_counts(measured, "_label", "_key"))
 
 
 def verdict(rules: list[Rule]) -> Column:
