@@ -12,6 +12,7 @@ from lodeseek.llm.byte_bpe import op10_byte_bpe
 from lodeseek.llm.html_text import op3_html_text
 from lodeseek.llm.language_id import op1_language_id
 from lodeseek.llm.license_scan import op7_license_scan
+from lodeseek.llm.near_dedup import op5_near_dedup
 from lodeseek.llm.quality_rules import op4_quality_rules
 from lodeseek.llm.toxicity import op2_toxicity
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_html_text": op3_html_text,
     "op4_quality_rules": op4_quality_rules,
+    "op5_near_dedup": op5_near_dedup,
     "op6_ann_tree": op6_ann_tree,
     "op7_license_scan": op7_license_scan,
     "op8_mixing": mixing.op8_mixing,
