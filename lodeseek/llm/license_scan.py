@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from lodeseek.llm.common import table
 
-#: Words: runs of digits, letters and anything beyond ASCII, after A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words; words are runs of digits, letters and anything beyond ASCII, after A-Z are lower-cased.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: k of a phrase's and of a text template's k-grams.
 PHRASE_K, TEXT_K = 2, 4
 #: Most words inserted or left out between two diagonals that are merged.
@@ -78,7 +78,8 @@ def templates(phrases: dict[str, str], texts: dict[str, str]) -> list[Template]:
 
 def words(text: Column) -> Column:
     """The text's words. lower() makes the Kelvin sign an ASCII k, and A-Z only are to be lower-cased, so another letter replaces it."""
-    return F.regexp_extract_all(F.lower(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("K"), F.lit("ĸ"))), F.lit(WORD), F.lit(0))
+    lowered = F.lower(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
+    return F.array_remove(F.split(lowered, BETWEEN), "")
 
 
 def _template_positions(spark: SparkSession, known: list[Template]) -> DataFrame:
