@@ -6,12 +6,13 @@ over all documents. Counts are kept in a count-min sketch of fixed size: it can'
 frequent shingle, and RARE is chosen so that its error is below what the weight distinguishes.
 
 ICWS draws, for each of BANDS * ROWS seeds, one shingle of a text such that two texts draw alike
-with probability equal to their weighted Jaccard similarity. Bands of draws make buckets. Within a
-bucket no pairs are listed: all members are verified against one of them, the hub, by exact
-weighted Jaccard similarity. Members that aren't similar to it stay for another round with a hub
-of their own, along with those similar ones that could yet be similar to them (distance is a
-metric, so the others can't). So each pair of a bucket is either compared, or linked through a hub,
-or ruled out. Links are closed to groups by alternating large-star and small-star steps.
+with probability equal to their weighted Jaccard similarity. Bands of draws make buckets. Texts
+connected by buckets are a family. Within a family of bounded size one task compares all pairs that
+share a bucket, by exact weighted Jaccard similarity, save those that are connected already. In
+larger families no pairs are listed: a bucket's members are verified against one of them, the hub,
+and only those that aren't similar to it are compared further, in blocks, with the members that
+distances to the hub don't rule out. So each pair of a bucket is compared, connected or ruled out.
+Links are closed to groups by alternating large-star and small-star steps.
 
 Texts of the same words are one text from the start, so copies cost nothing more.
 
@@ -42,6 +43,8 @@ BANDS, ROWS = 16, 4
 DOCS_AT_A_TIME = 128
 #: The sketch: counters in a row, rows, counters in a block of a row, and sketches that one task sums.
 SKETCH_WIDTH, SKETCH_ROWS, SKETCH_BLOCK, SKETCH_FAN = 1 << 20, 2, 1 << 15, 64
+#: A family of texts with no more texts and shingles is resolved in one task (about 40 MB); members of a large bucket are dealt into blocks of so many.
+FAMILY_ROWS, FAMILY_SHINGLES, BLOCK_ROWS = 2_048, 3_000_000, 512
 #: A shingle in less than one of RARE texts has full weight, twice that of one in every text.
 RARE = 500
 LEVELS = 200
@@ -226,7 +229,7 @@ def frequencies(docs: DataFrame, text: str) -> Weights:
 
 
 def signatures(docs: DataFrame, key: str, text: str, weights: Weights) -> DataFrame:
-    """key, tid (the words' 128-bit hash; null without words) and buckets of every row."""
+    """key, tid (the words' 128-bit hash; null without words), shingles (their number) and buckets of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,16 +247,19 @@ def signatures(docs: DataFrame, key: str, text: str, weights: Weights) -> DataFr
                 sets.append(shingles)
                 counts.append(times)
             buckets: list[np.ndarray | None] = [None] * len(tids)
+            sizes: list[int | None] = [None] * len(tids)
             if sets:
+                lengths = iter(map(len, sets))
+                sizes = [next(lengths) if t else None for t in tids]
                 shingles = np.concatenate(sets)
                 weight = shared.value.of(shingles) * np.concatenate(counts).astype(np.float32)
                 starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
                 keys = iter(bucket_keys(draws(shingles, weight, starts)))
                 buckets = [next(keys) if t else None for t in tids]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tids, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], names=["key", "tid", "buckets"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], names=["key", "tid", "shingles", "buckets"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, tid binary, buckets array<long>")
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, tid binary, shingles long, buckets array<long>")
 
 
 def weighted_sets(texts: DataFrame, weights: Weights) -> DataFrame:
@@ -284,45 +290,151 @@ def similarity(a: bytes, wa: bytes, b: bytes, wb: bytes) -> float:
     return float(common / (u.sum() + v.sum() - common))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (tid, hub) with sim. Both joins are on keys of which one side is unique; Spark splits skewed partitions."""
+class Sets:
+    """Weighted sets held in memory, and what is known of their links."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        self.tid = rows.column("tid").to_pylist()
+        self.names = [np.frombuffer(x, np.uint32) for x in rows.column("shingles").to_pylist()]
+        self.weight = [np.frombuffer(x, np.float32).astype(float) for x in rows.column("weight").to_pylist()]
+        self.total = [w.sum() for w in self.weight]
+        self.root = list(range(len(self.tid)))
+        self.links: list[tuple[int, int, float]] = []
+        self.compared: set[tuple[int, int]] = set()
+
+    def find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = i = self.root[self.root[i]]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        i, j = self.find(i), self.find(j)
+        self.root[max(i, j)] = min(i, j)
+
+    def similarity(self, i: int, j: int) -> float:
+        if min(self.total[i], self.total[j]) < SIMILAR * max(self.total[i], self.total[j]):
+            return 0.0  # sums this far apart can't be similar
+        if len(self.names[i]) > len(self.names[j]):
+            i, j = j, i
+        at = np.minimum(np.searchsorted(self.names[j], self.names[i]), len(self.names[j]) - 1)
+        both = self.names[j][at] == self.names[i]
+        common = np.minimum(self.weight[i][both], self.weight[j][at[both]]).sum()
+        return float(common / (self.total[i] + self.total[j] - common))
+
+    def compare(self, i: int, j: int) -> None:
+        """Link i and j if they are similar, unless they are connected or were compared already."""
+        pair = (min(i, j), max(i, j))
+        if pair in self.compared or self.find(i) == self.find(j):
+            return
+        self.compared.add(pair)
+        if (sim := self.similarity(i, j)) >= SIMILAR:
+            self.join(i, j)
+            self.links.append((i, j, sim))
+
+    def found(self) -> pa.Table:
+        i, j, sim = zip(*self.links, strict=True) if self.links else ((), (), ())
+        return pa.table({"tid": pa.array([self.tid[x] for x in i], pa.binary()), "hub": pa.array([self.tid[x] for x in j], pa.binary()), "sim": pa.array(sim, pa.float64())})
+
+
+_LINK = "tid binary, hub binary, sim double"
+
+
+def _family_links(families: DataFrame) -> DataFrame:
+    """Links within families of bounded size (family, tid, buckets, shingles, weight): all pairs that share a bucket, unless they are connected."""
+
+    def resolve(rows: pa.Table) -> pa.Table:
+        sets = Sets(rows)
+        in_bucket: dict[int, list[int]] = {}
+        for i, buckets in enumerate(rows.column("buckets").to_pylist()):
+            for b in buckets:
+                in_bucket.setdefault(b, []).append(i)
+        for members in in_bucket.values():
+            for n, i in enumerate(members):
+                for j in members[:n]:
+                    sets.compare(i, j)
+        return sets.found()
+
+    return families.groupBy("family").applyInArrow(resolve, _LINK)
+
+
+def _hub_links(in_large: DataFrame, sets: DataFrame) -> DataFrame:
+    """tid, hub, sim of each member of a bucket (bucket, tid) and the bucket's smallest, similar or not.
+
+    Both joins are on keys of which one side is unique; Spark splits skewed partitions.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sims = [similarity(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["tid", "hub", "sim"])
 
+    hubs = in_large.groupBy("bucket").agg(F.min("tid").alias("hub"))
+    pairs = in_large.join(hubs, "bucket").where("tid <> hub").select("tid", "hub").dropDuplicates()
     one = sets.select("tid", F.col("shingles").alias("a"), F.col("weight").alias("wa"))
     two = sets.select(F.col("tid").alias("hub"), F.col("shingles").alias("b"), F.col("weight").alias("wb"))
-    return pairs.join(one, "tid").join(two, "hub").select("tid", "hub", "a", "wa", "b", "wb").mapInArrow(run, "tid binary, hub binary, sim double")
-
-
-def links(docs: DataFrame, signed: DataFrame, key: str, text: str, weights: Weights) -> DataFrame | None:
-    """tid, hub, sim of similar pairs of different texts, enough to connect all that share a bucket and are similar."""
-    texts = signed.where("tid IS NOT NULL").groupBy("tid").agg(F.min("key").alias("rep"), F.first("buckets").alias("buckets"))
-    in_buckets = texts.select("tid", "rep", F.explode("buckets").alias("bucket"))
-    shared = in_buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = written(in_buckets.join(shared, "bucket").select("bucket", "tid", "rep", F.lit(True).alias("may_lead")), "dedup-members")
-    wanted = members.select("tid", "rep").dropDuplicates(["tid"])
+    return pairs.join(one, "tid").join(two, "hub").select("tid", "hub", "a", "wa", "b", "wb").mapInArrow(run, _LINK)
+
+
+def _block_links(in_large: DataFrame, judged: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of those members of a bucket that aren't similar to its hub, to any other member.
+
+    A member that isn't similar is compared with all others of the bucket but those that the
+    distances to the hub rule out (distance is a metric). Members are dealt into blocks: a task has
+    a block of those that aren't similar and one of the others, BLOCK_ROWS each.
+    """
+    hubs = in_large.groupBy("bucket").agg(F.min("tid").alias("hub"))
+    known = in_large.join(hubs, "bucket").where("tid <> hub").join(judged, ["tid", "hub"]).select("bucket", "tid", "sim")
+    counts = known.groupBy("bucket").agg(F.count("*").alias("all"), F.count_if(F.col("sim") < SIMILAR).alias("apart"), F.max(F.when(F.col("sim") < SIMILAR, F.col("sim"))).alias("nearest")).where("apart > 0")
+    # One that is similar to the hub, and nearer to it than all that aren't are by more than 1 - SIMILAR, can't be similar to any of them.
+    open_ = known.join(counts, "bucket").where((F.col("sim") < SIMILAR) | ((1 - F.col("sim")) >= (1 - F.col("nearest")) - (1 - SIMILAR)))
+    block = lambda n: F.pmod(F.xxhash64("tid"), F.ceil(F.col(n) / BLOCK_ROWS)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / BLOCK_ROWS).cast("int") - 1))
+    asking = open_.where(F.col("sim") < SIMILAR).select("bucket", "tid", "sim", block("apart").alias("x"), each("all").alias("y"), F.lit(True).alias("asks"))
+    asked = open_.select("bucket", "tid", "sim", each("apart").alias("x"), block("all").alias("y"), F.lit(False).alias("asks"))
+    dealt = asking.unionByName(asked).join(sets.select("tid", "shingles", "weight"), "tid")
+
+    def resolve(rows: pa.Table) -> pa.Table:
+        held = Sets(rows)
+        asks, sim = rows.column("asks").to_pylist(), rows.column("sim").to_pylist()
+        others = [i for i, a in enumerate(asks) if not a]
+        first: int | None = None
+        for j in others:  # those similar to the hub are connected through it
+            if sim[j] >= SIMILAR:
+                first = j if first is None else first
+                held.join(first, j)
+        for i in (i for i, a in enumerate(asks) if a):
+            for j in others:
+                if held.tid[i] != held.tid[j] and abs(sim[i] - sim[j]) <= 1 - SIMILAR + 1e-9:
+                    held.compare(i, j)
+        return held.found()
+
+    return dealt.groupBy("bucket", "x", "y").applyInArrow(resolve, _LINK)
+
+
+def links(docs: DataFrame, signed: DataFrame, key: str, text: str, weights: Weights) -> DataFrame:
+    """tid, hub, sim of similar pairs of different texts, enough to connect all that share a bucket and are similar.
+
+    Texts connected by buckets are a family. A family of bounded size is resolved in one task. In
+    larger ones each bucket's members are verified against its hub, and those that fail in blocks.
+    """
+    texts = signed.where("tid IS NOT NULL").groupBy("tid").agg(F.min("key").alias("rep"), F.max("shingles").alias("size"), F.first("buckets").alias("buckets"))
+    in_buckets = texts.select("tid", F.explode("buckets").alias("bucket"))
+    shared = in_buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("tid").alias("hub")).where("n > 1").select("bucket", "hub")
+    members = written(in_buckets.join(shared, "bucket").select("bucket", "tid", "hub"), "dedup-members")
+    roots = components(members.where("tid <> hub").select(F.col("tid").alias("a"), F.col("hub").alias("b")))
+    family = written(roots.select(F.col("node").alias("tid"), F.col("root").alias("family")).unionByName(roots.select(F.col("root").alias("tid"), F.col("root").alias("family")).dropDuplicates()), "dedup-family")
+    wanted = written(texts.join(family, "tid"), "dedup-wanted")
+    large = written(wanted.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("all")).where((F.col("n") > FAMILY_ROWS) | (F.col("all") > FAMILY_SHINGLES)).select("family"), "dedup-large")
     # The text of a tid is that of any row with its words; rows of one id may hold other texts, so the hash decides.
     body = docs.select(F.col(key).alias("rep"), F.col(text).cast("string").alias("text"))
-    candidates = body.join(wanted, "rep")
-    sets = written(weighted_sets(_own_text(candidates), weights).dropDuplicates(["tid"]), "dedup-sets")
-    found = None
-    members = members.drop("rep")
-    while not members.isEmpty():
-        hubs = members.groupBy("bucket").agg(F.min(F.when(F.col("may_lead"), F.col("tid"))).alias("hub"))
-        against = members.join(hubs, "bucket").where("tid <> hub").select("bucket", "tid", "hub")
-        judged = written(_verified(against.select("tid", "hub").dropDuplicates(), sets), "dedup-judged")
-        similar = judged.where(F.col("sim") >= SIMILAR)
-        found = similar if found is None else found.unionByName(similar)
-        again = against.join(judged, ["tid", "hub"]).withColumn("may_lead", F.col("sim") < SIMILAR)
-        nearest = again.where("may_lead").groupBy("bucket").agg(F.max("sim").alias("nearest"), F.count("*").alias("n"))
-        # A similar member can be similar to one that isn't if its distance to the hub is within 1 - SIMILAR of the other's.
-        kept = again.join(nearest, "bucket").where("may_lead OR (1 - sim) >= (1 - nearest) - (1 - %s)" % SIMILAR)
-        counted = kept.groupBy("bucket").agg(F.count("*").alias("all")).where("all > 1").select("bucket")
-        members = written(kept.join(counted, "bucket").select("bucket", "tid", "may_lead"), "dedup-members")
-    return found
+    sets = written(weighted_sets(_own_text(body.join(wanted.select("tid", "rep"), "rep")), weights).dropDuplicates(["tid"]), "dedup-sets")
+    small = wanted.join(large, "family", "left_anti").select("family", "tid", "buckets").join(sets, "tid")
+    found = _family_links(small)
+    if large.isEmpty():
+        return written(found, "dedup-links")
+    in_large = written(members.select("bucket", "tid").join(wanted.join(large, "family", "left_semi").select("tid"), "tid"), "dedup-in-large")
+    judged = written(_hub_links(in_large, sets), "dedup-judged")
+    return written(found.unionByName(judged.where(F.col("sim") >= SIMILAR)).unionByName(_block_links(in_large, judged, sets)), "dedup-links")
 
 
 def _own_text(candidates: DataFrame) -> DataFrame:
@@ -371,10 +483,8 @@ def groups(docs: DataFrame, key: str, text: str) -> DataFrame:
     weights = frequencies(docs, text)
     signed = written(signatures(docs, key, text, weights), "dedup-signatures")
     found = links(docs, signed, key, text, weights)
-    rows = signed.select("key", "tid")
-    if found is not None:
-        roots = components(found.select(F.col("tid").alias("a"), F.col("hub").alias("b")))
-        rows = rows.join(roots, F.col("tid") == F.col("node"), "left").select("key", F.coalesce("root", "tid").alias("tid"))
+    roots = components(found.select(F.col("tid").alias("a"), F.col("hub").alias("b")))
+    rows = signed.select("key", "tid").join(roots, F.col("tid") == F.col("node"), "left").select("key", F.coalesce("root", "tid").alias("tid"))
     # Summed up before the shuffle; the join back is on a key that is unique on one side.
     least = rows.where("tid IS NOT NULL").groupBy("tid").agg(F.min("key").alias("class_id"))
     return rows.join(least, "tid", "left").select(F.col("key").alias(key), F.coalesce("class_id", "key").alias("class_id"))
