@@ -50,22 +50,30 @@ class PerfectHash:
     buckets: int
     shift: np.ndarray
     stride: np.ndarray
+    seed: int = 0
 
     @staticmethod
-    def _parts(key: bytes, n: int, buckets: int) -> tuple[int, int, int]:
-        h = xxhash.xxh3_128_intdigest(key)
+    def _parts(key: bytes, n: int, buckets: int, seed: int) -> tuple[int, int, int]:
+        h = xxhash.xxh3_128_intdigest(key, seed)
         return (h >> 96) % buckets, (h & 0xFFFFFFFF) % n, 1 + ((h >> 40) & 0xFFFFFFFF) % max(1, n - 1)
 
     @classmethod
     def build(cls, keys: list[bytes]) -> tuple[PerfectHash, list[int]]:
         """The hash, and for each slot the place in keys of the key that has it."""
-        n = len(keys)
-        if len(set(keys)) != n:
+        if len(set(keys)) != len(keys):
             raise ValueError("keys of a perfect hash must differ")
+        for seed in range(1000):  # few keys may collide in all their offsets; then another seed parts them
+            if found := cls._try(keys, seed):
+                return found
+        raise ValueError("no perfect hash found")
+
+    @classmethod
+    def _try(cls, keys: list[bytes], seed: int) -> tuple[PerfectHash, list[int]] | None:
+        n = len(keys)
         buckets = max(1, n // 4)
         members: list[list[tuple[int, int, int]]] = [[] for _ in range(buckets)]
         for place, key in enumerate(keys):
-            bucket, start, step = cls._parts(key, n, buckets)
+            bucket, start, step = cls._parts(key, n, buckets, seed)
             members[bucket].append((place, start, step))
         shift, stride = np.zeros(buckets, np.uint32), np.zeros(buckets, np.uint32)
         slots = [-1] * n
@@ -81,23 +89,25 @@ class PerfectHash:
                 shift[bucket] = (free_from - start) % n
                 slots[free_from] = place
                 continue
-            a, b = cls._displace(group, slots, n)
+            if not (found := cls._displace(group, slots, n)):
+                return None
+            a, b = found
             shift[bucket], stride[bucket] = a, b
             for place, start, step in group:
                 slots[(start + a + b * step) % n] = place
-        return cls(n, buckets, shift, stride), slots
+        return cls(n, buckets, shift, stride, seed), slots
 
     @staticmethod
-    def _displace(group: list[tuple[int, int, int]], slots: list[int], n: int) -> tuple[int, int]:
-        for b in range(n):
+    def _displace(group: list[tuple[int, int, int]], slots: list[int], n: int) -> tuple[int, int] | None:
+        for b in range(min(n, 4096)):
             for a in range(min(n, 256)):
                 taken = {(start + a + b * step) % n for _, start, step in group}
                 if len(taken) == len(group) and all(slots[t] < 0 for t in taken):
                     return a, b
-        raise ValueError("no displacement found")
+        return None
 
     def slot(self, key: bytes) -> int:
-        bucket, start, step = self._parts(key, self.n, self.buckets)
+        bucket, start, step = self._parts(key, self.n, self.buckets, self.seed)
         return (start + int(self.shift[bucket]) + int(self.stride[bucket]) * step) % self.n
 
 
