@@ -9,9 +9,9 @@ ICWS draws, for each of BANDS * ROWS seeds, one shingle of a text such that two
 with probability equal to their weighted Jaccard similarity. Bands of draws make buckets. Texts
 connected by buckets are a family. Within a family of bounded size one task compares all pairs that
 share a bucket, by exact weighted Jaccard similarity, save those that are connected already. In
-larger families no pairs are listed: a bucket's members are verified against one of them, the hub,
-and only those that aren't similar to it are compared further, in blocks, with the members that
-distances to the hub don't rule out. So each pair of a bucket is compared, connected or ruled out.
+larger families no pairs are listed: a bucket's members are verified against two of them, the hubs,
+and only those that this leaves unconnected are compared further, in blocks, with the members that
+distances to a hub don't rule out. So each pair of a bucket is compared, connected or ruled out.
 Links are closed to groups by alternating large-star and small-star steps.
 
 Texts of the same words are one text from the start, so copies cost nothing more.
@@ -41,6 +41,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 16, 4
 #: Documents in one batch of a worker.
 DOCS_AT_A_TIME = 128
+#: Words whose hashes a task remembers (about 150 bytes each) before it starts afresh.
+REMEMBERED_WORDS = 200_000
 #: The sketch: counters in a row, rows, counters in a block of a row, and sketches that one task sums.
 SKETCH_WIDTH, SKETCH_ROWS, SKETCH_BLOCK, SKETCH_FAN = 1 << 20, 2, 1 << 15, 64
 #: A family of texts with no more texts and shingles is resolved in one task (about 40 MB); members of a large bucket are dealt into blocks of so many.
@@ -63,21 +65,25 @@ class Shingler:
     """Shingle hashes of texts; remembers words' hashes."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.place: dict[str, int] = {}
+        self.hashes = np.zeros(1 << 12, np.uint64)
 
     def words(self, text: str) -> tuple[list[str], np.ndarray]:
         found = _WORD.findall(text.lower())
-        known = self.known
+        place = self.place
         try:
-            codes = [known[w] for w in found]
+            at = [place[w] for w in found]
         except KeyError:
-            if len(known) > 500_000:
-                known.clear()
+            if len(place) > REMEMBERED_WORDS:
+                place.clear()
             for w in found:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            codes = [known[w] for w in found]
-        return found, np.array(codes, np.uint64)
+                if w not in place:
+                    if len(place) == len(self.hashes):
+                        self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+                    self.hashes[len(place)] = xxhash.xxh3_64_intdigest(w)
+                    place[w] = len(place)
+            at = [place[w] for w in found]
+        return found, self.hashes[np.array(at, np.int32)] if at else np.zeros(0, np.uint64)
 
     @staticmethod
     def shingles(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,14 +194,11 @@ def frequencies(docs: DataFrame, text: str) -> Weights:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sketch, n = Shingler(), np.zeros((SKETCH_ROWS, SKETCH_WIDTH), np.int64), 0
         for part in _parts(batches):
-            for body in part.column(0).to_pylist():
-                if body and len(codes := shingler.words(body)[1]):
-                    n += 1
-                    shingles, _ = shingler.shingles(codes)
-                    for r, places in enumerate(_places(shingles)):
-                        sketch[r] += np.bincount(places, minlength=SKETCH_WIDTH) if len(places) > SKETCH_WIDTH // 8 else 0
-                        if len(places) <= SKETCH_WIDTH // 8:
-                            np.add.at(sketch[r], places, 1)
+            coded = [codes for body in part.column(0).to_pylist() if body and len(codes := shingler.words(body)[1])]
+            n += len(coded)
+            if coded:
+                for r, places in enumerate(_places(np.concatenate([shingler.shingles(codes)[0] for codes in coded]))):
+                    np.add.at(sketch[r], places, 1)
         slot = TaskContext.get().partitionId()
         yield from _sketch_rows(sketch, slot)
         if n:
@@ -262,22 +265,26 @@ def signatures(docs: DataFrame, key: str, text: str, weights: Weights) -> DataFr
     return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, tid binary, shingles long, buckets array<long>")
 
 
-def weighted_sets(texts: DataFrame, weights: Weights) -> DataFrame:
-    """tid and its weighted shingles (32 bits of each, ascending; weight) from tid, text."""
-    shared = texts.sparkSession.sparkContext.broadcast(weights)
+def weighted_sets(candidates: DataFrame, weights: Weights) -> DataFrame:
+    """tid and its weighted shingles (32 bits of each, ascending; weight) from those rows tid, text whose text has the hash tid."""
+    shared = candidates.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for part in _parts(batches):
-            names, values = [], []
-            for body in part.column(1).to_pylist():
-                shingles, times = shingler.shingles(shingler.words(body)[1])
+            tids, names, values = [], [], []
+            for tid, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                found, codes = shingler.words(body or "")
+                if not found or xxhash.xxh3_128_digest(" ".join(found)) != tid:
+                    continue
+                shingles, times = shingler.shingles(codes)
                 short, where = np.unique((shingles >> np.uint64(32)).astype(np.uint32), return_inverse=True)
+                tids.append(tid)
                 names.append(short.tobytes())
                 values.append(np.bincount(where, shared.value.of(shingles) * times).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.binary()), pa.array(values, pa.binary())], names=["tid", "shingles", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array(tids, pa.binary()), pa.array(names, pa.binary()), pa.array(values, pa.binary())], names=["tid", "shingles", "weight"])
 
-    return texts.select("tid", "text").mapInArrow(run, "tid binary, shingles binary, weight binary")
+    return candidates.select("tid", "text").mapInArrow(run, "tid binary, shingles binary, weight binary")
 
 
 def similarity(a: bytes, wa: bytes, b: bytes, wb: bytes) -> float:
@@ -358,50 +365,50 @@ def _family_links(families: DataFrame) -> DataFrame:
 
 
 def _hub_links(in_large: DataFrame, sets: DataFrame) -> DataFrame:
-    """tid, hub, sim of each member of a bucket (bucket, tid) and the bucket's smallest, similar or not.
+    """tid, hub, sim of each member of a bucket (bucket, tid, low, high) and two others, the hubs low and high, similar or not.
 
     Both joins are on keys of which one side is unique; Spark splits skewed partitions.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sims = [similarity(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["tid", "hub", "sim"])
+        for part in _parts(batches):
+            sims = [similarity(*row) for row in zip(*(part.column(i).to_pylist() for i in range(2, 6)), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sims, pa.float64())], names=["tid", "hub", "sim"])
 
-    hubs = in_large.groupBy("bucket").agg(F.min("tid").alias("hub"))
-    pairs = in_large.join(hubs, "bucket").where("tid <> hub").select("tid", "hub").dropDuplicates()
+    pairs = in_large.select("tid", F.explode(F.array("low", "high")).alias("hub")).where("tid <> hub").dropDuplicates()
     one = sets.select("tid", F.col("shingles").alias("a"), F.col("weight").alias("wa"))
     two = sets.select(F.col("tid").alias("hub"), F.col("shingles").alias("b"), F.col("weight").alias("wb"))
     return pairs.join(one, "tid").join(two, "hub").select("tid", "hub", "a", "wa", "b", "wb").mapInArrow(run, _LINK)
 
 
 def _block_links(in_large: DataFrame, judged: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of those members of a bucket that aren't similar to its hub, to any other member.
+    """Links between those members of a bucket that the links to hubs have not connected.
 
-    A member that isn't similar is compared with all others of the bucket but those that the
-    distances to the hub rule out (distance is a metric). Members are dealt into blocks: a task has
-    a block of those that aren't similar and one of the others, BLOCK_ROWS each.
+    Members that aren't connected with the bucket's low hub ask all others of the bucket, but those
+    that the distances to this hub rule out (distance is a metric). Members are dealt into blocks:
+    a task has a block of those that ask and one of the others, BLOCK_ROWS each.
     """
-    hubs = in_large.groupBy("bucket").agg(F.min("tid").alias("hub"))
-    known = in_large.join(hubs, "bucket").where("tid <> hub").join(judged, ["tid", "hub"]).select("bucket", "tid", "sim")
-    counts = known.groupBy("bucket").agg(F.count("*").alias("all"), F.count_if(F.col("sim") < SIMILAR).alias("apart"), F.max(F.when(F.col("sim") < SIMILAR, F.col("sim"))).alias("nearest")).where("apart > 0")
-    # One that is similar to the hub, and nearer to it than all that aren't are by more than 1 - SIMILAR, can't be similar to any of them.
-    open_ = known.join(counts, "bucket").where((F.col("sim") < SIMILAR) | ((1 - F.col("sim")) >= (1 - F.col("nearest")) - (1 - SIMILAR)))
+    roots = components(judged.where(F.col("sim") >= SIMILAR).select(F.col("tid").alias("a"), F.col("hub").alias("b")))
+    part_of = lambda tid, name: roots.select(F.col("node").alias(tid), F.col("root").alias(name))
+    placed = in_large.join(part_of("tid", "part"), "tid", "left").join(part_of("low", "low_part"), "low", "left")
+    placed = placed.select("bucket", "tid", F.col("low").alias("hub"), F.coalesce("part", "tid").alias("part"), F.coalesce("low_part", "low").alias("low_part"))
+    known = placed.join(judged, ["tid", "hub"], "left").select("bucket", "tid", "part", F.coalesce("sim", F.lit(1.0)).alias("sim"), (F.col("part") != F.col("low_part")).alias("apart"))
+    counts = known.groupBy("bucket").agg(F.count("*").alias("all"), F.count_if("apart").alias("asking"), F.max(F.when(F.col("apart"), F.col("sim"))).alias("nearest")).where("asking > 0")
+    # One that is connected with the hub, and nearer to it than all that aren't are by more than 1 - SIMILAR, can't be similar to any of them.
+    open_ = written(known.join(counts, "bucket").where(F.col("apart") | ((1 - F.col("sim")) >= (1 - F.col("nearest")) - (1 - SIMILAR))), "dedup-open")
     block = lambda n: F.pmod(F.xxhash64("tid"), F.ceil(F.col(n) / BLOCK_ROWS)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / BLOCK_ROWS).cast("int") - 1))
-    asking = open_.where(F.col("sim") < SIMILAR).select("bucket", "tid", "sim", block("apart").alias("x"), each("all").alias("y"), F.lit(True).alias("asks"))
-    asked = open_.select("bucket", "tid", "sim", each("apart").alias("x"), block("all").alias("y"), F.lit(False).alias("asks"))
+    asking = open_.where("apart").select("bucket", "tid", "part", "sim", block("asking").alias("x"), each("all").alias("y"), F.lit(True).alias("asks"))
+    asked = open_.select("bucket", "tid", "part", "sim", each("asking").alias("x"), block("all").alias("y"), F.lit(False).alias("asks"))
     dealt = asking.unionByName(asked).join(sets.select("tid", "shingles", "weight"), "tid")
 
     def resolve(rows: pa.Table) -> pa.Table:
         held = Sets(rows)
         asks, sim = rows.column("asks").to_pylist(), rows.column("sim").to_pylist()
+        first: dict[bytes, int] = {}
+        for i, part in enumerate(rows.column("part").to_pylist()):
+            held.join(first.setdefault(part, i), i)
         others = [i for i, a in enumerate(asks) if not a]
-        first: int | None = None
-        for j in others:  # those similar to the hub are connected through it
-            if sim[j] >= SIMILAR:
-                first = j if first is None else first
-                held.join(first, j)
         for i in (i for i, a in enumerate(asks) if a):
             for j in others:
                 if held.tid[i] != held.tid[j] and abs(sim[i] - sim[j]) <= 1 - SIMILAR + 1e-9:
@@ -419,35 +426,24 @@ def links(docs: DataFrame, signed: DataFrame, key: str, text: str, weights: Weig
     """
     texts = signed.where("tid IS NOT NULL").groupBy("tid").agg(F.min("key").alias("rep"), F.max("shingles").alias("size"), F.first("buckets").alias("buckets"))
     in_buckets = texts.select("tid", F.explode("buckets").alias("bucket"))
-    shared = in_buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("tid").alias("hub")).where("n > 1").select("bucket", "hub")
-    members = written(in_buckets.join(shared, "bucket").select("bucket", "tid", "hub"), "dedup-members")
-    roots = components(members.where("tid <> hub").select(F.col("tid").alias("a"), F.col("hub").alias("b")))
+    shared = in_buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("tid").alias("low"), F.max("tid").alias("high")).where("n > 1").select("bucket", "low", "high")
+    members = written(in_buckets.join(shared, "bucket").select("bucket", "tid", "low", "high"), "dedup-members")
+    roots = components(members.where("tid <> low").select(F.col("tid").alias("a"), F.col("low").alias("b")))
     family = written(roots.select(F.col("node").alias("tid"), F.col("root").alias("family")).unionByName(roots.select(F.col("root").alias("tid"), F.col("root").alias("family")).dropDuplicates()), "dedup-family")
     wanted = written(texts.join(family, "tid"), "dedup-wanted")
     large = written(wanted.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("all")).where((F.col("n") > FAMILY_ROWS) | (F.col("all") > FAMILY_SHINGLES)).select("family"), "dedup-large")
     # The text of a tid is that of any row with its words; rows of one id may hold other texts, so the hash decides.
     body = docs.select(F.col(key).alias("rep"), F.col(text).cast("string").alias("text"))
-    sets = written(weighted_sets(_own_text(body.join(wanted.select("tid", "rep"), "rep")), weights).dropDuplicates(["tid"]), "dedup-sets")
+    sets = written(weighted_sets(body.join(wanted.select("tid", "rep"), "rep"), weights).dropDuplicates(["tid"]), "dedup-sets")
     small = wanted.join(large, "family", "left_anti").select("family", "tid", "buckets").join(sets, "tid")
     found = _family_links(small)
     if large.isEmpty():
         return written(found, "dedup-links")
-    in_large = written(members.select("bucket", "tid").join(wanted.join(large, "family", "left_semi").select("tid"), "tid"), "dedup-in-large")
+    in_large = written(members.join(wanted.join(large, "family", "left_semi").select("tid"), "tid"), "dedup-in-large")
     judged = written(_hub_links(in_large, sets), "dedup-judged")
     return written(found.unionByName(judged.where(F.col("sim") >= SIMILAR)).unionByName(_block_links(in_large, judged, sets)), "dedup-links")
 
 
-def _own_text(candidates: DataFrame) -> DataFrame:
-    """Rows tid, text whose text has the hash tid."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
-            mine = [t is not None and xxhash.xxh3_128_digest(" ".join(_WORD.findall(t.lower()))) == tid for tid, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-            yield part.filter(pa.array(mine, pa.bool_()))
-
-    return candidates.select("tid", "text").mapInArrow(run, "tid binary, text string")
-
-
 # --- groups --------------------------------------------------------------------------------------
 
 
