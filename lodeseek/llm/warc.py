@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from lodeseek.llm.common import fresh_path, table
+from lodeseek.llm.common import fresh_path, table, written
 
 NAME = "lodeseek_warc"
 READ_SCHEMA = "record_type string, record_id string, refers_to string, target_uri string, warc_date string, payload_digest string, content_type string, payload_bytes long, payload binary"
@@ -330,8 +330,9 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, compression: st
     register(pages.sparkSession)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select("page_id", F.col("url").cast("string").alias("target_uri"), F.encode(html, "UTF-8").alias("payload"), F.sha1(html).alias("hex"), F.octet_length(html).cast("long").alias("payload_bytes"))
-    # Summed up by digest before the shuffle; only digests that repeat are joined back.
-    repeated = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("hex", "payload_bytes").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Summed up by digest before the shuffle; only digests that repeat are joined back, from a written
+    # table: Spark knows its size and broadcasts it if small, else it can split a digest that many pages share.
+    repeated = written(rows.where(F.col("payload_bytes") >= min_bytes).groupBy("hex", "payload_bytes").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-repeated")
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     marked = rows.join(repeated, ["hex", "payload_bytes"], "left").select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), record_id(F.col("page_id")).alias("record_id"), F.when(revisit, record_id(F.col("keeper"))).alias("refers_to"),
