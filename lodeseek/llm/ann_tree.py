@@ -275,7 +275,7 @@ def nearest(df: DataFrame, key: str, vector: str, is_query: Column, k: int) -> D
     if index is None:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     queries = rows.where(is_query)
-    near = search(index, queries)
+    near = written(search(index, queries), "ann-near")  # so that the join below can split a vector that many queries share
     asked = queries.select("id", "a", "b").dropDuplicates()
     own = asked.join(near, ["a", "b"]).select(F.col("id").alias("query_id"), F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k).alias("near"))
     return own.select("query_id", F.posexplode("near").alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))
