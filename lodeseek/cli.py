@@ -1,10 +1,12 @@
-"""Command line: python -m lodeseek.cli index|search|drop."""
+"""Command line: python -m lodeseek.cli index|search|drop|serve."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import os
+import sys
+from typing import TextIO
 
 from pyspark.sql import SparkSession
 
@@ -21,6 +23,20 @@ def load_settings(path: str | None) -> Settings:
     return Settings(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items()})
 
 
+def serve(engine: Engine, asked: TextIO, out: TextIO) -> None:
+    """A search tool over lines of JSON: {"query", "path", "limit"?, "threshold"?, "hops"?} in, results or {"error"} out."""
+    for line in asked:
+        if not line.strip():
+            continue
+        try:
+            a = json.loads(line)
+            found = engine.search(a.get("path", "."), a["query"], int(a.get("limit", 5)), float(a.get("threshold", 0.0)), a.get("hops"))
+            answer = json.loads(json_text(found))
+        except (KeyError, ValueError, RuntimeError) as e:
+            answer = {"error": str(e)}
+        print(json.dumps(answer, ensure_ascii=False), file=out, flush=True)
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="lodeseek")
     parser.add_argument("--root", default=os.path.expanduser("~/.lodeseek"))
@@ -36,6 +52,7 @@ def main(argv: list[str] | None = None) -> int:
     search.add_argument("--threshold", type=float, default=0.0)
     search.add_argument("--hops", type=int)
     search.add_argument("--output", choices=["text", "json", "contents"], default="text")
+    commands.add_parser("serve")
     commands.add_parser("drop").add_argument("path", nargs="?", default=".")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("lodeseek").config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -45,6 +62,8 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "search":
         found = engine.search(args.path, args.query, args.limit, args.threshold, args.hops)
         print({"text": plain_text, "json": json_text, "contents": contents_text}[args.output](found))
+    elif args.command == "serve":
+        serve(engine, sys.stdin, sys.stdout)
     else:
         print("dropped" if engine.drop(args.path) else "not indexed")
     return 0

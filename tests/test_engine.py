@@ -1,3 +1,4 @@
+import io
 import json
 import os
 import subprocess
@@ -6,6 +7,7 @@ import time
 
 import pytest
 
+from lodeseek import cli
 from lodeseek.operators import parsing
 from lodeseek.plans import fixtures
 from lodeseek.plans.engine import Engine, Settings
@@ -94,6 +96,10 @@ def test_index_search_drop(spark, tmp_path):
     assert json.loads(sinks.json_text(best))["total"] == best.count() and "shop.py" in sinks.plain_text(best)
     edges = {r.edge_type for r in e.store.read(e.collection(str(code)), "edges").collect()}
     assert edges == {"PARENT_OF", "CALLS", "USES"}
+    out = io.StringIO()
+    cli.serve(e, io.StringIO(json.dumps({"query": "sell", "path": str(code), "limit": 2}) + '\n\n{"query": " "}\n[\n'), out)
+    answers = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert answers[0]["total"] == 2 and [set(a) for a in answers[1:]] == [{"error"}, {"error"}]
     wider = e.search(str(code), "buy", 1, max_graph_hops=2).collect()
     assert len(wider) > 1 and wider[0].score > 0 and wider[-1].score == 0
     os.rename(code / "sub" / "user.py", code / "moved.py")
