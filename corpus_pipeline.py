@@ -29,10 +29,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told (not `und`) with a score of MIN_SCORE or more; a null lang becomes the predicted one."""
     model = language_id.learn(docs, "doc_id", "text", "lang")
-    marked = docs.select(F.struct(*COLUMNS).alias("row"), "text")
-    told = language_id.predict(marked, "row", "text", model)
+    told = language_id.predict(docs, "doc_id", "text", model, tuple(COLUMNS[1:]))
     kept = told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= language_id.MIN_SCORE))
-    return kept.withColumn("row", F.col("row").withField("lang", F.coalesce(F.col("row.lang"), F.col("lang_pred")))).select("row.*")
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

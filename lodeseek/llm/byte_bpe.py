@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeseek.llm.common import table
+from lodeseek.llm.common import mapped, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens whose ids a worker remembers (about 200 bytes each) before it starts afresh.
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 300_000
 #: Pre-tokens of one text that are handled at a time.
 SLICE = 65_536
 #: Pre-tokens longer than this many characters are not remembered.
@@ -248,7 +248,7 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: Vocabulary, pattern:
                     names=["key", "n_tokens", "ids", "decoded"],
                 )
 
-    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return mapped(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), run, schema).withColumnRenamed("key", key)
 
 
 def default_vocabulary() -> tuple[str, str]:

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+from pyarrow import RecordBatch
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: Rows in a batch that goes to a Python worker.
+ARROW_ROWS = 512
 
 #: White space of the word contracts: space and the controls from tab to carriage return.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -56,6 +62,12 @@ def written(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[RecordBatch]], Iterator[RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of ARROW_ROWS rows for the session: rows here are whole texts, and both sides hold a batch."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def fold_of(doc_id: Column, parts: int) -> Column:
     """crc32 of the id's text modulo parts; null for a null id."""
     return F.crc32(doc_id.cast("string")) % parts

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import table
+from lodeseek.llm.common import mapped, table
 
 PAGES_AT_A_TIME = 256
 
@@ -281,7 +281,7 @@ def extract(df: DataFrame, key: str, html: str, carried: tuple[str, ...] = (), l
                 )
 
     chosen = df.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate((key, *carried))), F.col(html).cast("string").alias("html"))
-    return chosen.mapInArrow(run, f"{kinds}, text string, n_chars long").toDF(key, *carried, "text", "n_chars")
+    return mapped(chosen, run, f"{kinds}, text string, n_chars long").toDF(key, *carried, "text", "n_chars")
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import fold_of, share_below, table
+from lodeseek.llm.common import fold_of, mapped, share_below, table
 
 UNKNOWN = "und"
 ORDER = 4
@@ -36,7 +36,7 @@ ORDER = 4
 ROWS_PER_LANGUAGE = 600
 #: A context is known to a language if it was met this often; at most so many grams are kept in all, the frequent ones.
 MIN_CONTEXT = 6
-MAX_GRAMS = 600_000
+MAX_GRAMS = 300_000
 #: Bytes that count as evidence in the score: more bytes of the same rates don't make it surer.
 EVIDENCE = 64
 SEGMENT = 512
@@ -85,7 +85,7 @@ def count_grams(rows: DataFrame, language: str, text: str) -> pa.Table:
             both = _summed(parts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * both.shape[1], pa.string()), pa.array(both[0]), pa.array(both[1])], names=["language", "gram", "n"])
 
-    counted = rows.select(F.col(language).alias("language"), F.col(text).alias("text")).mapInArrow(run, "language string, gram long, n long")
+    counted = mapped(rows.select(F.col(language).alias("language"), F.col(text).alias("text")), run, "language string, gram long, n long")
     summed = counted.groupBy("language", "gram").agg(F.sum("n").alias("n"))
     return summed.orderBy(F.desc("n"), "language", "gram").limit(MAX_GRAMS).toArrow()
 
@@ -219,16 +219,18 @@ def learn(rows: DataFrame, key: str, text: str, language: str, rows_per_language
     return compile_trees(count_grams(usable.where(chosen), "language", "text"))
 
 
-def predict(df: DataFrame, key: str, text: str, model: Automaton | None) -> DataFrame:
-    """Per row: key, lang_pred, score (0 to 1), bits_per_byte (null for `und`). A narrow pass without a shuffle."""
+def predict(df: DataFrame, key: str, text: str, model: Automaton | None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: key, carried columns, lang_pred, score (0 to 1), bits_per_byte (null for `und`). A narrow pass without a shuffle."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_GRAMS
+    kept = (key, *carried)
+    at = kept.index(text) if text in kept else len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, DOCS_AT_A_TIME):
                 part = batch.slice(start, DOCS_AT_A_TIME)
-                coded = [coded_bytes(t) if model else None for t in part.column(1).to_pylist()]
+                coded = [coded_bytes(t) if model else None for t in part.column(at).to_pylist()]
                 lang, score, rate = [UNKNOWN] * len(coded), [0.0] * len(coded), [None] * len(coded)
                 there = [i for i, c in enumerate(coded) if c is not None]
                 if there:
@@ -240,11 +242,13 @@ def predict(df: DataFrame, key: str, text: str, model: Automaton | None) -> Data
                     sure = 1 / np.exp2(-surplus).sum(axis=1)
                     for k, i in enumerate(there):
                         lang[i], score[i], rate[i] = model.languages[best[k]], float(sure[k]), float(least[k] / sizes[k])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=["key", "lang_pred", "score", "bits_per_byte"])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[: len(kept)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=[*part.schema.names[: len(kept)], "lang_pred", "score", "bits_per_byte"]
+                )
 
-    kind = df.schema[key].dataType.simpleString()
-    out = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, lang_pred string, score double, bits_per_byte double")
-    return out.withColumnRenamed("key", key)
+    kinds = ", ".join(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(kept))
+    chosen = df.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(kept)), *([] if text in kept else [F.col(text).cast("string").alias("text")]))
+    return mapped(chosen, run, f"{kinds}, lang_pred string, score double, bits_per_byte double").toDF(*kept, "lang_pred", "score", "bits_per_byte")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
