@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import table, written
+from lodeseek.llm.common import mapped, table, written
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -127,23 +127,43 @@ def _draw_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def draws(shingles: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """texts x (BANDS * ROWS) draws (32 bits each) of the texts whose shingles begin at starts."""
-    gamma, log_gamma, factors = _draw_tables() if not _TABLES else _TABLES
+    """texts x (BANDS * ROWS) draws (32 bits each) of the texts whose shingles begin at starts.
+
+    A shingle's hash for a draw is cut into the places of r, c and beta. All steps write into the
+    same few arrays, which stay in the processor's cache.
+    """
     if not _TABLES:
-        _TABLES.extend((gamma, log_gamma, factors))
+        _TABLES.extend(_draw_tables())
+    gamma, log_gamma, factors = _TABLES
+    n = len(shingles)
     log_weight, name = np.log(weight), (shingles & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     out = np.empty((len(starts), len(factors)), np.uint32)
+    z, shifted, key = np.empty(n, np.uint64), np.empty(n, np.uint64), np.empty(n, np.uint64)
+    r, c, beta, t = (np.empty(n, np.float32) for _ in range(4))
+    times = np.empty(n, np.int32)
+    quarters, halves = z.view(np.uint16).reshape(-1, 4), z.view(np.uint32)  # little-endian: quarter 3 holds the highest bits
+    low, high = key.view(np.uint32)[0::2], key.view(np.uint32)[1::2]
     for k, factor in enumerate(factors):
-        z = shingles * factor
-        z ^= z >> np.uint64(32)
-        z *= _ODD
-        r = gamma[(z >> np.uint64(52)).astype(np.int32)]
-        c = log_gamma[((z >> np.uint64(36)) & np.uint64(0xFFFF)).astype(np.int32)]
-        beta = ((z >> np.uint64(12)) & np.uint64(0xFFFFFF)).astype(np.float32) * np.float32(2**-24)
-        t = np.floor(log_weight / r + beta)
-        rank = c - r * (t + 1 - beta) + np.float32(256)  # log of ICWS's a, moved above 0 so that its bits sort
-        drawn = name ^ (t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1))
-        out[:, k] = np.minimum.reduceat((rank.view(np.uint32).astype(np.uint64) << np.uint64(32)) | drawn, starts) & np.uint64(0xFFFFFFFF)
+        np.multiply(shingles, factor, out=z)
+        np.right_shift(z, np.uint64(32), out=shifted)
+        np.bitwise_xor(z, shifted, out=z)
+        np.multiply(z, _ODD, out=z)
+        np.take(gamma, quarters[:, 3] >> 4, out=r, mode="clip")
+        np.take(log_gamma, quarters[:, 2], out=c, mode="clip")
+        np.multiply(halves[0::2], np.float32(2**-32), out=beta, casting="unsafe")
+        np.divide(log_weight, r, out=t)
+        t += beta
+        np.floor(t, out=t)
+        times[:] = t
+        # The log of ICWS's a is c - r * (t + 1 - beta); 256 more moves it above 0, so that its bits sort.
+        np.subtract(t, beta, out=beta)
+        beta += 1
+        beta *= r
+        np.subtract(c, beta, out=c)
+        c += np.float32(256)
+        high[:] = c.view(np.uint32)
+        np.bitwise_xor(name, times.view(np.uint32) * np.uint32(0x9E3779B1), out=low)
+        out[:, k] = np.minimum.reduceat(key, starts) & np.uint64(0xFFFFFFFF)
     return out
 
 
@@ -211,7 +231,7 @@ def frequencies(docs: DataFrame, text: str) -> Weights:
 
     schema = "slot int, block int, places binary, counts binary"
     bodies = docs.select(F.col(text).cast("string").alias("text"))
-    summed, tasks = bodies.mapInArrow(count, schema), bodies.rdd.getNumPartitions()
+    summed, tasks = mapped(bodies, count, schema), bodies.rdd.getNumPartitions()
     while True:
         summed = summed.withColumn("slot", F.expr(f"slot DIV {SKETCH_FAN}")).groupBy("block", "slot").applyInArrow(add, schema)
         tasks = -(-tasks // SKETCH_FAN)
@@ -262,7 +282,7 @@ def signatures(docs: DataFrame, key: str, text: str, weights: Weights) -> DataFr
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], names=["key", "tid", "shingles", "buckets"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, tid binary, shingles long, buckets array<long>")
+    return mapped(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), run, f"key {kind}, tid binary, shingles long, buckets array<long>")
 
 
 def weighted_sets(candidates: DataFrame, weights: Weights) -> DataFrame:
@@ -284,7 +304,7 @@ def weighted_sets(candidates: DataFrame, weights: Weights) -> DataFrame:
                 values.append(np.bincount(where, shared.value.of(shingles) * times).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(tids, pa.binary()), pa.array(names, pa.binary()), pa.array(values, pa.binary())], names=["tid", "shingles", "weight"])
 
-    return candidates.select("tid", "text").mapInArrow(run, "tid binary, shingles binary, weight binary")
+    return mapped(candidates.select("tid", "text"), run, "tid binary, shingles binary, weight binary")
 
 
 def similarity(a: bytes, wa: bytes, b: bytes, wb: bytes) -> float:
@@ -378,7 +398,7 @@ def _hub_links(in_large: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = in_large.select("tid", F.explode(F.array("low", "high")).alias("hub")).where("tid <> hub").dropDuplicates()
     one = sets.select("tid", F.col("shingles").alias("a"), F.col("weight").alias("wa"))
     two = sets.select(F.col("tid").alias("hub"), F.col("shingles").alias("b"), F.col("weight").alias("wb"))
-    return pairs.join(one, "tid").join(two, "hub").select("tid", "hub", "a", "wa", "b", "wb").mapInArrow(run, _LINK)
+    return mapped(pairs.join(one, "tid").join(two, "hub").select("tid", "hub", "a", "wa", "b", "wb"), run, _LINK)
 
 
 def _block_links(in_large: DataFrame, judged: DataFrame, sets: DataFrame) -> DataFrame:
@@ -426,7 +446,7 @@ def links(docs: DataFrame, signed: DataFrame, key: str, text: str, weights: Weig
     """
     texts = signed.where("tid IS NOT NULL").groupBy("tid").agg(F.min("key").alias("rep"), F.max("shingles").alias("size"), F.first("buckets").alias("buckets"))
     in_buckets = texts.select("tid", F.explode("buckets").alias("bucket"))
-    shared = in_buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("tid").alias("low"), F.max("tid").alias("high")).where("n > 1").select("bucket", "low", "high")
+    shared = written(in_buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("tid").alias("low"), F.max("tid").alias("high")).where("n > 1").select("bucket", "low", "high"), "dedup-buckets")
     members = written(in_buckets.join(shared, "bucket").select("bucket", "tid", "low", "high"), "dedup-members")
     roots = components(members.where("tid <> low").select(F.col("tid").alias("a"), F.col("low").alias("b")))
     family = written(roots.select(F.col("node").alias("tid"), F.col("root").alias("family")).unionByName(roots.select(F.col("root").alias("tid"), F.col("root").alias("family")).dropDuplicates()), "dedup-family")
@@ -481,8 +501,9 @@ def groups(docs: DataFrame, key: str, text: str) -> DataFrame:
     found = links(docs, signed, key, text, weights)
     roots = components(found.select(F.col("tid").alias("a"), F.col("hub").alias("b")))
     rows = signed.select("key", "tid").join(roots, F.col("tid") == F.col("node"), "left").select("key", F.coalesce("root", "tid").alias("tid"))
-    # Summed up before the shuffle; the join back is on a key that is unique on one side.
-    least = rows.where("tid IS NOT NULL").groupBy("tid").agg(F.min("key").alias("class_id"))
+    # Summed up before the shuffle, and written: joined back to a written table, a text with many copies can be split.
+    rows = written(rows, "dedup-rows")
+    least = written(rows.where("tid IS NOT NULL").groupBy("tid").agg(F.min("key").alias("class_id")), "dedup-classes")
     return rows.join(least, "tid", "left").select(F.col("key").alias(key), F.coalesce("class_id", "key").alias("class_id"))
 
 
