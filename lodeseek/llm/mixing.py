@@ -29,7 +29,7 @@ from lodeseek.llm.common import SPACE_CLASS, table, written
 
 OTHER = "other"
 #: Documents of a leaf that one task sorts, about.
-BUCKET_ROWS = 65_536
+BUCKET_ROWS = 4_096
 
 
 @dataclass(frozen=True)
