@@ -427,12 +427,12 @@ def expand_with_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.expand(ranked, graph.upsert_edges(None, edges, nodes), 2, 25)
 
 
-def _names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Every text's rarer words refer to the texts whose first word they are."""
+def names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every text's rarer words refer to the texts whose first word they are. Candidates keep their doc_id."""
     docs = _docs(spark, sf_dir).selectExpr("concat('d', doc_id) AS chunk_id", "lang AS language", "source AS file_path", "regexp_extract_all(lower(text), '[a-z]{6,}', 0) AS w", "doc_id")
     owner = "CASE WHEN doc_id % 3 = 0 THEN 'A' WHEN doc_id % 3 = 1 THEN 'B' END AS owner"
     known = docs.where("size(w) > 0").selectExpr("chunk_id", "language", "w[0] AS name", owner, "file_path")
-    asked = docs.where("doc_id % 5 = 0").selectExpr("chunk_id", "language", "explode(w) AS name", "CASE WHEN doc_id % 2 = 0 THEN 'call' ELSE 'identifier' END AS kind", owner, "file_path")
+    asked = docs.selectExpr("doc_id", "chunk_id", "language", "explode(w) AS name", "CASE WHEN doc_id % 2 = 0 THEN 'call' ELSE 'identifier' END AS kind", owner, "file_path")
     return asked, known
 
 
@@ -441,7 +441,9 @@ k AS (SELECT chunk_id, lang, w[1] AS name, owner, source FROM d WHERE len(w) > 0
 a AS (SELECT DISTINCT chunk_id, lang, unnest(w) AS name, CASE WHEN doc_id % 2 = 0 THEN 'CALLS' ELSE 'USES' END AS edge_type, owner, source FROM d WHERE doc_id % 5 = 0)
 SELECT DISTINCT a.chunk_id AS source_id, k.chunk_id AS target_id, edge_type FROM a JOIN k ON a.lang = k.lang AND a.name = k.name AND a.chunk_id <> k.chunk_id AND a.source <> k.source AND (a.owner IS NULL OR k.owner IS NULL OR a.owner = k.owner)""")
 def symbol_reference_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return references.reference_edges(*_names(spark, sf_dir))
+    """As its SQL has it, only every fifth document asks; fixtures.symbol_references_whole lets all ask."""
+    asked, known = names(spark, sf_dir)
+    return references.reference_edges(asked.where("doc_id % 5 = 0"), known)
 
 
 @query(f"SELECT doc_id, md5(concat_ws(chr(31), {PATH}, 'text', '', 'whole')) AS id FROM documents")
