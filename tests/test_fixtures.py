@@ -17,3 +17,31 @@ def test_every_document_asks_for_references(spark, tmp_path):
     found = [tuple(r) for r in fixtures.symbol_references_whole(spark, str(tmp_path)).select("source_id", "target_id", "edge_type").collect()]
     assert len(found) == len(set(found)) and set(found) == expected
     assert any(int(a[1:]) % 5 for a, _, _ in found)
+
+
+def test_files_hold_whole_turns(spark, tmp_path):
+    long = "\n".join(f"line {i}: naïve 😀 x = {{'a': \"b\"}} \\n" for i in range(90))
+    texts = ["plain", None, "", long, 'ends in "', "ends in \\", '"""\\"""', "a\rb\r\nc\n", "nul \0 here \\0", "\\N{x} \\u12 \\x", "    indented\n\tтекст"]
+    rows = [(i % 2, i, "user", text) for i, text in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = fixtures.parse_python_chunks(spark, str(tmp_path)).collect()
+    assert {r.parse_status for r in found} == {"parsed"}
+    docs = {}
+    for path, text in ((f"talk/{i}/t{i}.py", text) for i, _, _, text in rows):
+        docs.setdefault(path, set()).add((text or "").strip() or None)
+    for path, expected in docs.items():
+        assert {r.doc for r in found if r.file_path == path and r.parent_chunk_id} == expected
+    parts = [r for r in found if r.file_path == "talk/1/t1.py" and r.node_type == "class_definition"]
+    assert len(parts) > 10 and {r.part_index for r in parts} == set(range(len(parts)))
+    held = "\n".join(r.content for r in sorted(parts, key=lambda r: r.part_index))
+    assert all(line.replace("\\", r"\\").replace('"', r"\"") in held for line in long.split("\n"))
+    edges = fixtures.reference_graph(spark, str(tmp_path)).collect()
+    assert sum(e.edge_type == "CONTINUES" for e in edges) >= len(parts) - 1
+    # Files 1 and 8 call what the other defines, open_1: from each method, and from each part of the class.
+    rows += [(8, i, "user", text) for i, text in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.mode("overwrite").parquet(f"{tmp_path}/conversations.parquet")
+    found = fixtures.parse_python_chunks(spark, str(tmp_path)).collect()
+    edges = [(e.source_id, e.target_id) for e in fixtures.reference_graph(spark, str(tmp_path)).collect() if e.edge_type == "CALLS"]
+    calling = {c: {r.id for r in found if r.file_path == f"talk/{c}/t{c}.py" and not r.content.startswith("def open_")} for c in (1, 8)}
+    opened = {c: next(r.id for r in found if r.file_path == f"talk/{c}/t{c}.py" and r.content.startswith("def open_")) for c in (1, 8)}
+    assert len(edges) == len(set(edges)) and set(edges) == {(id, opened[9 - c]) for c in (1, 8) for id in calling[c]}
