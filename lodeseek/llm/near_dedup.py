@@ -33,6 +33,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from lodeseek.llm.common import mapped, table, written
 
@@ -285,6 +286,18 @@ def signatures(docs: DataFrame, key: str, text: str, weights: Weights) -> DataFr
     return mapped(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), run, f"key {kind}, tid binary, shingles long, buckets array<long>")
 
 
+def _with_tid(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """rows with one more column, the hash of each text's words (null without words)."""
+    at = rows.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            found = [_WORD.findall(body.lower()) if body else [] for body in part.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([xxhash.xxh3_128_digest(" ".join(f)) if f else None for f in found], pa.binary())], names=[*part.schema.names, name])
+
+    return mapped(rows, run, StructType([*rows.schema.fields, StructField(name, BinaryType())]))
+
+
 def weighted_sets(candidates: DataFrame, weights: Weights) -> DataFrame:
     """tid and its weighted shingles (32 bits of each, ascending; weight) from those rows tid, text whose text has the hash tid."""
     shared = candidates.sparkSession.sparkContext.broadcast(weights)
@@ -454,7 +467,11 @@ def links(docs: DataFrame, signed: DataFrame, key: str, text: str, weights: Weig
     large = written(wanted.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("all")).where((F.col("n") > FAMILY_ROWS) | (F.col("all") > FAMILY_SHINGLES)).select("family"), "dedup-large")
     # The text of a tid is that of any row with its words; rows of one id may hold other texts, so the hash decides.
     body = docs.select(F.col(key).alias("rep"), F.col(text).cast("string").alias("text"))
-    sets = written(weighted_sets(body.join(wanted.select("tid", "rep"), "rep"), weights).dropDuplicates(["tid"]), "dedup-sets")
+    bodies = body.join(wanted.select("tid", "rep"), "rep").select("tid", "text")
+    # Texts that only rows without an id have are found by their hash.
+    nameless = _with_tid(body.where("rep IS NULL").select("text"), "text", "tid").where("tid IS NOT NULL").dropDuplicates(["tid"])
+    bodies = bodies.unionByName(nameless.join(wanted.where("rep IS NULL").select("tid"), "tid").select("tid", "text"))
+    sets = written(weighted_sets(bodies, weights).dropDuplicates(["tid"]), "dedup-sets")
     small = wanted.join(large, "family", "left_anti").select("family", "tid", "buckets").join(sets, "tid")
     found = _family_links(small)
     if large.isEmpty():
@@ -494,36 +511,40 @@ def components(edges: DataFrame) -> DataFrame:
         was = now
 
 
-def groups(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key and class_id of every row of docs: the smallest key of its group of similar texts."""
+def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, own (the hash of the text's words) and tid (its group's hash; both null without words) of every row of docs, written."""
     weights = frequencies(docs, text)
     signed = written(signatures(docs, key, text, weights), "dedup-signatures")
     found = links(docs, signed, key, text, weights)
     roots = components(found.select(F.col("tid").alias("a"), F.col("hub").alias("b")))
-    rows = signed.select("key", "tid").join(roots, F.col("tid") == F.col("node"), "left").select("key", F.coalesce("root", "tid").alias("tid"))
+    rows = signed.select("key", F.col("tid").alias("own")).join(roots, F.col("own") == F.col("node"), "left").select("key", "own", F.coalesce("root", "own").alias("tid"))
+    return written(rows, "dedup-rows")
+
+
+def groups(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key and class_id of every row of docs: the smallest key of its group of similar texts."""
     # Summed up before the shuffle, and written: joined back to a written table, a text with many copies can be split.
-    rows = written(rows, "dedup-rows")
+    rows = _grouped(docs, key, text)
     least = written(rows.where("tid IS NOT NULL").groupBy("tid").agg(F.min("key").alias("class_id")), "dedup-classes")
     return rows.join(least, "tid", "left").select(F.col("key").alias(key), F.coalesce("class_id", "key").alias("class_id"))
 
 
 def deduplicated(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """docs with one row of each group: that of the smallest key (of rows that repeat with that key, one)."""
-    grouped = written(groups(docs, key, text), "dedup-groups")
-    stay = grouped.where(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("_key")).groupBy("_key").agg(F.count("*").alias("_n"))
-    kept = docs.join(stay, F.col(key).eqNullSafe(F.col("_key")))
-    repeated = kept.where("_n > 1")
-    single = kept.where("_n = 1").select(*docs.columns)
-    if stay.where("_n > 1").isEmpty():
+    """docs with one row of each group: that of the smallest key (of rows that repeat with that key, one; without any key, one)."""
+    rows = _grouped(docs, key, text)
+    first = F.min(F.struct(F.col("key").isNull().alias("without"), "key", "own")).alias("first")
+    least = rows.where("tid IS NOT NULL").groupBy("tid").agg(first).select(F.col("first.key").alias("_key"), F.col("first.own").alias("_own"))
+    stay = written(least.unionByName(rows.where("tid IS NULL").select(F.col("key").alias("_key"), F.col("own").alias("_own"))), "dedup-stay")
+    times = rows.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("_n"))
+    again = written(times.where("_n > 1 OR _key IS NULL").select("_key"), "dedup-again")
+    single = docs.join(stay.join(again, "_key", "left_anti").where("_key IS NOT NULL").select("_key"), F.col(key) == F.col("_key")).select(*docs.columns)
+    if again.isEmpty():
         return single
-    return single.unionByName(_one_for_each_key(repeated, key, text).select(*docs.columns))
-
-
-def _one_for_each_key(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """Of rows with one key and the same words one; rows whose texts have no words, or other words, all stay."""
-    words = F.array_join(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0)), " ")
-    marked = rows.withColumn("_words", F.sha2(words, 256)).withColumn("_blank", words == "")
-    return marked.where("_blank").unionByName(marked.where("NOT _blank").dropDuplicates([key, "_words"]))
+    # A key that many rows have doesn't tell which of them stays: the words' hash does. Rows without words all stay.
+    marked = _with_tid(docs.join(again, F.col(key).eqNullSafe(F.col("_key")), "left_semi").withColumn("_body", F.col(text).cast("string")), "_body", "_tid")
+    chosen = stay.where("_own IS NOT NULL")
+    one = marked.join(chosen, (F.col("_tid") == F.col("_own")) & F.col(key).eqNullSafe(F.col("_key")), "left_semi").dropDuplicates([key, "_tid"])
+    return single.unionByName(marked.where("_tid IS NULL").unionByName(one).select(*docs.columns))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

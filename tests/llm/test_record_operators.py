@@ -228,6 +228,21 @@ def test_near_duplicates_awkward_rows(spark):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, [1, 2, 3, 4, 5, 6, 7, 8, None, 9, 12])) and "clash" in {r.tid for r in kept.collect()}
 
 
+def test_near_duplicates_without_ids(spark):
+    """Rows without an id group and stay like others; so do rows of one id with other texts."""
+    word = lambda family, i: f"w{family}x{i}"
+    base = lambda family, *edits: " ".join(f"edit{family}" if i in edits else word(family, i) for i in range(120))
+    rows = [
+        (1, base(1)), (None, base(1)), (None, base(1, 60)), (2, base(2)), (None, base(2, 40)), (None, base(3)), (None, base(3)), (None, base(3, 70)), (None, base(4)), (None, None), (None, "!"),
+        (5, base(5)), (5, base(1, 80)), (6, base(6)), (6, base(6, 50)), (7, None), (7, "")
+    ]
+    got = sorted(map(str, map(tuple, near_dedup.groups(documents(spark, rows), "doc_id", "text").collect())))
+    assert got == sorted(map(str, [(1, 1), (None, 1), (None, 1), (2, 2), (None, 2), *[(None, None)] * 6, (5, 5), (5, 1), (6, 6), (6, 6), (7, 7), (7, 7)]))
+    kept = [(r.doc_id, r.text) for r in near_dedup.deduplicated(documents(spark, rows), "doc_id", "text").collect()]
+    family = lambda text: text.split("x")[0] if text and text[0] == "w" else text
+    assert sorted(str((i, family(t))) for i, t in kept) == sorted(map(str, [(1, "w1"), (2, "w2"), (None, "w3"), (None, "w4"), (None, None), (None, "!"), (5, "w5"), (6, "w6"), (7, None), (7, "")]))
+
+
 def test_components_by_brute_force(spark):
     rng = random.Random(1)
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)]
