@@ -265,10 +265,11 @@ def _bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top(search.bm25_scores(_table(spark, sf_dir, "documents"), "doc_id", "text", QUERY), TOP)
 
 
-def _dense_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dense_top(spark: SparkSession, sf_dir: str, held: str = "true") -> DataFrame:
+    """The best of the vectors for which held is true."""
     vectors = _table(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id = 0").select("embedding").head()  # the query's vector: one row
-    return search.top(search.dense_scores(vectors, "vec_id", "embedding", search.vector_literal(asked[0])), TOP)
+    return search.top(search.dense_scores(vectors.where(held), "vec_id", "embedding", search.vector_literal(asked[0])), TOP)
 
 
 @query(f"WITH {_bm25_sql()} SELECT id, score, CAST(rank AS INT) AS rank FROM bm25_top")
@@ -278,7 +279,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_DENSE} SELECT id, score, CAST(rank AS INT) AS rank FROM dense_top")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dense_top(spark, sf_dir)
+    return dense_top(spark, sf_dir)
 
 
 @query("SELECT doc_id AS chunk_id, 'text' AS field, term, CAST(count(*) AS INT) AS tf, doc_len FROM (SELECT doc_id, unnest(t) AS term, CAST(len(t) AS INT) AS doc_len FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents)) GROUP BY ALL")
@@ -293,7 +294,7 @@ def _fused_sql(branches: list[str], threshold: float) -> str:
 
 @query(f"WITH {_DENSE}, {_bm25_sql()}, {_fused_sql(['dense_top', 'bm25_top'], 0.05)} SELECT id, score FROM fused")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.fuse([_dense_top(spark, sf_dir), _bm25_top(spark, sf_dir)], RRF_K, TOP, 0.05)
+    return search.fuse([dense_top(spark, sf_dir), _bm25_top(spark, sf_dir)], RRF_K, TOP, 0.05)
 
 
 _FIRST_LINES = "(SELECT doc_id, string_split(text, chr(10))[1] AS doc FROM documents)"
@@ -301,10 +302,15 @@ _FIRST_LINES = "(SELECT doc_id, string_split(text, chr(10))[1] AS doc FROM docum
 
 @query(f"WITH {_DENSE}, {_bm25_sql()}, {_bm25_sql('doc', _FIRST_LINES, 'bm25_doc')}, dense_doc_top AS (SELECT id, rank FROM dense_top WHERE id % 2 = 0), {_fused_sql(['dense_top', 'bm25_top', 'dense_doc_top', 'bm25_doc_top'], 0.0)} SELECT id, score FROM fused")
 def hybrid_rrf_4way(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dense = _dense_top(spark, sf_dir)
+    """As its SQL has it, the documentation's vectors are those of the code branch's top; fixtures.hybrid_rrf_4way_searched ranks them by themselves."""
+    dense = dense_top(spark, sf_dir)
+    return four_way(spark, sf_dir, dense, dense.where("id % 2 = 0"))
+
+
+def four_way(spark: SparkSession, sf_dir: str, dense: DataFrame, dense_docs: DataFrame) -> DataFrame:
     firsts = _table(spark, sf_dir, "documents").select("doc_id", F.element_at(tx.lines(F.col("text")), 1).alias("doc"))
     docs = search.top(search.bm25_scores(firsts, "doc_id", "doc", QUERY), TOP)
-    return search.fuse([dense, _bm25_top(spark, sf_dir), dense.where("id % 2 = 0"), docs], RRF_K, TOP)
+    return search.fuse([dense, _bm25_top(spark, sf_dir), dense_docs, docs], RRF_K, TOP)
 
 
 @query(f"""WITH {_bm25_sql()} SELECT coalesce(d.text, '') AS content, d.lang AS language, {PATH} AS relative_path, b.score FROM bm25_top b JOIN documents d ON d.doc_id = b.id""")

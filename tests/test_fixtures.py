@@ -1,6 +1,11 @@
 import re
+from collections import Counter
 
-from lodeseek.plans import fixtures
+import numpy as np
+
+from lodeseek.fixed_values import RRF_K
+from lodeseek.plans import catalogue, fixtures
+from tests.conftest import SMALL
 
 
 def test_every_document_asks_for_references(spark, tmp_path):
@@ -45,3 +50,17 @@ def test_files_hold_whole_turns(spark, tmp_path):
     calling = {c: {r.id for r in found if r.file_path == f"talk/{c}/t{c}.py" and not r.content.startswith("def open_")} for c in (1, 8)}
     opened = {c: next(r.id for r in found if r.file_path == f"talk/{c}/t{c}.py" and r.content.startswith("def open_")) for c in (1, 8)}
     assert len(edges) == len(set(edges)) and set(edges) == {(id, opened[9 - c]) for c in (1, 8) for id in calling[c]}
+
+
+def test_documentation_vectors_are_searched(spark):
+    vectors = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").where("embedding IS NOT NULL").collect()}
+    asked = vectors[0]
+    score = {i: round(float(v @ asked / np.linalg.norm(v) / np.linalg.norm(asked)), 6) for i, v in vectors.items() if i % 2 == 0}
+    documented = sorted(score, key=lambda i: (-score[i], i))[: catalogue.TOP]
+    ranked = [{r.id: r["rank"] for r in catalogue.dense_top(spark, SMALL, held).select("id", "rank").collect()} for held in ("true", "vec_id % 2 = 0")]
+    assert sorted(ranked[1], key=ranked[1].get) == documented and not set(documented) <= set(ranked[0])
+    old, new = (Counter({r.id: r.score for r in f(spark, SMALL).collect()}) for f in (catalogue.hybrid_rrf_4way, fixtures.hybrid_rrf_4way_searched))
+    both = documented[0]
+    assert both in old and abs(new[both] - old[both]) < 1e-5
+    gained = next(i for i in documented[1:] if i in new and i in old and ranked[0].get(i) not in (None, ranked[1][i]))
+    assert abs(new[gained] - old[gained] - (1 / (RRF_K + ranked[1][gained]) - 1 / (RRF_K + ranked[0][gained]))) < 2e-6
