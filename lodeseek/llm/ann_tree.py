@@ -188,18 +188,33 @@ def build(rows: DataFrame, k: int) -> Index | None:
     return Index(vectors, tree, sizes, _calibrated(vectors, tree, share_below(F.col("a"), CALIBRATION_QUERIES / about[0], 29), k), k)
 
 
-def _top(queries: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query places, vector places and scores of each query's k best, in blocks; scores are summed alike wherever a pair stands."""
+#: Scores of one pair by two ways of summing differ by less than this, relative to the score's scale.
+SLACK = 1e-10
+PAIRS_AT_A_TIME = 100_000
+
+
+def _top(queries: np.ndarray, vectors: np.ndarray, k: int, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query places, vector places and scores of each query's k best, in blocks; scores are summed alike wherever a pair stands.
+
+    Ties go to the smaller of ids (by default, the place): all that may tie with the k-th are scored before the cut.
+    """
+    ids = np.arange(len(vectors)) if ids is None else ids
+    lengths = np.sqrt(np.einsum("ij,ij->i", queries, queries)) * math.sqrt(np.einsum("ij,ij->i", vectors, vectors).max(initial=0))
     who, what, score = [], [], []
     step = max(1, 4_000_000 // max(1, len(vectors)))
     for start in range(0, len(queries), step):
         block = queries[start : start + step] @ vectors.T
         n = min(k, block.shape[1])
-        best = np.argpartition(-block, n - 1, axis=1)[:, :n] if n < block.shape[1] else np.tile(np.arange(n), (len(block), 1))
-        q = np.repeat(np.arange(start, start + len(block)), n)
-        who.append(q)
-        what.append(best.ravel())
-        score.append(np.einsum("ij,ij->i", queries[q], vectors[best.ravel()]))
+        border = np.partition(block, block.shape[1] - n, axis=1)[:, block.shape[1] - n] - SLACK * lengths[start : start + step]
+        q, v = np.nonzero(block >= border[:, None])
+        q += start
+        exact = np.concatenate([np.einsum("ij,ij->i", queries[q[a : a + PAIRS_AT_A_TIME]], vectors[v[a : a + PAIRS_AT_A_TIME]]) for a in range(0, len(q), PAIRS_AT_A_TIME)])
+        order = np.lexsort((ids[v], -exact, q))
+        q, v, exact = q[order], v[order], exact[order]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < n
+        who.append(q[first])
+        what.append(v[first])
+        score.append(exact[first])
     return np.concatenate(who), np.concatenate(what), np.concatenate(score)
 
 
@@ -256,7 +271,8 @@ def search(index: Index, queries: DataFrame) -> DataFrame:
     def multiply(asked: pa.Table, there: pa.Table) -> pa.Table:
         if not len(asked) or not len(there):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int32()), "score": pa.array([], pa.float64()), "ids": pa.array([], pa.list_(pa.int64()))})
-        q, v, score = _top(_matrix(asked.column("e")), _matrix(there.column("e")), k + 1)
+        least = np.array([ids[0] for ids in there.column("ids").to_pylist()])
+        q, v, score = _top(_matrix(asked.column("e")), _matrix(there.column("e")), k + 1, least)
         return pa.table({"a": asked.column("a").take(q), "b": asked.column("b").take(q), "score": score, "ids": there.column("ids").take(v)})
 
     by = ["leaf", "chunk", "block"]

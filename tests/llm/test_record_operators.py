@@ -284,6 +284,16 @@ def test_neighbours_recall_on_all_rows(spark):
     assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
 
 
+def test_neighbours_ties_go_to_smaller_ids():
+    rng = np.random.default_rng(6)
+    vectors, queries, ids = rng.integers(0, 2, (500, 12)).astype(float), rng.integers(0, 2, (40, 12)).astype(float), rng.permutation(500)
+    q, v, score = ann_tree._top(queries, vectors, 21, ids)
+    for i, asked in enumerate(queries):
+        exact = vectors @ asked
+        best = np.lexsort((ids, -exact))[:21]
+        assert v[q == i].tolist() == best.tolist() and np.array_equal(score[q == i], exact[best])
+
+
 def test_neighbours_awkward_rows(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=4).round(2).tolist()) for i in range(1, 60)] + [(100 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(40)]
