@@ -34,9 +34,8 @@ UNKNOWN = "und"
 ORDER = 4
 #: Labelled rows for each language (in expectation) that the trees are learned from, whole texts.
 ROWS_PER_LANGUAGE = 600
-#: A context is known to a language if it was met this often; at most so many grams are kept in all, the frequent ones.
+#: A context is known to a language if it was met this often.
 MIN_CONTEXT = 6
-MAX_GRAMS = 300_000
 #: Bytes that count as evidence in the score: more bytes of the same rates don't make it surer.
 EVIDENCE = 64
 SEGMENT = 512
@@ -69,7 +68,7 @@ def gram_codes(data: bytes) -> np.ndarray:
 
 
 def count_grams(rows: DataFrame, language: str, text: str) -> pa.Table:
-    """language, gram, n over all rows: summed in each task, then by Spark; the MAX_GRAMS most frequent come to the driver."""
+    """language, gram, n over all rows: summed in each task, then by Spark. All come to the driver: they are bounded by the learned rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
@@ -86,8 +85,7 @@ def count_grams(rows: DataFrame, language: str, text: str) -> pa.Table:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * both.shape[1], pa.string()), pa.array(both[0]), pa.array(both[1])], names=["language", "gram", "n"])
 
     counted = mapped(rows.select(F.col(language).alias("language"), F.col(text).alias("text")), run, "language string, gram long, n long")
-    summed = counted.groupBy("language", "gram").agg(F.sum("n").alias("n"))
-    return summed.orderBy(F.desc("n"), "language", "gram").limit(MAX_GRAMS).toArrow()
+    return counted.groupBy("language", "gram").agg(F.sum("n").alias("n")).toArrow()
 
 
 def _summed(parts: list[np.ndarray]) -> np.ndarray:
@@ -171,7 +169,7 @@ def compile_trees(grams: pa.Table) -> Automaton | None:
         k = c >> 40
         return place[((k - 1) << 40) | (c & ((1 << (8 * (k - 1))) - 1))]
 
-    # A context's suffixes are met at least as often, so they are known too, save where MAX_GRAMS has cut: those contexts go.
+    # A context's suffixes are met at least as often, so they are known too; a context without them would go.
     closed: list[int] = []
     place = {}
     for c in known:
@@ -221,7 +219,7 @@ def learn(rows: DataFrame, key: str, text: str, language: str, rows_per_language
 
 def predict(df: DataFrame, key: str, text: str, model: Automaton | None, carried: tuple[str, ...] = ()) -> DataFrame:
     """Per row: key, carried columns, lang_pred, score (0 to 1), bits_per_byte (null for `und`). A narrow pass without a shuffle."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_GRAMS
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the learned rows
     kept = (key, *carried)
     at = kept.index(text) if text in kept else len(kept)
 

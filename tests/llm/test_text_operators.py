@@ -88,6 +88,14 @@ def test_language_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in held) >= 0.98 * len(held)
 
 
+def test_language_counts_hold_all_grams(spark):
+    rng = np.random.default_rng(8)
+    texts = [bytes(rng.integers(97, 123, 200_000).astype(np.uint8)).decode() for _ in range(2)] + ["a few words"]
+    counts = language_id.count_grams(spark.createDataFrame(list(zip(["aa", "bb", "cc"], texts, strict=True)), "language string, text string"), "language", "text")
+    want = [len(np.unique(language_id.gram_codes(language_id.coded_bytes(t)))) for t in texts]
+    assert Counter(counts.column("language").to_pylist()) == dict(zip(["aa", "bb", "cc"], want, strict=True)) and sum(want) > 300_000
+
+
 def test_language_code_lengths_by_brute_force():
     """The automaton's bits equal a direct walk down the context trees."""
     import pyarrow as pa
