@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,11 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the session names none (local tests), a temporary folder is made once and put in the
-    session's settings, so that every operator of the session uses the same one.
+    Where a local session names none (tests), a temporary folder is made once and put in the
+    session's settings, so that every operator of the session uses the same one. A cluster must name it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodeseek-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -62,6 +65,23 @@ def written(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that are written for one computation, and deleted once its result is written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, tag: str) -> DataFrame:
+        self.paths.append(fresh_path(self.spark, tag))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def close(self) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+        self.paths = []
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[RecordBatch]], Iterator[RecordBatch]], schema: str | StructType) -> DataFrame:
     """df.mapInArrow(run, schema) with batches of ARROW_ROWS rows for the session: rows here are whole texts, and both sides hold a batch."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

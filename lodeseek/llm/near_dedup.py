@@ -6,13 +6,14 @@ over all documents. Counts are kept in a count-min sketch of fixed size: it can'
 frequent shingle, and RARE is chosen so that its error is below what the weight distinguishes.
 
 ICWS draws, for each of BANDS * ROWS seeds, one shingle of a text such that two texts draw alike
-with probability equal to their weighted Jaccard similarity. Bands of draws make buckets. Texts
-connected by buckets are a family. Within a family of bounded size one task compares all pairs that
-share a bucket, by exact weighted Jaccard similarity, save those that are connected already. In
-larger families no pairs are listed: a bucket's members are verified against two of them, the hubs,
-and only those that this leaves unconnected are compared further, in blocks, with the members that
-distances to a hub don't rule out. So each pair of a bucket is compared, connected or ruled out.
-Links are closed to groups by alternating large-star and small-star steps.
+with probability equal to their weighted Jaccard similarity. Bands of draws make buckets. Buckets
+with the same smallest text, their hub, make one group, so that a pair that shares many buckets
+mostly meets once. In a group the hub's similarity to all others is computed first, then that of
+each member that isn't connected with the hub to all members, so each pair is compared or
+connected. A group of bounded size is resolved in one task. In a larger one the distances to the
+hub come from joins, and the members that ask are dealt, with those that distances to the hub don't
+rule out, into blocks of bounded size; no pairs are listed. Links are closed to groups by pointer
+jumping over tables, after each task has contracted its own links.
 
 Texts of the same words are one text from the start, so copies cost nothing more.
 
@@ -26,28 +27,32 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from lodeseek.llm.common import mapped, table, written
+from lodeseek.llm.common import Scratch, mapped, table, written
 
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 16, 4
-#: Documents in one batch of a worker.
-DOCS_AT_A_TIME = 128
+#: Bytes of text that a worker takes at a time (a longer text by itself), and words of it and shingles that it holds as objects or in scratch arrays.
+PART_BYTES, WORDS_AT_A_TIME, DRAWN_AT_A_TIME = 1 << 20, 1 << 16, 1 << 15
 #: Words whose hashes a task remembers (about 150 bytes each) before it starts afresh.
-REMEMBERED_WORDS = 200_000
+REMEMBERED_WORDS = 100_000
 #: The sketch: counters in a row, rows, counters in a block of a row, and sketches that one task sums.
 SKETCH_WIDTH, SKETCH_ROWS, SKETCH_BLOCK, SKETCH_FAN = 1 << 20, 2, 1 << 15, 64
-#: A family of texts with no more texts and shingles is resolved in one task (about 40 MB); members of a large bucket are dealt into blocks of so many.
-FAMILY_ROWS, FAMILY_SHINGLES, BLOCK_ROWS = 2_048, 3_000_000, 512
+#: A group of buckets with no more texts and shingles is resolved in one task, a larger one in blocks of so many on each side.
+GROUP_ROWS, GROUP_SHINGLES = 512, 500_000
+#: Edges that a task contracts at a time.
+EDGES_AT_A_TIME = 100_000
 #: A shingle in less than one of RARE texts has full weight, twice that of one in every text.
 RARE = 500
 LEVELS = 200
@@ -62,6 +67,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _runs(text: str) -> Iterator[list[str]]:
+    """The text's words, in lists of bounded length."""
+    found = _WORD.finditer(text.lower())
+    while run := [m[0] for m in islice(found, WORDS_AT_A_TIME)]:
+        yield run
+
+
+def _digest(text: str | None) -> bytes | None:
+    """The 128-bit hash of the text's words; None without any."""
+    out, some = xxhash.xxh3_128(), False
+    for run in _runs(text or ""):
+        out.update((" " if some else "") + " ".join(run))
+        some = True
+    return out.digest() if some else None
+
+
 class Shingler:
     """Shingle hashes of texts; remembers words' hashes."""
 
@@ -69,8 +90,7 @@ class Shingler:
         self.place: dict[str, int] = {}
         self.hashes = np.zeros(1 << 12, np.uint64)
 
-    def words(self, text: str) -> tuple[list[str], np.ndarray]:
-        found = _WORD.findall(text.lower())
+    def _codes(self, found: list[str]) -> np.ndarray:
         place = self.place
         try:
             at = [place[w] for w in found]
@@ -84,7 +104,12 @@ class Shingler:
                     self.hashes[len(place)] = xxhash.xxh3_64_intdigest(w)
                     place[w] = len(place)
             at = [place[w] for w in found]
-        return found, self.hashes[np.array(at, np.int32)] if at else np.zeros(0, np.uint64)
+        return self.hashes[np.array(at, np.int32)]
+
+    def words(self, text: str | None) -> tuple[bytes | None, np.ndarray]:
+        """The 128-bit hash of the text's words (None without any), and a code for each word."""
+        codes = [self._codes(found) for found in _runs(text)] if text else []
+        return (_digest(text), np.concatenate(codes)) if codes else (None, np.zeros(0, np.uint64))
 
     @staticmethod
     def shingles(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,15 +155,28 @@ def _draw_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def draws(shingles: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """texts x (BANDS * ROWS) draws (32 bits each) of the texts whose shingles begin at starts.
 
-    A shingle's hash for a draw is cut into the places of r, c and beta. All steps write into the
-    same few arrays, which stay in the processor's cache.
+    A shingle's hash for a draw is cut into the places of r, c and beta. Shingles are taken
+    DRAWN_AT_A_TIME, so that all steps write into the same few arrays, which stay in the
+    processor's cache, however long a text is.
     """
     if not _TABLES:
         _TABLES.extend(_draw_tables())
+    factors = _TABLES[2]
+    out = np.full((len(starts), len(factors)), np.iinfo(np.uint64).max, np.uint64)
+    for low in range(0, len(shingles), DRAWN_AT_A_TIME):
+        high = min(len(shingles), low + DRAWN_AT_A_TIME)
+        first, last = np.searchsorted(starts, low, "right") - 1, np.searchsorted(starts, high)
+        some = _least_keys(shingles[low:high], weight[low:high], np.maximum(starts[first:last] - low, 0))
+        np.minimum(out[first:last], some, out=out[first:last])
+    return (out & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _least_keys(shingles: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """texts x draws: the least key of each text's shingles; its upper half is ICWS's a, its lower half names what is drawn."""
     gamma, log_gamma, factors = _TABLES
     n = len(shingles)
     log_weight, name = np.log(weight), (shingles & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    out = np.empty((len(starts), len(factors)), np.uint32)
+    out = np.empty((len(starts), len(factors)), np.uint64)
     z, shifted, key = np.empty(n, np.uint64), np.empty(n, np.uint64), np.empty(n, np.uint64)
     r, c, beta, t = (np.empty(n, np.float32) for _ in range(4))
     times = np.empty(n, np.int32)
@@ -164,7 +202,7 @@ def draws(shingles: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.nd
         c += np.float32(256)
         high[:] = c.view(np.uint32)
         np.bitwise_xor(name, times.view(np.uint32) * np.uint32(0x9E3779B1), out=low)
-        out[:, k] = np.minimum.reduceat(key, starts) & np.uint64(0xFFFFFFFF)
+        out[:, k] = np.minimum.reduceat(key, starts)
     return out
 
 
@@ -182,10 +220,13 @@ def bucket_keys(drawn: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about PART_BYTES of the column text."""
     for batch in batches:
-        for start in range(0, batch.num_rows, DOCS_AT_A_TIME):
-            yield batch.slice(start, DOCS_AT_A_TIME)
+        part = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // PART_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(low, high - low)
 
 
 # --- statistics over all documents ---------------------------------------------------------------
@@ -214,8 +255,8 @@ def frequencies(docs: DataFrame, text: str) -> Weights:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sketch, n = Shingler(), np.zeros((SKETCH_ROWS, SKETCH_WIDTH), np.int64), 0
-        for part in _parts(batches):
-            coded = [codes for body in part.column(0).to_pylist() if body and len(codes := shingler.words(body)[1])]
+        for part in _parts(batches, 0):
+            coded = [codes for body in part.column(0).to_pylist() if len(codes := shingler.words(body)[1])]
             n += len(coded)
             if coded:
                 for r, places in enumerate(_places(np.concatenate([shingler.shingles(codes)[0] for codes in coded]))):
@@ -252,31 +293,28 @@ def frequencies(docs: DataFrame, text: str) -> Weights:
 # --- candidates ----------------------------------------------------------------------------------
 
 
-def signatures(docs: DataFrame, key: str, text: str, weights: Weights) -> DataFrame:
+def signatures(docs: DataFrame, key: str, text: str, weights: Broadcast) -> DataFrame:
     """key, tid (the words' 128-bit hash; null without words), shingles (their number) and buckets of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for part in _parts(batches):
+        for part in _parts(batches, 1):
             tids: list[bytes | None] = []
             sets, counts = [], []
             for body in part.column(1).to_pylist():
-                found, codes = shingler.words(body) if body else ([], None)
-                if not found:
-                    tids.append(None)
-                    continue
-                tids.append(xxhash.xxh3_128_digest(" ".join(found)))
-                shingles, times = shingler.shingles(codes)
-                sets.append(shingles)
-                counts.append(times)
+                tid, codes = shingler.words(body)
+                tids.append(tid)
+                if tid:
+                    shingles, times = shingler.shingles(codes)
+                    sets.append(shingles)
+                    counts.append(times)
             buckets: list[np.ndarray | None] = [None] * len(tids)
             sizes: list[int | None] = [None] * len(tids)
             if sets:
                 lengths = iter(map(len, sets))
                 sizes = [next(lengths) if t else None for t in tids]
                 shingles = np.concatenate(sets)
-                weight = shared.value.of(shingles) * np.concatenate(counts).astype(np.float32)
+                weight = weights.value.of(shingles) * np.concatenate(counts).astype(np.float32)
                 starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
                 keys = iter(bucket_keys(draws(shingles, weight, starts)))
                 buckets = [next(keys) if t else None for t in tids]
@@ -291,30 +329,28 @@ def _with_tid(rows: DataFrame, text: str, name: str) -> DataFrame:
     at = rows.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
-            found = [_WORD.findall(body.lower()) if body else [] for body in part.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([xxhash.xxh3_128_digest(" ".join(f)) if f else None for f in found], pa.binary())], names=[*part.schema.names, name])
+        for part in _parts(batches, at):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(map(_digest, part.column(at).to_pylist()), pa.binary())], names=[*part.schema.names, name])
 
     return mapped(rows, run, StructType([*rows.schema.fields, StructField(name, BinaryType())]))
 
 
-def weighted_sets(candidates: DataFrame, weights: Weights) -> DataFrame:
+def weighted_sets(candidates: DataFrame, weights: Broadcast) -> DataFrame:
     """tid and its weighted shingles (32 bits of each, ascending; weight) from those rows tid, text whose text has the hash tid."""
-    shared = candidates.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for part in _parts(batches):
+        for part in _parts(batches, 1):
             tids, names, values = [], [], []
             for tid, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                found, codes = shingler.words(body or "")
-                if not found or xxhash.xxh3_128_digest(" ".join(found)) != tid:
+                found, codes = shingler.words(body)
+                if found is None or found != tid:
                     continue
                 shingles, times = shingler.shingles(codes)
                 short, where = np.unique((shingles >> np.uint64(32)).astype(np.uint32), return_inverse=True)
                 tids.append(tid)
                 names.append(short.tobytes())
-                values.append(np.bincount(where, shared.value.of(shingles) * times).astype(np.float32).tobytes())
+                values.append(np.bincount(where, weights.value.of(shingles) * times).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(tids, pa.binary()), pa.array(names, pa.binary()), pa.array(values, pa.binary())], names=["tid", "shingles", "weight"])
 
     return mapped(candidates.select("tid", "text"), run, "tid binary, shingles binary, weight binary")
@@ -331,16 +367,20 @@ def similarity(a: bytes, wa: bytes, b: bytes, wb: bytes) -> float:
 
 
 class Sets:
-    """Weighted sets held in memory, and what is known of their links."""
+    """Weighted sets in memory, by shingle, and what is known of their links."""
 
     def __init__(self, rows: pa.Table) -> None:
         self.tid = rows.column("tid").to_pylist()
         self.names = [np.frombuffer(x, np.uint32) for x in rows.column("shingles").to_pylist()]
-        self.weight = [np.frombuffer(x, np.float32).astype(float) for x in rows.column("weight").to_pylist()]
-        self.total = [w.sum() for w in self.weight]
+        self.weight = [np.frombuffer(x, np.float32) for x in rows.column("weight").to_pylist()]
+        self.total = np.array([w.sum(dtype=float) for w in self.weight])
         self.root = list(range(len(self.tid)))
-        self.links: list[tuple[int, int, float]] = []
-        self.compared: set[tuple[int, int]] = set()
+        self.links: list[tuple[int, int]] = []
+        owner = np.repeat(np.arange(len(self.names), dtype=np.int32), [len(x) for x in self.names])
+        names = np.concatenate(self.names)
+        order = np.argsort(names, kind="stable")
+        self.known, self.first, self.often = np.unique(names[order], return_index=True, return_counts=True)
+        self.owner, self.held = owner[order], np.concatenate(self.weight)[order]
 
     def find(self, i: int) -> int:
         while self.root[i] != i:
@@ -351,174 +391,169 @@ class Sets:
         i, j = self.find(i), self.find(j)
         self.root[max(i, j)] = min(i, j)
 
-    def similarity(self, i: int, j: int) -> float:
-        if min(self.total[i], self.total[j]) < SIMILAR * max(self.total[i], self.total[j]):
-            return 0.0  # sums this far apart can't be similar
-        if len(self.names[i]) > len(self.names[j]):
-            i, j = j, i
-        at = np.minimum(np.searchsorted(self.names[j], self.names[i]), len(self.names[j]) - 1)
-        both = self.names[j][at] == self.names[i]
-        common = np.minimum(self.weight[i][both], self.weight[j][at[both]]).sum()
-        return float(common / (self.total[i] + self.total[j] - common))
-
-    def compare(self, i: int, j: int) -> None:
-        """Link i and j if they are similar, unless they are connected or were compared already."""
-        pair = (min(i, j), max(i, j))
-        if pair in self.compared or self.find(i) == self.find(j):
-            return
-        self.compared.add(pair)
-        if (sim := self.similarity(i, j)) >= SIMILAR:
-            self.join(i, j)
-            self.links.append((i, j, sim))
+    def similarities(self, i: int) -> np.ndarray:
+        """Of set i and each set: what is common is summed over the lists of its shingles."""
+        at = np.searchsorted(self.known, self.names[i])
+        often = self.often[at]
+        ends = np.cumsum(often)
+        where = np.arange(ends[-1]) + np.repeat(self.first[at] - ends + often, often)
+        common = np.bincount(self.owner[where], np.minimum(np.repeat(self.weight[i], often), self.held[where]), len(self.tid))
+        return common / (self.total[i] + self.total - common)
+
+    def ask(self, i: int) -> None:
+        """Link i with all that are similar and not connected yet."""
+        for j in np.flatnonzero(self.similarities(i) >= SIMILAR).tolist():
+            if self.find(i) != self.find(j):
+                self.join(i, j)
+                self.links.append((i, j))
 
     def found(self) -> pa.Table:
-        i, j, sim = zip(*self.links, strict=True) if self.links else ((), (), ())
-        return pa.table({"tid": pa.array([self.tid[x] for x in i], pa.binary()), "hub": pa.array([self.tid[x] for x in j], pa.binary()), "sim": pa.array(sim, pa.float64())})
+        i, j = zip(*self.links, strict=True) if self.links else ((), ())
+        return pa.table({"a": pa.array([self.tid[x] for x in i], pa.binary()), "b": pa.array([self.tid[x] for x in j], pa.binary())})
 
 
-_LINK = "tid binary, hub binary, sim double"
+_LINK = "a binary, b binary"
 
 
-def _family_links(families: DataFrame) -> DataFrame:
-    """Links within families of bounded size (family, tid, buckets, shingles, weight): all pairs that share a bucket, unless they are connected."""
+def _group_links(groups: DataFrame) -> DataFrame:
+    """Links within groups of bounded size (hub, tid, shingles, weight): the hub asks first, then each that isn't connected with it."""
 
     def resolve(rows: pa.Table) -> pa.Table:
-        sets = Sets(rows)
-        in_bucket: dict[int, list[int]] = {}
-        for i, buckets in enumerate(rows.column("buckets").to_pylist()):
-            for b in buckets:
-                in_bucket.setdefault(b, []).append(i)
-        for members in in_bucket.values():
-            for n, i in enumerate(members):
-                for j in members[:n]:
-                    sets.compare(i, j)
+        sets, hub = Sets(rows), rows.column("hub")[0].as_py()
+        first = sets.tid.index(hub)
+        for i in (first, *range(len(sets.tid))):
+            if i == first or sets.find(i) != sets.find(first):
+                sets.ask(i)
         return sets.found()
 
-    return families.groupBy("family").applyInArrow(resolve, _LINK)
+    return groups.groupBy("hub").applyInArrow(resolve, _LINK)
 
 
-def _hub_links(in_large: DataFrame, sets: DataFrame) -> DataFrame:
-    """tid, hub, sim of each member of a bucket (bucket, tid, low, high) and two others, the hubs low and high, similar or not.
-
-    Both joins are on keys of which one side is unique; Spark splits skewed partitions.
-    """
+def _judged(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """hub, tid, size, sim of each pair, similar or not. Both joins are with one row a key on the right; Spark splits skewed partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
-            sims = [similarity(*row) for row in zip(*(part.column(i).to_pylist() for i in range(2, 6)), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sims, pa.float64())], names=["tid", "hub", "sim"])
+        for part in _parts(batches, 3):
+            sims = [similarity(*row) for row in zip(*(part.column(i).to_pylist() for i in range(3, 7)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sims, pa.float64())], names=["hub", "tid", "size", "sim"])
 
-    pairs = in_large.select("tid", F.explode(F.array("low", "high")).alias("hub")).where("tid <> hub").dropDuplicates()
-    one = sets.select("tid", F.col("shingles").alias("a"), F.col("weight").alias("wa"))
-    two = sets.select(F.col("tid").alias("hub"), F.col("shingles").alias("b"), F.col("weight").alias("wb"))
-    return mapped(pairs.join(one, "tid").join(two, "hub").select("tid", "hub", "a", "wa", "b", "wb"), run, _LINK)
+    one = sets.select("tid", F.col("shingles").alias("x"), F.col("weight").alias("wx"))
+    two = sets.select(F.col("tid").alias("hub"), F.col("shingles").alias("y"), F.col("weight").alias("wy"))
+    return mapped(pairs.join(one, "tid").join(two, "hub").select("hub", "tid", "size", "x", "wx", "y", "wy"), run, "hub binary, tid binary, size long, sim double")
 
 
-def _block_links(in_large: DataFrame, judged: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between those members of a bucket that the links to hubs have not connected.
+def _block_links(judged: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links between members of large groups and those that aren't similar to the hub.
 
-    Members that aren't connected with the bucket's low hub ask all others of the bucket, but those
-    that the distances to this hub rule out (distance is a metric). Members are dealt into blocks:
-    a task has a block of those that ask and one of the others, BLOCK_ROWS each.
+    Members that aren't similar to their hub ask all others of the group, but those that the
+    distances to the hub rule out (distance is a metric). Members are dealt into blocks: a task has
+    a block of those that ask and one of the others, of GROUP_ROWS and GROUP_SHINGLES each.
     """
-    roots = components(judged.where(F.col("sim") >= SIMILAR).select(F.col("tid").alias("a"), F.col("hub").alias("b")))
-    part_of = lambda tid, name: roots.select(F.col("node").alias(tid), F.col("root").alias(name))
-    placed = in_large.join(part_of("tid", "part"), "tid", "left").join(part_of("low", "low_part"), "low", "left")
-    placed = placed.select("bucket", "tid", F.col("low").alias("hub"), F.coalesce("part", "tid").alias("part"), F.coalesce("low_part", "low").alias("low_part"))
-    known = placed.join(judged, ["tid", "hub"], "left").select("bucket", "tid", "part", F.coalesce("sim", F.lit(1.0)).alias("sim"), (F.col("part") != F.col("low_part")).alias("apart"))
-    counts = known.groupBy("bucket").agg(F.count("*").alias("all"), F.count_if("apart").alias("asking"), F.max(F.when(F.col("apart"), F.col("sim"))).alias("nearest")).where("asking > 0")
-    # One that is connected with the hub, and nearer to it than all that aren't are by more than 1 - SIMILAR, can't be similar to any of them.
-    open_ = written(known.join(counts, "bucket").where(F.col("apart") | ((1 - F.col("sim")) >= (1 - F.col("nearest")) - (1 - SIMILAR))), "dedup-open")
-    block = lambda n: F.pmod(F.xxhash64("tid"), F.ceil(F.col(n) / BLOCK_ROWS)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / BLOCK_ROWS).cast("int") - 1))
-    asking = open_.where("apart").select("bucket", "tid", "part", "sim", block("asking").alias("x"), each("all").alias("y"), F.lit(True).alias("asks"))
-    asked = open_.select("bucket", "tid", "part", "sim", each("asking").alias("x"), block("all").alias("y"), F.lit(False).alias("asks"))
-    dealt = asking.unionByName(asked).join(sets.select("tid", "shingles", "weight"), "tid")
+    asks = F.col("sim") < SIMILAR
+    blocks = lambda n, size: F.greatest(F.ceil(F.sum(n) / GROUP_ROWS), F.ceil(F.sum(size) / GROUP_SHINGLES)).cast("int")
+    asking, size = F.when(asks, 1).otherwise(0), F.when(asks, F.col("size")).otherwise(0)
+    counts = judged.groupBy("hub").agg(blocks(F.lit(1), F.col("size")).alias("ys"), blocks(asking, size).alias("xs"), F.max(F.when(asks, F.col("sim"))).alias("nearest")).where("nearest IS NOT NULL")
+    # One that is similar to the hub, and nearer to it than all that aren't are by more than 1 - SIMILAR, can't be similar to any of them.
+    open_ = scratch.written(judged.join(scratch.written(counts, "dedup-counts"), "hub").where(asks | ((1 - F.col("sim")) >= (1 - F.col("nearest")) - (1 - SIMILAR))), "dedup-open")
+    block = lambda n: F.pmod(F.xxhash64("tid"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = open_.where(asks).select("hub", "tid", "sim", block("xs").alias("x"), each("ys").alias("y"), F.lit(True).alias("asks"))
+    right = open_.select("hub", "tid", "sim", each("xs").alias("x"), block("ys").alias("y"), F.lit(False).alias("asks"))
+    dealt = left.unionByName(right).join(sets, "tid")
 
     def resolve(rows: pa.Table) -> pa.Table:
         held = Sets(rows)
         asks, sim = rows.column("asks").to_pylist(), rows.column("sim").to_pylist()
-        first: dict[bytes, int] = {}
-        for i, part in enumerate(rows.column("part").to_pylist()):
-            held.join(first.setdefault(part, i), i)
-        others = [i for i, a in enumerate(asks) if not a]
+        first: dict[object, int] = {}
+        for i, tid in enumerate(held.tid):  # a text on both sides is one; those similar to the hub are connected
+            held.join(first.setdefault(tid, i), i)
+            if sim[i] >= SIMILAR:
+                held.join(first.setdefault(None, i), i)
         for i in (i for i, a in enumerate(asks) if a):
-            for j in others:
-                if held.tid[i] != held.tid[j] and abs(sim[i] - sim[j]) <= 1 - SIMILAR + 1e-9:
-                    held.compare(i, j)
+            held.ask(i)
         return held.found()
 
-    return dealt.groupBy("bucket", "x", "y").applyInArrow(resolve, _LINK)
-
+    return dealt.groupBy("hub", "x", "y").applyInArrow(resolve, _LINK)
 
-def links(docs: DataFrame, signed: DataFrame, key: str, text: str, weights: Weights) -> DataFrame:
-    """tid, hub, sim of similar pairs of different texts, enough to connect all that share a bucket and are similar.
 
-    Texts connected by buckets are a family. A family of bounded size is resolved in one task. In
-    larger ones each bucket's members are verified against its hub, and those that fail in blocks.
-    """
+def links(docs: DataFrame, signed: DataFrame, key: str, text: str, weights: Broadcast, scratch: Scratch) -> DataFrame:
+    """a, b: similar pairs of different texts, enough to connect all that share a bucket and are similar."""
     texts = signed.where("tid IS NOT NULL").groupBy("tid").agg(F.min("key").alias("rep"), F.max("shingles").alias("size"), F.first("buckets").alias("buckets"))
-    in_buckets = texts.select("tid", F.explode("buckets").alias("bucket"))
-    shared = written(in_buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("tid").alias("low"), F.max("tid").alias("high")).where("n > 1").select("bucket", "low", "high"), "dedup-buckets")
-    members = written(in_buckets.join(shared, "bucket").select("bucket", "tid", "low", "high"), "dedup-members")
-    roots = components(members.where("tid <> low").select(F.col("tid").alias("a"), F.col("low").alias("b")))
-    family = written(roots.select(F.col("node").alias("tid"), F.col("root").alias("family")).unionByName(roots.select(F.col("root").alias("tid"), F.col("root").alias("family")).dropDuplicates()), "dedup-family")
-    wanted = written(texts.join(family, "tid"), "dedup-wanted")
-    large = written(wanted.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("all")).where((F.col("n") > FAMILY_ROWS) | (F.col("all") > FAMILY_SHINGLES)).select("family"), "dedup-large")
+    in_buckets = texts.select("tid", "size", F.explode("buckets").alias("bucket"))
+    shared = scratch.written(in_buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("tid").alias("hub")).where("n > 1").select("bucket", "hub"), "dedup-buckets")
+    members = scratch.written(in_buckets.join(shared, "bucket").select("hub", "tid", "size").dropDuplicates(), "dedup-members")
+    large = scratch.written(members.groupBy("hub").agg(F.count("*").alias("n"), F.sum("size").alias("all")).where((F.col("n") > GROUP_ROWS) | (F.col("all") > GROUP_SHINGLES)).select("hub"), "dedup-large")
+    wanted = scratch.written(texts.join(members.select("tid").dropDuplicates(), "tid").select("tid", "rep"), "dedup-wanted")
     # The text of a tid is that of any row with its words; rows of one id may hold other texts, so the hash decides.
     body = docs.select(F.col(key).alias("rep"), F.col(text).cast("string").alias("text"))
-    bodies = body.join(wanted.select("tid", "rep"), "rep").select("tid", "text")
+    bodies = body.join(wanted, "rep").select("tid", "text")
     # Texts that only rows without an id have are found by their hash.
     nameless = _with_tid(body.where("rep IS NULL").select("text"), "text", "tid").where("tid IS NOT NULL").dropDuplicates(["tid"])
     bodies = bodies.unionByName(nameless.join(wanted.where("rep IS NULL").select("tid"), "tid").select("tid", "text"))
-    sets = written(weighted_sets(bodies, weights).dropDuplicates(["tid"]), "dedup-sets")
-    small = wanted.join(large, "family", "left_anti").select("family", "tid", "buckets").join(sets, "tid")
-    found = _family_links(small)
+    sets = scratch.written(weighted_sets(bodies, weights).dropDuplicates(["tid"]), "dedup-sets")
+    found = _group_links(members.join(large, "hub", "left_anti").select("hub", "tid").join(sets, "tid"))
     if large.isEmpty():
-        return written(found, "dedup-links")
-    in_large = written(members.join(wanted.join(large, "family", "left_semi").select("tid"), "tid"), "dedup-in-large")
-    judged = written(_hub_links(in_large, sets), "dedup-judged")
-    return written(found.unionByName(judged.where(F.col("sim") >= SIMILAR)).unionByName(_block_links(in_large, judged, sets)), "dedup-links")
+        return found
+    judged = scratch.written(_judged(members.join(large, "hub", "left_semi"), sets), "dedup-judged")
+    similar = judged.where((F.col("sim") >= SIMILAR) & (F.col("tid") != F.col("hub"))).select(F.col("tid").alias("a"), F.col("hub").alias("b"))
+    return found.unionByName(similar).unionByName(_block_links(judged, sets, scratch))
 
 
 # --- groups --------------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (the component's smallest node) of all nodes but the roots, from edges a, b."""
+def _contracted(edges: DataFrame) -> DataFrame:
+    """a, b with a > b: each EDGES_AT_A_TIME edges of a task as a forest, every node at the smallest one that they connect it with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, EDGES_AT_A_TIME):
+                part, root = batch.slice(start, EDGES_AT_A_TIME), {}
+
+                def find(x: object) -> object:
+                    while (up := root.setdefault(x, x)) != x:
+                        root[x] = x = root[up]
+                    return x
 
-    def large_star(e: DataFrame) -> DataFrame:
-        both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).dropDuplicates()
+                for x, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    x, y = find(x), find(y)
+                    root[max(x, y)] = min(x, y)
+                nodes = [x for x in root if find(x) != x]
+                kind = part.schema.types[0]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], names=["a", "b"])
 
-    def small_star(e: DataFrame) -> DataFrame:
-        down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return moved.unionByName(least.select("a", F.col("m").alias("b"))).dropDuplicates()
+    return edges.select("a", "b").mapInArrow(run, edges.select("a", "b").schema)
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
 
-    edges = written(small_star(edges), "dedup-edges")
-    was = mark(edges)
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, root (the component's smallest node) of all nodes but the roots, from edges a, b.
+
+    In a round each node keeps the smallest of its smaller neighbours, the others are hung below
+    that one, and it moves on to that one's own. Edges never become more. Each join has one row a
+    key on the right, read from a written table, so that Spark can split the rows at a hub.
+    """
+    edges = scratch.written(_contracted(edges), "dedup-edges")
     while True:
-        edges = written(small_star(large_star(edges)), "dedup-edges")
-        now = mark(edges)
-        if now == was:
+        least = scratch.written(edges.groupBy("a").agg(F.min("b").alias("m")), "dedup-least")
+        others = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"), F.lit(True).alias("moved"))
+        jumped = least.join(least.select(F.col("a").alias("m"), F.col("m").alias("up")), "m", "left").select("a", F.coalesce("up", "m").alias("b"), F.col("up").isNotNull().alias("moved"))
+        edges = scratch.written(others.unionByName(jumped), "dedup-edges")
+        if edges.where("moved").isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        was = now
+        edges = edges.select("a", "b")
 
 
 def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, own (the hash of the text's words) and tid (its group's hash; both null without words) of every row of docs, written."""
-    weights = frequencies(docs, text)
-    signed = written(signatures(docs, key, text, weights), "dedup-signatures")
-    found = links(docs, signed, key, text, weights)
-    roots = components(found.select(F.col("tid").alias("a"), F.col("hub").alias("b")))
+    spark = docs.sparkSession
+    scratch, weights = Scratch(spark), spark.sparkContext.broadcast(frequencies(docs, text))  # 2 MB
+    signed = scratch.written(signatures(docs, key, text, weights), "dedup-signatures")
+    roots = components(links(docs, signed, key, text, weights, scratch), scratch)
     rows = signed.select("key", F.col("tid").alias("own")).join(roots, F.col("own") == F.col("node"), "left").select("key", "own", F.coalesce("root", "own").alias("tid"))
-    return written(rows, "dedup-rows")
+    rows = written(rows, "dedup-rows")
+    weights.destroy()
+    scratch.close()
+    return rows
 
 
 def groups(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -533,18 +568,19 @@ def deduplicated(docs: DataFrame, key: str, text: str) -> DataFrame:
     """docs with one row of each group: that of the smallest key (of rows that repeat with that key, one; without any key, one)."""
     rows = _grouped(docs, key, text)
     first = F.min(F.struct(F.col("key").isNull().alias("without"), "key", "own")).alias("first")
-    least = rows.where("tid IS NOT NULL").groupBy("tid").agg(first).select(F.col("first.key").alias("_key"), F.col("first.own").alias("_own"))
-    stay = written(least.unionByName(rows.where("tid IS NULL").select(F.col("key").alias("_key"), F.col("own").alias("_own"))), "dedup-stay")
-    times = rows.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("_n"))
-    again = written(times.where("_n > 1 OR _key IS NULL").select("_key"), "dedup-again")
-    single = docs.join(stay.join(again, "_key", "left_anti").where("_key IS NOT NULL").select("_key"), F.col(key) == F.col("_key")).select(*docs.columns)
+    least = rows.where("tid IS NOT NULL").groupBy("tid").agg(first).select(F.col("first.key").alias("key"), F.col("first.own").alias("own"))
+    stay = written(least.unionByName(rows.where("tid IS NULL").select("key", "own")), "dedup-stay")
+    again = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1 OR key IS NULL").select("key"), "dedup-again")
+    held = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"))  # names of docs can't clash in here
+    single = held.join(stay.join(again, "key", "left_anti").where("key IS NOT NULL").select("key"), "key").select("row.*")
     if again.isEmpty():
         return single
     # A key that many rows have doesn't tell which of them stays: the words' hash does. Rows without words all stay.
-    marked = _with_tid(docs.join(again, F.col(key).eqNullSafe(F.col("_key")), "left_semi").withColumn("_body", F.col(text).cast("string")), "_body", "_tid")
-    chosen = stay.where("_own IS NOT NULL")
-    one = marked.join(chosen, (F.col("_tid") == F.col("_own")) & F.col(key).eqNullSafe(F.col("_key")), "left_semi").dropDuplicates([key, "_tid"])
-    return single.unionByName(marked.where("_tid IS NULL").unionByName(one).select(*docs.columns))
+    known = again.select(F.col("key").alias("known"))
+    marked = _with_tid(held.join(known, F.col("key").eqNullSafe(F.col("known")), "left_semi").select("row", "key", F.col(f"row.`{text}`").cast("string").alias("body")), "body", "tid")
+    chosen = stay.where("own IS NOT NULL").select(F.col("key").alias("chosen"), "own")
+    one = marked.join(chosen, (F.col("tid") == F.col("own")) & F.col("key").eqNullSafe(F.col("chosen")), "left_semi").dropDuplicates(["key", "tid"])
+    return single.unionByName(marked.where("tid IS NULL").unionByName(one).select("row.*"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodeseek.llm import ann_tree, html_text, mixing, near_dedup, warc
+from lodeseek.llm.common import Scratch
 from lodeseek.llm.queries import ORACLE_SQL, QUERIES
 from tests.conftest import SMALL, rows_of
 from tests.llm.helpers import AWKWARD, LONG, documents
@@ -200,11 +201,10 @@ def test_near_duplicates_by_brute_force(spark):
 
 
 def test_near_duplicates_in_large_families(spark, monkeypatch):
-    """The way of large families (hubs and blocks) gives what families in one task give."""
+    """The way of large groups (distances to the hub, and blocks) gives what groups in one task give."""
     docs = documents(spark, list(enumerate(copies(9, 8))))
     one = dict(near_dedup.groups(docs, "doc_id", "text").collect())
-    monkeypatch.setattr(near_dedup, "FAMILY_ROWS", 2)
-    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(near_dedup, "GROUP_ROWS", 2)
     assert dict(near_dedup.groups(docs, "doc_id", "text").collect()) == one
 
 
@@ -256,7 +256,7 @@ def test_components_by_brute_force(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
-    got = {r.node: r.root for r in near_dedup.components(spark.createDataFrame([e for e in edges if e[0] != e[1]], "a int, b int")).collect()}
+    got = {r.node: r.root for r in near_dedup.components(spark.createDataFrame([e for e in edges if e[0] != e[1]], "a int, b int").repartition(5), Scratch(spark)).collect()}
     assert got == {x: find(x) for x in root if find(x) != x}
 
 
