@@ -8,11 +8,11 @@ frequent shingle, and RARE is chosen so that its error is below what the weight
 ICWS draws, for each of BANDS * ROWS seeds, one shingle of a text such that two texts draw alike
 with probability equal to their weighted Jaccard similarity. Bands of draws make buckets. Buckets
 with the same smallest text, their hub, make one group, so that a pair that shares many buckets
-mostly meets once. In a group the hub's similarity to all others is computed first, then that of
-each member that isn't connected with the hub to all members, so each pair is compared or
-connected. A group of bounded size is resolved in one task. In a larger one the distances to the
-hub come from joins, and the members that ask are dealt, with those that distances to the hub don't
-rule out, into blocks of bounded size; no pairs are listed. Links are closed to groups by pointer
+mostly meets once. A group is dealt into blocks of bounded size, each with the hub. In a block the
+hub's similarity to all others is computed first, then that of each member that isn't connected with
+the hub to all members. Where a group has several blocks, members that all links so far leave apart
+from the hub ask the other blocks too, save what distances to the hub rule out. So each pair of a
+group is compared, connected or ruled out, and no pairs are listed. Links are closed by pointer
 jumping over tables, after each task has contracted its own links.
 
 Texts of the same words are one text from the start, so copies cost nothing more.
@@ -34,7 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -49,8 +49,8 @@ PART_BYTES, WORDS_AT_A_TIME, DRAWN_AT_A_TIME = 1 << 20, 1 << 16, 1 << 15
 REMEMBERED_WORDS = 100_000
 #: The sketch: counters in a row, rows, counters in a block of a row, and sketches that one task sums.
 SKETCH_WIDTH, SKETCH_ROWS, SKETCH_BLOCK, SKETCH_FAN = 1 << 20, 2, 1 << 15, 64
-#: A group of buckets with no more texts and shingles is resolved in one task, a larger one in blocks of so many on each side.
-GROUP_ROWS, GROUP_SHINGLES = 512, 500_000
+#: Texts and shingles (in expectation) of a block, into which groups of texts are dealt.
+GROUP_ROWS, GROUP_SHINGLES = 256, 500_000
 #: Edges that a task contracts at a time.
 EDGES_AT_A_TIME = 100_000
 #: A shingle in less than one of RARE texts has full weight, twice that of one in every text.
@@ -356,16 +356,6 @@ def weighted_sets(candidates: DataFrame, weights: Broadcast) -> DataFrame:
     return mapped(candidates.select("tid", "text"), run, "tid binary, shingles binary, weight binary")
 
 
-def similarity(a: bytes, wa: bytes, b: bytes, wb: bytes) -> float:
-    """Weighted Jaccard similarity of two weighted sets."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    u, v = np.frombuffer(wa, np.float32).astype(float), np.frombuffer(wb, np.float32).astype(float)
-    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    both = y[at] == x
-    common = np.minimum(u[both], v[at[both]]).sum()
-    return float(common / (u.sum() + v.sum() - common))
-
-
 class Sets:
     """Weighted sets in memory, by shingle, and what is known of their links."""
 
@@ -415,8 +405,13 @@ class Sets:
 _LINK = "a binary, b binary"
 
 
-def _group_links(groups: DataFrame) -> DataFrame:
-    """Links within groups of bounded size (hub, tid, shingles, weight): the hub asks first, then each that isn't connected with it."""
+def _blocks(rows: Column, size: Column) -> Column:
+    """Into how many blocks so many texts and shingles go."""
+    return F.greatest(F.ceil(rows / GROUP_ROWS), F.ceil(size / GROUP_SHINGLES), F.lit(1)).cast("int")
+
+
+def _first_links(blocks: DataFrame) -> DataFrame:
+    """a, b: links within blocks (hub, block, blocks, tid, size, shingles, weight). With size and sim: a member, its hub and their similarity, where a group has several blocks."""
 
     def resolve(rows: pa.Table) -> pa.Table:
         sets, hub = Sets(rows), rows.column("hub")[0].as_py()
@@ -424,53 +419,47 @@ def _group_links(groups: DataFrame) -> DataFrame:
         for i in (first, *range(len(sets.tid))):
             if i == first or sets.find(i) != sets.find(first):
                 sets.ask(i)
-        return sets.found()
-
-    return groups.groupBy("hub").applyInArrow(resolve, _LINK)
-
-
-def _judged(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """hub, tid, size, sim of each pair, similar or not. Both joins are with one row a key on the right; Spark splits skewed partitions."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches, 3):
-            sims = [similarity(*row) for row in zip(*(part.column(i).to_pylist() for i in range(3, 7)), strict=True)]
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sims, pa.float64())], names=["hub", "tid", "size", "sim"])
+        links = sets.found()
+        none = pa.nulls(len(links), pa.int64())
+        out = links.append_column("size", none).append_column("sim", none.cast(pa.float64()))
+        if rows.column("blocks")[0].as_py() == 1:
+            return out
+        others = np.flatnonzero(np.arange(len(sets.tid)) != first)
+        sims = sets.similarities(first)[others]
+        judged = pa.table({"a": rows.column("tid").take(others), "b": pa.array([hub] * len(others), pa.binary()), "size": rows.column("size").take(others), "sim": sims})
+        return pa.concat_tables([out, judged.cast(out.schema)])
 
-    one = sets.select("tid", F.col("shingles").alias("x"), F.col("weight").alias("wx"))
-    two = sets.select(F.col("tid").alias("hub"), F.col("shingles").alias("y"), F.col("weight").alias("wy"))
-    return mapped(pairs.join(one, "tid").join(two, "hub").select("hub", "tid", "size", "x", "wx", "y", "wy"), run, "hub binary, tid binary, size long, sim double")
+    return blocks.groupBy("hub", "block").applyInArrow(resolve, f"{_LINK}, size long, sim double")
 
 
-def _block_links(judged: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links between members of large groups and those that aren't similar to the hub.
+def _block_links(judged: DataFrame, linked: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links between members of groups of several blocks and those that linked leaves apart from the hub. judged: tid, hub, size, sim.
 
-    Members that aren't similar to their hub ask all others of the group, but those that the
-    distances to the hub rule out (distance is a metric). Members are dealt into blocks: a task has
-    a block of those that ask and one of the others, of GROUP_ROWS and GROUP_SHINGLES each.
+    Members that are apart ask all others of the group, but those that the distances to the hub rule
+    out (distance is a metric). Members are dealt anew: a task has a block of those that ask and one
+    of the others.
     """
-    asks = F.col("sim") < SIMILAR
-    blocks = lambda n, size: F.greatest(F.ceil(F.sum(n) / GROUP_ROWS), F.ceil(F.sum(size) / GROUP_SHINGLES)).cast("int")
-    asking, size = F.when(asks, 1).otherwise(0), F.when(asks, F.col("size")).otherwise(0)
-    counts = judged.groupBy("hub").agg(blocks(F.lit(1), F.col("size")).alias("ys"), blocks(asking, size).alias("xs"), F.max(F.when(asks, F.col("sim"))).alias("nearest")).where("nearest IS NOT NULL")
-    # One that is similar to the hub, and nearer to it than all that aren't are by more than 1 - SIMILAR, can't be similar to any of them.
-    open_ = scratch.written(judged.join(scratch.written(counts, "dedup-counts"), "hub").where(asks | ((1 - F.col("sim")) >= (1 - F.col("nearest")) - (1 - SIMILAR))), "dedup-open")
+    roots = components(linked, scratch)
+    of = lambda node, name: roots.select(F.col("node").alias(node), F.col("root").alias(name))
+    placed = judged.join(of("tid", "part"), "tid", "left").join(of("hub", "hub_part"), "hub", "left")
+    known = scratch.written(placed.select("hub", "tid", "size", "sim", F.coalesce("part", "tid").alias("part"), (F.coalesce("part", "tid") != F.coalesce("hub_part", "hub")).alias("asks")), "dedup-known")
+    asking, size = F.when(F.col("asks"), 1).otherwise(0), F.when(F.col("asks"), F.col("size")).otherwise(0)
+    counts = known.groupBy("hub").agg(_blocks(F.count("*"), F.sum("size")).alias("ys"), _blocks(F.sum(asking), F.sum(size)).alias("xs"), F.max(F.when(F.col("asks"), F.col("sim"))).alias("nearest")).where("nearest IS NOT NULL")
+    # One that is connected with the hub, and nearer to it than all that aren't are by more than 1 - SIMILAR, can't be similar to any of them.
+    open_ = scratch.written(known.join(scratch.written(counts, "dedup-counts"), "hub").where(F.col("asks") | ((1 - F.col("sim")) >= (1 - F.col("nearest")) - (1 - SIMILAR))), "dedup-open")
     block = lambda n: F.pmod(F.xxhash64("tid"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = open_.where(asks).select("hub", "tid", "sim", block("xs").alias("x"), each("ys").alias("y"), F.lit(True).alias("asks"))
-    right = open_.select("hub", "tid", "sim", each("xs").alias("x"), block("ys").alias("y"), F.lit(False).alias("asks"))
+    left = open_.where("asks").select("hub", "tid", "part", block("xs").alias("x"), each("ys").alias("y"), F.lit(True).alias("asks"))
+    right = open_.select("hub", "tid", "part", each("xs").alias("x"), block("ys").alias("y"), F.lit(False).alias("asks"))
     dealt = left.unionByName(right).join(sets, "tid")
 
     def resolve(rows: pa.Table) -> pa.Table:
-        held = Sets(rows)
-        asks, sim = rows.column("asks").to_pylist(), rows.column("sim").to_pylist()
-        first: dict[object, int] = {}
-        for i, tid in enumerate(held.tid):  # a text on both sides is one; those similar to the hub are connected
-            held.join(first.setdefault(tid, i), i)
-            if sim[i] >= SIMILAR:
-                held.join(first.setdefault(None, i), i)
-        for i in (i for i, a in enumerate(asks) if a):
-            held.ask(i)
+        held, first = Sets(rows), {}
+        for i, part in enumerate(rows.column("part").to_pylist()):
+            held.join(first.setdefault(part, i), i)
+        for i, asks in enumerate(rows.column("asks").to_pylist()):
+            if asks:
+                held.ask(i)
         return held.found()
 
     return dealt.groupBy("hub", "x", "y").applyInArrow(resolve, _LINK)
@@ -482,7 +471,7 @@ def links(docs: DataFrame, signed: DataFrame, key: str, text: str, weights: Broa
     in_buckets = texts.select("tid", "size", F.explode("buckets").alias("bucket"))
     shared = scratch.written(in_buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("tid").alias("hub")).where("n > 1").select("bucket", "hub"), "dedup-buckets")
     members = scratch.written(in_buckets.join(shared, "bucket").select("hub", "tid", "size").dropDuplicates(), "dedup-members")
-    large = scratch.written(members.groupBy("hub").agg(F.count("*").alias("n"), F.sum("size").alias("all")).where((F.col("n") > GROUP_ROWS) | (F.col("all") > GROUP_SHINGLES)).select("hub"), "dedup-large")
+    large = scratch.written(members.groupBy("hub").agg(_blocks(F.count("*"), F.sum("size")).alias("blocks")).where("blocks > 1"), "dedup-large")
     wanted = scratch.written(texts.join(members.select("tid").dropDuplicates(), "tid").select("tid", "rep"), "dedup-wanted")
     # The text of a tid is that of any row with its words; rows of one id may hold other texts, so the hash decides.
     body = docs.select(F.col(key).alias("rep"), F.col(text).cast("string").alias("text"))
@@ -491,12 +480,16 @@ def links(docs: DataFrame, signed: DataFrame, key: str, text: str, weights: Broa
     nameless = _with_tid(body.where("rep IS NULL").select("text"), "text", "tid").where("tid IS NOT NULL").dropDuplicates(["tid"])
     bodies = bodies.unionByName(nameless.join(wanted.where("rep IS NULL").select("tid"), "tid").select("tid", "text"))
     sets = scratch.written(weighted_sets(bodies, weights).dropDuplicates(["tid"]), "dedup-sets")
-    found = _group_links(members.join(large, "hub", "left_anti").select("hub", "tid").join(sets, "tid"))
+    blocks = F.coalesce("blocks", F.lit(1))
+    own = F.when(F.col("tid") == F.col("hub"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("tid"), blocks).cast("int")))
+    dealt = members.join(large, "hub", "left").select("hub", "tid", "size", blocks.alias("blocks"), F.explode(own).alias("block"))
+    first = _first_links(dealt.join(sets, "tid"))
     if large.isEmpty():
-        return found
-    judged = scratch.written(_judged(members.join(large, "hub", "left_semi"), sets), "dedup-judged")
-    similar = judged.where((F.col("sim") >= SIMILAR) & (F.col("tid") != F.col("hub"))).select(F.col("tid").alias("a"), F.col("hub").alias("b"))
-    return found.unionByName(similar).unionByName(_block_links(judged, sets, scratch))
+        return first.select("a", "b")
+    first = scratch.written(first, "dedup-first")
+    linked = first.where("sim IS NULL").select("a", "b")
+    judged = first.where("sim IS NOT NULL").select(F.col("a").alias("tid"), F.col("b").alias("hub"), "size", "sim")
+    return linked.unionByName(_block_links(judged, linked, sets, scratch))
 
 
 # --- groups --------------------------------------------------------------------------------------
