@@ -2,10 +2,11 @@
 
 Every word position of every text gives a rolling hash of its k-gram; Spark joins these to the
 positions of the same hash in the templates (a small table of fixed size). A hit votes for the
-diagonal "text position minus template position". Votes are summed by diagonal, diagonals that lie
-next to each other (words inserted or left out) are merged, and a merged span is verified by the
-share of the template's k-grams that it has. Base phrases are templates whose every k-gram must
-lie on one diagonal, so each such diagonal is a place.
+diagonal "text position minus template position". Votes are summed by diagonal, and diagonals that lie
+next to each other (words inserted or left out) are merged. A merged span is verified: its hits are
+aligned with the template, in order and from diagonal to neighbouring diagonal, and the share of the
+template's words that the best alignment covers, each word once, must reach MIN_COVER. Base phrases
+are templates whose every k-gram must lie on one diagonal, so each such diagonal is a place.
 
 Defined results: a null text counts as empty: no words, no places, null first and last word, empty
 labels, score 0. Texts of any length are read whole. Rows that repeat (same id and text) each get
@@ -15,12 +16,15 @@ table gives an empty one. Other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lodeseek.llm.common import table
+from lodeseek.llm.common import mapped, table
 
 #: What lies between words; words are runs of digits, letters and anything beyond ASCII, after A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -28,7 +32,7 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASE_K, TEXT_K = 2, 4
 #: Most words inserted or left out between two diagonals that are merged.
 DIAGONAL_GAP = 4
-#: Least share of a template's k-grams in a span.
+#: Least share of a template's words in a span.
 MIN_COVER = 0.6
 
 # The phrases of the base and their labels.
@@ -90,7 +94,7 @@ def _template_positions(spark: SparkSession, known: list[Template]) -> DataFrame
 
 
 def votes(df: DataFrame, key: str, text: str, known: list[Template]) -> DataFrame:
-    """key, text_hash, template, diagonal, first_gram, last_gram, grams: the distinct k-grams on each diagonal."""
+    """key, text_hash, template, diagonal, at: on each diagonal the template positions, ascending, of its distinct k-grams."""
     listed = F.broadcast(_template_positions(df.sparkSession, known))  # a few hundred rows, whatever the input
     worded = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), words(F.col(text)).alias("w"))
     grams = worded.where(F.size("w") >= PHRASE_K).selectExpr(
@@ -99,25 +103,61 @@ def votes(df: DataFrame, key: str, text: str, known: list[Template]) -> DataFram
     same = (F.xxhash64("x", "y") == F.col("h")) & (F.col("x") == F.col("a")) & (F.col("y") == F.col("b")) & ((F.col("k") == PHRASE_K) | ((F.col("z") == F.col("c")) & (F.col("u") == F.col("d"))))
     hits = grams.join(listed, same).select("key", "text_hash", "template", (F.col("at_word") - F.col("at")).alias("diagonal"), "at")
     by = ["key", "text_hash", "template", "diagonal"]
-    return hits.dropDuplicates().groupBy(*by).agg(F.min("at").alias("first_gram"), F.max("at").alias("last_gram"), F.count("*").alias("grams"))
+    return hits.groupBy(*by).agg(F.sort_array(F.collect_set("at")).alias("at"))  # as many as the template has, at most
+
+
+def aligned(hits: list[tuple[int, int]], k: int) -> tuple[int, int]:
+    """The most template words that hits (diagonal, template position) cover in order, each once, and the text position where that begins.
+
+    A hit may follow another if it lies further on in text and template, on the same diagonal or one
+    no more than DIAGONAL_GAP away. Ties go to the earlier begin.
+    """
+    spots = sorted((diagonal + at, at) for diagonal, at in hits)
+    by_at: dict[int, list[tuple[int, int, int]]] = {}  # template position -> text position, words, begin of the best alignment that ends there
+    best = (0, 0)
+    for word, at in spots:
+        covered, begin = k, word
+        for before, ends in by_at.items():
+            if before >= at:
+                continue
+            for w, n, first in reversed(ends):
+                if w < word - (at - before) - DIAGONAL_GAP:
+                    break
+                if w < word and abs((word - at) - (w - before)) <= DIAGONAL_GAP:
+                    n += min(k, at - before, word - w)
+                    covered, begin = max((covered, -begin), (n, -first))
+                    begin = -begin
+        by_at.setdefault(at, []).append((word, covered, begin))
+        best = max(best, (covered, -begin))
+    return best[0], -best[1]
 
 
 def spans(df: DataFrame, key: str, text: str, known: list[Template]) -> DataFrame:
-    """Verified spans: key, text_hash, template, label, base, start (word), cover (share of the template's k-grams)."""
-    from pyspark.sql import Window
-
-    facts = df.sparkSession.createDataFrame([(t.number, t.label, t.base, t.grams) for t in known], "template int, label string, base boolean, all_grams int")
+    """Verified spans: key, text_hash, template, label, base, start (word), cover (share of the template's words)."""
+    facts = df.sparkSession.createDataFrame([(t.number, t.label, t.base, t.k, t.grams, len(t.words)) for t in known], "template int, label string, base boolean, k int, all_grams int, all_words int")
     voted = votes(df, key, text, known).join(F.broadcast(facts), "template")
+    named = ["key", "text_hash", "template", "label"]
+    places = voted.where(F.col("base") & (F.size("at") == F.col("all_grams"))).select(*named, "base", F.col("diagonal").alias("start"), F.lit(1.0).alias("cover"))
     # A window holds one text's diagonals of one template, and so no more than that text's words.
     along = Window.partitionBy("key", "text_hash", "template").orderBy("diagonal")
-    apart = F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(along) > DIAGONAL_GAP)
-    grouped = voted.withColumn("apart", F.coalesce(apart.cast("int"), F.lit(1))).withColumn("span", F.sum("apart").over(along))
-    merged = grouped.groupBy("key", "text_hash", "template", "label", "base", "span").agg(
-        F.min(F.col("diagonal") + F.col("first_gram")).alias("start"), F.min("diagonal").alias("diagonal"), F.sum("grams").alias("grams"), F.first("all_grams").alias("all_grams")
-    )
-    cover = F.least(F.lit(1.0), F.col("grams") / F.col("all_grams"))
-    verified = F.when(F.col("base"), F.col("grams") == F.col("all_grams")).otherwise(cover >= MIN_COVER)
-    return merged.where(verified).select("key", "text_hash", "template", "label", "base", F.when(F.col("base"), F.col("diagonal")).otherwise(F.col("start")).alias("start"), cover.alias("cover"))
+    apart = F.col("diagonal") - F.lag("diagonal").over(along) > DIAGONAL_GAP
+    grouped = voted.where("NOT base").withColumn("apart", F.coalesce(apart.cast("int"), F.lit(1))).withColumn("span", F.sum("apart").over(along))
+    merged = grouped.groupBy(*named, "k", "all_words", "span").agg(F.collect_list(F.struct("diagonal", "at")).alias("lines"))
+    positions = F.size(F.array_distinct(F.flatten("lines.at")))
+    merged = merged.where(F.col("k") * positions >= MIN_COVER * F.col("all_words"))  # fewer can't cover enough
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, covers = [], []
+            for k, all_words, lines in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                n, start = aligned([(x["diagonal"], at) for x in lines for at in x["at"]], k)
+                starts.append(start)
+                covers.append(n / all_words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts, pa.int32()), pa.array(covers, pa.float64())], names=["named", "start", "cover"])
+
+    asked = merged.select(F.struct(*named).alias("named"), "k", "all_words", "lines")
+    judged = mapped(asked, verify, StructType([asked.schema["named"], *StructType.fromDDL("start int, cover double").fields])).where(F.col("cover") >= MIN_COVER)
+    return places.unionByName(judged.select("named.*", F.lit(False).alias("base"), "start", "cover"))
 
 
 def scan(df: DataFrame, key: str, text: str, phrases: dict[str, str] | None = None, texts: dict[str, str] | None = None) -> DataFrame:
