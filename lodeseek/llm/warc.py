@@ -3,11 +3,12 @@
 Format "lodeseek_warc". Reading plans partitions of whole files (small files share one), takes
 equality, IN and prefix predicates on record_type and the header columns, parses a record's headers
 first, and seeks past (plain files) or inflates without keeping (.gz files) the block of a record
-that isn't wanted. Writing makes one file for each task under a temporary name; only the files of
-successful tasks get their final name when the job commits, so lost or repeated tasks leave nothing.
+that isn't wanted. Writing makes files of about file_bytes under temporary names that name the job;
+only the files of successful tasks get their final name when the job commits, and what lost or
+repeated tasks of the job left is deleted then.
 
 Options: path (file://, a plain path, or any scheme that pyarrow.fs opens), payload ("false" skips
-every payload), compression ("none" or "gzip", one member for each record), partition_bytes.
+every payload), compression ("none" or "gzip", one member for each record), partition_bytes, file_bytes.
 
 Defined results of write_pages and read_pages: null html is an empty payload; a null URL has no
 header; repeated rows make repeated records; an empty table makes no record. Payloads of any size
@@ -48,10 +49,11 @@ HEADERS = {
     "content_type": "Content-Type",
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-PARTITION_BYTES = 64 << 20
+PARTITION_BYTES = FILE_BYTES = 16 << 20
 BATCH_BYTES = 8 << 20
 BLOCK = 1 << 20
-HEAD_LIMIT = 1 << 20
+#: Compressed bytes that are inflated at a time: what a member leaves over of them is given again.
+INFLATE = 1 << 13
 FIXED_DATE = "2000-01-01T00:00:00Z"
 
 
@@ -63,53 +65,67 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 class _Bytes:
-    """A stream with reads of exact length and skipping; inflates .gz files member by member."""
+    """A stream with reads of exact length and skipping; inflates .gz files member by member.
+
+    What was read and not yet taken lies in held from at on; each byte is moved a bounded number of times.
+    """
 
     def __init__(self, raw: pa.NativeFile, size: int, gzip: bool) -> None:
-        self.raw, self.size, self.gzip, self.buffer = raw, size, gzip, b""
+        self.raw, self.size, self.gzip = raw, size, gzip
+        self.held, self.at = bytearray(), 0
         self.inflate = zlib.decompressobj(31) if gzip else None
+        self.packed, self.next = memoryview(b""), 0
+
+    def _inflated(self) -> bytes | None:
+        """Some more bytes of a .gz file, perhaps none; None at the end."""
+        if self.next >= len(self.packed):
+            self.packed, self.next = memoryview(self.raw.read(BLOCK)), 0
+            if not self.packed:
+                return None
+        if self.inflate.eof:
+            self.inflate = zlib.decompressobj(31)
+        part = self.packed[self.next : self.next + INFLATE]
+        out = self.inflate.decompress(part)
+        self.next += len(part) - len(self.inflate.unused_data)
+        return out
 
     def _more(self) -> bool:
-        while True:
-            data = self.inflate.unused_data if self.gzip and self.inflate.eof else b""
-            if self.gzip and self.inflate.eof:
-                self.inflate = zlib.decompressobj(31)
-            if not data:
-                data = self.raw.read(BLOCK)
-            if not data:
-                return False
-            out = self.inflate.decompress(data) if self.gzip else data
+        while (out := self._inflated() if self.gzip else self.raw.read(BLOCK) or None) is not None:
             if out:
-                self.buffer += out
+                if self.at > BLOCK:
+                    del self.held[: self.at]
+                    self.at = 0
+                self.held += out
                 return True
+        return False
 
     def head(self) -> bytes | None:
-        """Up to and with the next blank line; None at the end."""
-        at = 0
-        while (end := self.buffer.find(b"\r\n\r\n", max(0, at - 3))) < 0:
-            at = len(self.buffer)
-            if at > HEAD_LIMIT:
-                raise ValueError("WARC header without an end")
+        """Up to and with the next blank line, however long; None at the end."""
+        seen = self.at
+        while (end := self.held.find(b"\r\n\r\n", max(self.at, seen - 3))) < 0:
+            seen, was = len(self.held), self.at
             if not self._more():
-                if self.buffer.strip(b"\r\n"):
+                if self.held[self.at :].strip(b"\r\n"):
                     raise ValueError("WARC file ends within a header")
                 return None
-        out, self.buffer = self.buffer[: end + 4], self.buffer[end + 4 :]
+            seen -= was - self.at
+        out, self.at = bytes(self.held[self.at : end + 4]), end + 4
         return out
 
     def take(self, n: int) -> bytes:
         parts = io.BytesIO()
         while n:
-            if not self.buffer and not self._more():
+            if self.at == len(self.held) and not self._more():
                 raise ValueError("WARC file ends within a record")
-            some, self.buffer = self.buffer[:n], self.buffer[n:]
+            some = self.held[self.at : self.at + n]
+            self.at += len(some)
             parts.write(some)
             n -= len(some)
         return parts.getvalue()
 
     def skip(self, n: int) -> None:
-        inside = min(n, len(self.buffer))
-        self.buffer, n = self.buffer[inside:], n - inside
+        inside = min(n, len(self.held) - self.at)
+        self.at, n = self.at + inside, n - inside
         if n and not self.gzip:
             if self.raw.tell() + n > self.size:
                 raise ValueError("WARC file ends within a record")
@@ -118,8 +134,8 @@ class _Bytes:
         while n:
             if not self._more():
                 raise ValueError("WARC file ends within a record")
-            inside = min(n, len(self.buffer))
-            self.buffer, n = self.buffer[inside:], n - inside
+            inside = min(n, len(self.held) - self.at)
+            self.at, n = self.at + inside, n - inside
 
 
 def parse_headers(head: bytes) -> dict[str, str]:
@@ -229,44 +245,57 @@ class WarcReader(DataSourceReader):
 
 @dataclass
 class _Written(WriterCommitMessage):
-    name: str | None
+    names: list[str]
 
 
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str]) -> None:
-        self.path, self.gzip = options["path"], options.get("compression", "none") == "gzip"
+        self.path, self.gzip, self.job = options["path"], options.get("compression", "none") == "gzip", uuid.uuid4().hex
+        self.file_bytes = int(options.get("file_bytes", FILE_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         fs, root = _open(self.path)
-        name = f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.gzip
-        out = None
+        names: list[str] = []
+        out, size = None, 0
         try:
             for batch in iterator:
                 for row in zip(*(batch.column(c) for c in WRITE_COLUMNS), strict=True):
                     if out is None:
                         fs.create_dir(root, recursive=True)
-                        out = fs.open_output_stream(f"{root}/.{name}.open")
+                        names.append(f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.gzip)
+                        out, size = fs.open_output_stream(self._open_name(root, names[-1])), 0
                     record = self.record(*(x.as_py() for x in row))
                     if self.gzip:
                         deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
                         record = deflate.compress(record) + deflate.flush()
                     out.write(record)
+                    size += len(record)
+                    if size >= self.file_bytes:
+                        out.close()
+                        out = None
         finally:
             if out is not None:
                 out.close()
-        return _Written(name if out is not None else None)
+        return _Written(names)
+
+    def _open_name(self, root: str, name: str) -> str:
+        return f"{root}/.{self.job}-{name}.open"
+
+    def _sweep(self, fs: pafs.FileSystem, root: str) -> None:
+        """Delete what this job left under temporary names."""
+        for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+            if f.base_name.startswith(f".{self.job}-"):
+                fs.delete_file(f.path)
 
     def commit(self, messages: list[_Written | None]) -> None:
         fs, root = _open(self.path)
         for m in messages:
-            if m is not None and m.name:
-                fs.move(f"{root}/.{m.name}.open", f"{root}/{m.name}")
+            for name in m.names if m is not None else ():
+                fs.move(self._open_name(root, name), f"{root}/{name}")
+        self._sweep(fs, root)
 
     def abort(self, messages: list[_Written | None]) -> None:
-        fs, root = _open(self.path)
-        for m in messages:
-            if m is not None and m.name:
-                fs.delete_file(f"{root}/.{m.name}.open")
+        self._sweep(*_open(self.path))
 
     @staticmethod
     def record(record_type: str, record_id: str | None, refers_to: str | None, target_uri: str | None, payload_digest: str | None, payload_bytes: int, payload: bytes | None) -> bytes:

@@ -5,9 +5,11 @@ import gzip
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,13 +58,55 @@ and <b>bold</b>.<p>Second.<aside class="related"><h3>Read on</h3><a href=1>x y</
 
 
 def test_html_page_with_everything():
-    tree = html_text.train(html_text.LABELLED)
+    tree = html_text.train(html_text.labelled())
     assert html_text.main_text(PAGE, tree).split("\n\n") == ["Big & title", "First with one link © here and bold.", "Second.", "one", "two", "cell a", "cell b", "Last <p> one."]
 
 
 def test_html_tree_fits_its_table():
-    tree = html_text.train(html_text.LABELLED)
-    assert all(html_text.is_main(tree, x) == bool(y) for x, y in html_text.LABELLED)
+    rows = html_text.labelled()
+    tree = html_text.train(rows)
+    assert all(html_text.is_main(tree, x) == bool(y) for x, y in rows)
+
+
+def test_html_neighbours_decide():
+    """Words and link density of neighbours tell blocks that are alike in themselves, on pages that say nothing."""
+    tree, used, waiting = html_text.train(html_text.labelled()), set(), []
+    waiting.append(tree)
+    for node in waiting:
+        if node.feature >= 0:
+            used.add(html_text.FEATURES[node.feature])
+            waiting += [node.low, node.high]
+    assert used >= {"words", "link_density", "words_before", "words_after"} and used & {"link_density_before", "link_density_after"}
+    long, link = "<p>" + "word " * 60 + "</p>", "<div><a href=x>one two</a></div>"
+    short = "<div>three short words</div>"
+    got = html_text.main_text(long + short + long + link * 3 + short + link * 3, tree)
+    assert got.split("\n\n") == [" ".join(["word"] * 60), "three short words", " ".join(["word"] * 60)]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p>before <svg/> after</p><p>last</p>", ["before after", "last"]), ("<p>a <svg><text>t</text></svg> b</p><p>c</p>", ["a b", "c"]), ("<p>a <svg><path> b</p><p>c d</p>", ["a", "c d"]),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>5</mn></math> hold</p>", ["Let x=5 hold"]), ("<p>one</p><video><source src=x>instead</video><p>two</p>", ["one", "instead", "two"]),
+        ("<p>a <button>Go<p>more text</p><p>x y z</p>", ["a", "more text", "x y z"]), ("<p>t</p><select><option>a<option>b</select><p>u</p><form><label>q</label><input></form><p>v</p>", ["t", "u", "v"]),
+        ('<h1 class="article-header">Title here</h1><div class="search-algorithms"><p>Some text</p></div><div class="post-comments"><p>Nice one</p></div>', ["Title here", "Some text"]),
+        ('<div class="header"><p>Own title</p></div><div class="share-buttons">Share this now</div><p>t</p>', ["Own title", "t"]), ("<p>t<script/>x</script>u</p>", ["tu"]),
+    ],
+)
+def test_html_elements_end_as_in_html(page, want):
+    assert html_text.main_text(f"<article>{page}</article>", html_text.train(html_text.labelled())).split("\n\n") == want
+
+
+def test_html_takes_time_in_proportion():
+    tree = html_text.train(html_text.labelled())
+
+    def seconds(n):
+        began = time.perf_counter()
+        html_text.main_text("<div>" * n + "</p>" * n + "<a " * n, tree)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 12 * seconds(10_000)
 
 
 def test_html_awkward_rows(spark):
@@ -137,6 +181,27 @@ def test_warc_reads_other_writers_and_refuses_broken_files(spark, tmp_path):
         spark.read.format(warc.NAME).load(str(tmp_path / "one")).collect()
 
 
+def test_warc_long_headers_and_many_small_members(spark, tmp_path):
+    rows = [(1, "http://a/" + "x" * 3_000_000, "body"), *((i, f"http://a/{i}", f"page {i}") for i in range(2, 400))]
+    for compression in ("none", "gzip"):
+        warc.register(spark)
+        warc.write_pages(pages(spark, rows).coalesce(1), str(tmp_path / compression), compression=compression)
+        got = {r.page_id: (r.url, bytes(r.payload).decode()) for r in warc.read_pages(spark, str(tmp_path / compression)).collect()}
+        assert got == {i: (u, h) for i, u, h in rows}
+
+
+def test_warc_files_are_bounded_and_leave_nothing(spark, tmp_path):
+    writer = warc.WarcWriter({"path": str(tmp_path), "file_bytes": "1000"})
+    batch = pa.RecordBatch.from_pylist([dict(zip(warc.WRITE_COLUMNS, ("response", f"<{i}>", None, "u", None, 500, b"x" * 500), strict=True)) for i in range(7)])
+    done, lost = writer.write(iter([batch])), writer.write(iter([batch]))
+    writer.commit([done, None])
+    assert len(done.names) == 4 == len(lost.names) and sorted(p.name for p in tmp_path.iterdir()) == sorted(done.names)
+    other = warc.WarcWriter({"path": str(tmp_path)})
+    other.write(iter([batch]))
+    other.abort([None])
+    assert sorted(p.name for p in tmp_path.iterdir()) == sorted(done.names)
+
+
 def test_warc_empty_table(spark, tmp_path):
     warc.write_pages(pages(spark, PAGES[:1]).where("false"), str(tmp_path / "w"))
     assert warc.read_pages(spark, str(tmp_path / "w")).count() == 0
@@ -224,7 +289,7 @@ def test_near_duplicates_awkward_rows(spark):
     got = [tuple(r) for r in near_dedup.groups(documents(spark, rows), "doc_id", "text").collect()]
     assert sorted(map(str, got)) == sorted(map(str, [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (7, 7), (7, 7), (8, 8), (None, None), (9, 9), (10, 6), (11, 5), (12, 12), (13, 7)]))
     assert near_dedup.groups(documents(spark), "doc_id", "text").count() == 0
-    kept = near_dedup.deduplicated(documents(spark, rows), "doc_id", "text")
+    kept = near_dedup.deduplicated(documents(spark, rows).withColumns({c: F.lit("clash") for c in ("key", "own", "tid", "row", "body", "n", "_n", "_key")}), "doc_id", "text")
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, [1, 2, 3, 4, 5, 6, 7, 8, None, 9, 12])) and "clash" in {r.tid for r in kept.collect()}
 
 

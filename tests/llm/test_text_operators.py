@@ -257,6 +257,42 @@ def test_license_awkward_rows(spark):
     assert license_scan.scan(documents(spark), "doc_id", "text").count() == 0
 
 
+def best_cover(found, template, k=license_scan.TEXT_K, gap=license_scan.DIAGONAL_GAP):
+    """The share of the template's words in the best chain of k-grams that text and template have in common, tried one by one."""
+    words = template.split()
+    hits = [(p, a) for p in range(len(found) - k + 1) for a in range(len(words) - k + 1) if found[p : p + k] == words[a : a + k]]
+    best = {}
+    for p, a in hits:
+        best[p, a] = max([k, *(best[q, b] + min(k, a - b, p - q) for q, b in hits if q < p and b < a and abs((p - a) - (q - b)) <= gap)])
+    return max(best.values(), default=0) / len(words)
+
+
+def test_license_labels_by_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(1, "licensed under cc by " * 3), (2, "licensed under cc by nc 4 0"), (3, "licensed under cc by then licensed under cc by nc 4 0")]
+    for i in range(120):
+        out = []
+        for _ in range(rng.randint(1, 3)):
+            some = rng.choice(list(license_scan.LICENSE_TEXTS.values())).split()
+            for _ in range(rng.randint(0, 6)):
+                at = rng.randrange(len(some))
+                some[at : at + rng.randint(0, 2)] = [rng.choice(["x", "the", "software"])] * rng.randint(0, 2)
+            if rng.random() < 0.2:
+                half = len(some) // 2
+                some = some[half:] + some[:half]
+            out += some + ["filler"] * rng.randint(0, 5)
+        rows.append((10 + i, " ".join(out)))
+    texts, labelled = dict(rows), 0
+    for r in license_scan.scan(documents(spark, rows), "doc_id", "text").collect():
+        found = texts[r.doc_id].split()
+        covers = {label: best_cover(found, t) for label, t in license_scan.LICENSE_TEXTS.items()}
+        good = {label: c for label, c in covers.items() if c >= license_scan.MIN_COVER}
+        base = set(filter(None, base_places(texts[r.doc_id])[4].split(",")))
+        assert r.labels == ",".join(sorted({*good, *base})) and abs(r.score - max([1.0] * bool(base) + list(good.values()), default=0)) < 1e-9
+        labelled += bool(good)
+    assert labelled > 60
+
+
 def test_license_many_equal_hits(spark):
     got = license_scan.scan(documents(spark, [(1, "mit license " * 500)]), "doc_id", "text").head()
     assert (got.n_base, got.first_word, got.last_word) == (500, 0, 998)
