@@ -70,6 +70,11 @@ def to_remove(found: DataFrame) -> DataFrame:
     return found.where(F.col("change").isin(MODIFIED, REMOVED)).select("path").dropDuplicates()
 
 
+def unknown(meta: DataFrame, old: DataFrame) -> DataFrame:
+    """path of the current files whose content has to be read: those that aren't known with the same metadata."""
+    return meta.alias("n").join(old.alias("o"), (F.col("n.path") == F.col("o.path")) & same_metadata("n", "o"), "left_anti").select("path")
+
+
 def records(meta: DataFrame, old: DataFrame, content: DataFrame) -> DataFrame:
     """path, size, mtime, inode, hash of the current files: a file whose metadata didn't change keeps its hash, the others are hashed.
 

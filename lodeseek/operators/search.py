@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeseek.fixed_values import BM25_AVERAGE_LENGTH, BM25_B, BM25_K1, MAX_RESULTS, RRF_K
@@ -29,6 +29,18 @@ def postings(df: DataFrame, id: str, text: str, field: str) -> DataFrame:
     return counted.select("chunk_id", "field", "term", "tf", "doc_len")
 
 
+POSTING_BUCKETS = 32
+
+
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(POSTING_BUCKETS)).cast("int")
+
+
+def filed(postings: DataFrame) -> DataFrame:
+    """postings with the bucket that a store files them under."""
+    return postings.withColumn("bucket", bucket_of(F.col("term")))
+
+
 def top(df: DataFrame, k: int, score: str = "score", id: str = "id") -> DataFrame:
     """The k best with rank (from 0). The limit comes first, so only k rows are numbered."""
     best = df.orderBy(F.desc(score), id).limit(k)
@@ -51,6 +63,20 @@ def bm25_scores(df: DataFrame, id: str, text: str, query: str, k1: float = BM25_
     return weighed.groupBy("id").agg(F.round(F.sum(F.col("idf") * saturation(F.col("tf"), F.col("n"), k1, b, average)), DIGITS).alias("score"))
 
 
+def stored_scores(postings: DataFrame, field: str, texts: int, query: str, k1: float = BM25_K1, b: float = BM25_B, average: float = BM25_AVERAGE_LENGTH) -> DataFrame:
+    """bm25_scores from filed postings of texts texts: only the buckets of the query's terms are read."""
+    asked = query_terms(query)
+    if not asked:
+        return postings.where("false").select(F.col("chunk_id").alias("id"), F.lit(0.0).alias("score"))
+    wanted = F.lit(False)
+    for term in asked:
+        wanted = wanted | ((F.col("bucket") == bucket_of(F.lit(term))) & (F.col("term") == term))
+    found = postings.where(wanted & (F.col("field") == field))
+    statistics = found.groupBy("term").agg(idf(F.lit(texts), F.count("*")).alias("idf"))
+    weighed = found.join(F.broadcast(statistics), "term")  # a row for each term of the query
+    return weighed.groupBy(F.col("chunk_id").alias("id")).agg(F.round(F.sum(F.col("idf") * saturation(F.col("tf"), F.col("doc_len"), k1, b, average)), DIGITS).alias("score"))
+
+
 def dense_scores(df: DataFrame, id: str, vector: str, query: Column) -> DataFrame:
     """id and cosine similarity with query, a literal array or a scalar subquery's column."""
     return df.where(F.col(vector).isNotNull()).select(F.col(id).alias("id"), F.round(cosine(F.col(vector), query), DIGITS).alias("score")).where("score IS NOT NULL")
@@ -80,12 +106,13 @@ def check_arguments(query: str, top_k: int, threshold: float, hops: int | None)
         raise ValueError("hops must be 1 or more")
 
 
-def hybrid(points: DataFrame, query: str, query_vector: list[float], limit: int, threshold: float = 0.0, docs: bool = False, rrf_k: int = RRF_K) -> DataFrame:
-    """id, score over points (id, content, code[, doc, doc_vec]): two branches, four with docs."""
+def hybrid(points: DataFrame, query: str, query_vector: list[float], limit: int, threshold: float = 0.0, docs: bool = False, rrf_k: int = RRF_K, postings: DataFrame | None = None, texts: dict[str, int] | None = None) -> DataFrame:
+    """id, score over points (id, content, code[, doc, doc_vec]): two branches, four with docs. With filed postings and the number of texts by field, words are looked up there."""
     literal = vector_literal(query_vector)
-    branches = [top(dense_scores(points, "id", "code", literal), limit), top(bm25_scores(points, "id", "content", query), limit)]
+    words = lambda field: bm25_scores(points, "id", field, query) if postings is None or texts is None else stored_scores(postings, field, texts[field], query)
+    branches = [top(dense_scores(points, "id", "code", literal), limit), top(words("content"), limit)]
     if docs:
-        branches += [top(dense_scores(points, "id", "doc_vec", literal), limit), top(bm25_scores(points, "id", "doc", query), limit)]
+        branches += [top(dense_scores(points, "id", "doc_vec", literal), limit), top(words("doc"), limit)]
     return fuse(branches, rrf_k, limit, threshold)
 
 
@@ -96,6 +123,3 @@ def results(ranked: DataFrame, points: DataFrame) -> DataFrame:
     doc = F.col("doc") if "doc" in points.columns else F.lit(None).cast("string")
     return joined.select("id", *(F.coalesce(F.col(c), d).alias(c) for c, d in payload.items()), doc.alias("doc"), "score")
 
-
-def constant(spark: SparkSession, value: Column, name: str) -> DataFrame:
-    return spark.range(1).select(value.alias(name))

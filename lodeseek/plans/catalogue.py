@@ -265,11 +265,12 @@ def _bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top(search.bm25_scores(_table(spark, sf_dir, "documents"), "doc_id", "text", QUERY), TOP)
 
 
-def dense_top(spark: SparkSession, sf_dir: str, held: str = "true") -> DataFrame:
-    """The best of the vectors for which held is true."""
+def dense_top(spark: SparkSession, sf_dir: str, documented: bool = False) -> DataFrame:
+    """The best of the vectors, or of those that stand for documented chunks: labels has their ids."""
     vectors = _table(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id = 0").select("embedding").head()  # the query's vector: one row
-    return search.top(search.dense_scores(vectors.where(held), "vec_id", "embedding", search.vector_literal(asked[0])), TOP)
+    held = vectors.join(_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi") if documented else vectors
+    return search.top(search.dense_scores(held, "vec_id", "embedding", search.vector_literal(asked[0])), TOP)
 
 
 @query(f"WITH {_bm25_sql()} SELECT id, score, CAST(rank AS INT) AS rank FROM bm25_top")
@@ -300,23 +301,23 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FIRST_LINES = "(SELECT doc_id, string_split(text, chr(10))[1] AS doc FROM documents)"
 
 
-@query(f"WITH {_DENSE}, {_bm25_sql()}, {_bm25_sql('doc', _FIRST_LINES, 'bm25_doc')}, dense_doc_top AS (SELECT id, rank FROM dense_top WHERE id % 2 = 0), {_fused_sql(['dense_top', 'bm25_top', 'dense_doc_top', 'bm25_doc_top'], 0.0)} SELECT id, score FROM fused")
+@query(f"WITH {_DENSE}, {_bm25_sql()}, {_bm25_sql('doc', _FIRST_LINES, 'bm25_doc')}, dense_doc_top AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM dense WHERE id IN (SELECT doc_id FROM labels) ORDER BY score DESC, id LIMIT {TOP}), {_fused_sql(['dense_top', 'bm25_top', 'dense_doc_top', 'bm25_doc_top'], 0.0)} SELECT id, score FROM fused")
 def hybrid_rrf_4way(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As its SQL has it, the documentation's vectors are those of the code branch's top; fixtures.hybrid_rrf_4way_searched ranks them by themselves."""
-    dense = dense_top(spark, sf_dir)
-    return four_way(spark, sf_dir, dense, dense.where("id % 2 = 0"))
-
-
-def four_way(spark: SparkSession, sf_dir: str, dense: DataFrame, dense_docs: DataFrame) -> DataFrame:
+    """Vectors and words of texts, and those of documentation, each ranked by itself."""
     firsts = _table(spark, sf_dir, "documents").select("doc_id", F.element_at(tx.lines(F.col("text")), 1).alias("doc"))
     docs = search.top(search.bm25_scores(firsts, "doc_id", "doc", QUERY), TOP)
-    return search.fuse([dense, _bm25_top(spark, sf_dir), dense_docs, docs], RRF_K, TOP)
+    return search.fuse([dense_top(spark, sf_dir), _bm25_top(spark, sf_dir), dense_top(spark, sf_dir, True), docs], RRF_K, TOP)
 
 
 @query(f"""WITH {_bm25_sql()} SELECT coalesce(d.text, '') AS content, d.lang AS language, {PATH} AS relative_path, b.score FROM bm25_top b JOIN documents d ON d.doc_id = b.id""")
 def result_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found(spark, sf_dir).select("content", "language", "relative_path", "score")
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SEARCH_RESULT rows of the best texts."""
     held = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("lang").alias("language"), F.col("path").alias("relative_path"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"))
-    return search.results(_bm25_top(spark, sf_dir).select("id", "score"), held).select("content", "language", "relative_path", "score")
+    return search.results(_bm25_top(spark, sf_dir).select("id", "score"), held)
 
 
 @query("SELECT d.doc_id, coalesce(d.text, '') AS content, CASE WHEN l.quality IS NULL THEN 'unknown' ELSE concat('quality ', l.quality) END AS doc, coalesce(l.toxic, 0) AS flag FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
@@ -433,23 +434,17 @@ def expand_with_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.expand(ranked, graph.upsert_edges(None, edges, nodes), 2, 25)
 
 
-def names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Every text's rarer words refer to the texts whose first word they are. Candidates keep their doc_id."""
-    docs = _docs(spark, sf_dir).selectExpr("concat('d', doc_id) AS chunk_id", "lang AS language", "source AS file_path", "regexp_extract_all(lower(text), '[a-z]{6,}', 0) AS w", "doc_id")
-    owner = "CASE WHEN doc_id % 3 = 0 THEN 'A' WHEN doc_id % 3 = 1 THEN 'B' END AS owner"
-    known = docs.where("size(w) > 0").selectExpr("chunk_id", "language", "w[0] AS name", owner, "file_path")
-    asked = docs.selectExpr("doc_id", "chunk_id", "language", "explode(w) AS name", "CASE WHEN doc_id % 2 = 0 THEN 'call' ELSE 'identifier' END AS kind", owner, "file_path")
-    return asked, known
-
-
 @query("""WITH d AS (SELECT concat('d', doc_id) AS chunk_id, lang, source, regexp_extract_all(lower(text), '[a-z]{6,}') AS w, doc_id, CASE WHEN doc_id % 3 = 0 THEN 'A' WHEN doc_id % 3 = 1 THEN 'B' END AS owner FROM documents),
 k AS (SELECT chunk_id, lang, w[1] AS name, owner, source FROM d WHERE len(w) > 0),
-a AS (SELECT DISTINCT chunk_id, lang, unnest(w) AS name, CASE WHEN doc_id % 2 = 0 THEN 'CALLS' ELSE 'USES' END AS edge_type, owner, source FROM d WHERE doc_id % 5 = 0)
+a AS (SELECT DISTINCT chunk_id, lang, unnest(w) AS name, CASE WHEN doc_id % 2 = 0 THEN 'CALLS' ELSE 'USES' END AS edge_type, owner, source FROM d)
 SELECT DISTINCT a.chunk_id AS source_id, k.chunk_id AS target_id, edge_type FROM a JOIN k ON a.lang = k.lang AND a.name = k.name AND a.chunk_id <> k.chunk_id AND a.source <> k.source AND (a.owner IS NULL OR k.owner IS NULL OR a.owner = k.owner)""")
 def symbol_reference_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As its SQL has it, only every fifth document asks; fixtures.symbol_references_whole lets all ask."""
-    asked, known = names(spark, sf_dir)
-    return references.reference_edges(asked.where("doc_id % 5 = 0"), known)
+    """Every text's rarer words refer to the texts whose first word they are."""
+    docs = _docs(spark, sf_dir).selectExpr("concat('d', doc_id) AS chunk_id", "lang AS language", "source AS file_path", "regexp_extract_all(lower(text), '[a-z]{6,}', 0) AS w", "doc_id")
+    owner = "CASE WHEN doc_id % 3 = 0 THEN 'A' WHEN doc_id % 3 = 1 THEN 'B' END AS owner"
+    known = docs.where("size(w) > 0").selectExpr("chunk_id", "language", "w[0] AS name", owner, "file_path")
+    asked = docs.selectExpr("chunk_id", "language", "explode(w) AS name", "CASE WHEN doc_id % 2 = 0 THEN 'call' ELSE 'identifier' END AS kind", owner, "file_path")
+    return references.reference_edges(asked, known)
 
 
 @query(f"SELECT doc_id, md5(concat_ws(chr(31), {PATH}, 'text', '', 'whole')) AS id FROM documents")

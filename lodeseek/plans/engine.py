@@ -13,7 +13,7 @@ from lodeseek.functions.ids import collection_name
 from lodeseek.operators import chunking, diff, graph, parsing, points, references, search
 from lodeseek.plans.services import Embed, Explain, embedded, explained, hashed_vectors
 from lodeseek.sources import files
-from lodeseek.sources.store import Store
+from lodeseek.sources.store import Staging, Store
 
 
 @dataclass
@@ -57,48 +57,57 @@ class Engine:
     def index(self, path: str, force: bool = False) -> dict[str, int]:
         """Bring the collection up to date; counts of changes by kind.
 
-        Files are told apart by their snapshot, only changed ones are read, and points, graph and
-        snapshot are committed together at the end.
+        Files are told apart by their snapshot: those whose metadata changed are hashed, and those
+        whose content or path changed are parsed. All tables are committed together at the end.
         """
         name, s = self.collection(path), self.settings
         self.store.create(name, {"path": path, "vector_size": s.vector_size, "docs": s.doc_index}, force)
         old = self.store.read(name, "snapshot")
-        everything = files.scan(self.spark, path, s.ignore, content=True)
-        meta = files.scan(self.spark, path, s.ignore)
-        new = diff.records(meta, old, everything).persist()
-        try:
-            found = diff.changes(old, new).persist()
+        with self.store.staging(name) as stage:
+            meta = stage.written(files.scan(self.spark, path, s.ignore))
+            new = stage.written(diff.records(meta, old, files.contents(path, diff.unknown(meta, old))))
+            found = stage.written(diff.changes(old, new))
             counts = {r[0]: r[1] for r in found.groupBy("change").count().collect()}  # a row for each kind
-            if not counts:
-                if new.exceptAll(old.select(new.columns)).isEmpty():
-                    return {}
+            if counts:
+                # A moved file has new ids, so it is parsed again under its new path.
+                moved = found.where(F.col("change") == diff.RENAMED)
+                changed = diff.to_add(found).unionByName(moved.select("path"))
+                gone = diff.to_remove(found).unionByName(moved.select(F.col("old_path").alias("path")))
+                self.apply(name, stage, files.texts(files.contents(path, changed)), gone, {"snapshot": new})
+            elif not new.exceptAll(old.select(new.columns)).isEmpty():
                 self.store.commit(name, {"snapshot": new})  # only metadata changed: keep hashes from being made again
-                return {}
-            self._commit(name, new, found, everything)
-            return counts
-        finally:
-            new.unpersist()
+        return counts
 
-    def _commit(self, name: str, new: DataFrame, found: DataFrame, everything: DataFrame) -> None:
-        s = self.settings
-        moves = found.where(F.col("change") == diff.RENAMED).select("path", "old_path")
-        changed = files.texts(everything.join(diff.to_add(found), "path", "left_semi"))
-        rows = parsing.parsed(changed, ids=s.ids).persist()
-        cut = parsing.chunks(changed, s.chunk_size, s.chunk_overlap, rows, s.ids)
-        fresh = self.points(cut)
-        kept = points.moved_paths(points.without_paths(self.store.read(name, "points"), diff.to_remove(found)), moves)
-        kept = kept.withColumn("file_path", F.col("relative_path"))
-        all_points = points.upserted(kept, fresh)
-        edges = chunking.continues_edges(cut).unionByName(graph.parent_edges(cut)).unionByName(
-            references.reference_edges(parsing.candidates(rows), parsing.definitions(rows), s.within_files)
-        )
-        old_nodes, old_edges = self.store.read(name, "nodes"), self.store.read(name, "edges")
-        gone = old_nodes.join(diff.to_remove(found).withColumnRenamed("path", "relative_path"), "relative_path", "left_semi").select("id")
-        nodes, left = graph.remove_nodes(old_nodes, old_edges, gone)
-        nodes = graph.upsert_nodes(nodes, fresh.select("id", "content", "relative_path", "start_line", "end_line", "language", "doc"))
-        nodes = points.moved_paths(nodes, moves)
-        self.store.commit(name, {"points": all_points, "nodes": nodes, "edges": graph.upsert_edges(left, edges, nodes), "snapshot": new})
-        rows.unpersist()
+    def apply(self, name: str, stage: Staging, changed: DataFrame, gone: DataFrame, tables: dict[str, DataFrame], facts: dict | None = None) -> None:
+        """Commit tables, and what follows from changed files (path, content) and gone paths.
+
+        What is used more than once is written to the stage first, so that plans stay small and the
+        services are asked once. Edges of unchanged files into changed ones are found anew, as those
+        of changed files are: names are joined both ways.
+        """
+        s, read = self.settings, lambda table: self.store.read(name, table)
+        changed = stage.written(changed)
+        away = stage.written(gone.select("path").unionByName(changed.select("path")).dropDuplicates())
+        rows = stage.written(parsing.parsed(changed, ids=s.ids))
+        cut = stage.written(parsing.chunks(changed, s.chunk_size, s.chunk_overlap, rows, s.ids))
+        fresh = stage.written(self.points(cut))
+        all_points = points.without_paths(read("points"), away).unionByName(fresh.select(*read("points").columns))
+        lost = read("nodes").join(away.withColumnRenamed("path", "relative_path"), "relative_path", "left_semi").select("id")
+        nodes, edges = graph.remove_nodes(read("nodes"), read("edges"), lost)
+        nodes = stage.written(nodes.unionByName(fresh.select(*nodes.columns)))
+        asked, known = (stage.written(references.by_parts(x, rows, cut)) for x in (parsing.candidates(rows), parsing.definitions(rows)))
+        old_asked, old_known = (points.without_paths(read(t), away, "file_path") for t in ("candidates", "definitions"))
+        all_known = old_known.unionByName(known)
+        names = references.reference_edges(asked, all_known, s.within_files).unionByName(references.reference_edges(old_asked, known, s.within_files))
+        made = chunking.continues_edges(cut).unionByName(graph.parent_edges(cut)).unionByName(names)
+        held = ["content", "doc"] if s.doc_index else ["content"]
+        fresh_postings = [search.filed(search.postings(fresh, "id", field, field).join(fresh.select(F.col("id").alias("chunk_id"), "relative_path"), "chunk_id")) for field in held]
+        postings = points.without_paths(read("postings"), away)
+        for some in fresh_postings:
+            postings = postings.unionByName(some.select(*postings.columns))
+        texts = all_points.agg(F.count("content").alias("content"), F.count("doc").alias("doc")).head().asDict()
+        out = {"points": all_points, "nodes": nodes, "edges": graph.upsert_edges(edges, made, nodes), "candidates": old_asked.unionByName(asked), "definitions": all_known, "postings": postings}
+        self.store.commit(name, out | tables, (facts or {}) | {"texts": texts})
 
     def points(self, chunks: DataFrame) -> DataFrame:
         """Chunks with vectors and payload."""
@@ -111,13 +120,13 @@ class Engine:
         return out.withColumn("relative_path", F.col("file_path")).withColumn("indexed_at", F.current_timestamp())
 
     def search(self, path: str, query: str, top_k: int = 5, threshold: float = 0.0, max_graph_hops: int | None = None, graph_limit: int | None = None) -> DataFrame:
-        """SEARCH_RESULT rows with id, best first."""
+        """SEARCH_RESULT rows with id, best first. Words are looked up in the stored postings; no text is cut up here."""
         search.check_arguments(query, top_k, threshold, max_graph_hops)
         name = self.collection(path)
         if not self.store.exists(name):
             raise RuntimeError(f"{path} isn't indexed")
-        held = self.store.read(name, "points")
-        ranked = search.hybrid(held, query, self.embed([query])[0], top_k, threshold, bool(self.store.facts(name).get("docs")), self.settings.rrf_k)
+        held, facts = self.store.read(name, "points"), self.store.facts(name)
+        ranked = search.hybrid(held, query, self.embed([query])[0], top_k, threshold, bool(facts.get("docs")), self.settings.rrf_k, self.store.read(name, "postings"), facts.get("texts"))
         if max_graph_hops:
             ranked = graph.expand(ranked, self.store.read(name, "edges"), max_graph_hops, graph_limit)
             return search.results(ranked.select("id", "score"), held).join(F.broadcast(ranked.select("id", "position")), "id").orderBy("position").drop("position")

@@ -1,17 +1,20 @@
 """Recursive file scan as a Python data source: stat only, ignored directories are never entered.
 
 Format "lodeseek_files", option path, optional options ignore (patterns, one a line) and content
-("true" adds the bytes). The walk is planned on the driver one level deep; each subtree is walked by
-the task that lists it, so a large tree is listed in parallel.
+("true" adds the bytes). The walk is planned on the driver until there are PARTS subtrees or SPREAD
+directories were listed; each subtree is walked by the task that lists it, so a large tree is listed
+in parallel, also where one directory holds it all.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -21,6 +24,10 @@ from lodeseek.functions.text import as_text
 from lodeseek.operators.ignore import Rule, default_rules, rules_of
 
 NAME = "lodeseek_files"
+#: Subtrees that the driver aims at, and directories that it lists at most to find them.
+PARTS, SPREAD = 256, 512
+#: Bytes of content in one batch.
+BATCH_BYTES = 8 << 20
 IGNORE_FILE = ".gitignore"
 
 
@@ -81,8 +88,13 @@ class FilesReader(DataSourceReader):
         self.first = default_rules(x for x in options.get("ignore", "").split("\n") if x)
 
     def partitions(self) -> list[InputPartition]:
-        _, dirs, rules = entries(self.root, "", self.first)
-        return [_Subtree("", self.first, False), *(_Subtree(d, rules, True) for d in dirs)]
+        shallow, waiting = [], deque([("", self.first)])
+        while waiting and len(shallow) < SPREAD and len(shallow) + len(waiting) < PARTS:
+            relative, rules = waiting.popleft()
+            shallow.append(_Subtree(relative, rules, False))
+            _, dirs, below = entries(self.root, relative, rules)
+            waiting += [(d, below) for d in dirs]
+        return shallow + [_Subtree(relative, rules, True) for relative, rules in waiting]
 
     def read(self, part: _Subtree) -> Iterator[tuple]:
         waiting = [(part.relative, part.rules)]
@@ -122,6 +134,37 @@ def scan(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), content:
     return spark.read.format(NAME).option("ignore", "\n".join(ignore)).option("content", str(content).lower()).load(root)
 
 
+def contents(root: str, paths: DataFrame) -> DataFrame:
+    """path, content of the files with these paths below root, and of no others; null content if it can't be read."""
+    base = os.path.realpath(os.path.expanduser(re.sub(r"^file:(//)?(?=/)", "", root)))
+
+    def read(path: str) -> bytes | None:
+        try:
+            with open(os.path.join(base, path), "rb") as f:
+                return f.read()
+        except OSError:
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[str, bytes | None]] = []
+        held = 0
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                rows.append((path, read(path)))
+                held += len(rows[-1][1] or b"") + 100
+                if held >= BATCH_BYTES:
+                    yield _batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+    return paths.select("path").mapInArrow(run, "path string, content binary")
+
+
+def _batch(rows: list[tuple[str, bytes | None]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["path", "content"])
+
+
 def texts(files: DataFrame) -> DataFrame:
     """path, content as text; files that aren't UTF-8 or can't be read have null content."""
     return files.select("path", as_text(F.col("content")).alias("content"))

@@ -2,8 +2,9 @@
 
 A collection is a folder of versions, each a folder of tables, and a pointer file that names the
 current version. A change writes a new version and flips the pointer last: readers see the old
-version or the new one, and a crash in between loses nothing. Points, snapshot and graph of a
-codebase are one version, so they can't disagree. All file operations go through Hadoop's file
+version or the new one, and a crash in between loses nothing. The version before the current one
+stays until the next change, so that readers which began with it can end. Points, snapshot and graph
+of a codebase are one version, so they can't disagree. All file operations go through Hadoop's file
 system, so the root may be on any store that Spark reaches.
 """
 
@@ -16,8 +17,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodeseek import schemas
 
-TABLES = {"points": schemas.POINT, "snapshot": schemas.FILE_RECORD, "nodes": schemas.NODE, "edges": schemas.EDGE}
-FORMAT = 1
+TABLES = {
+    "points": schemas.POINT, "snapshot": schemas.FILE_RECORD, "nodes": schemas.NODE, "edges": schemas.EDGE, "candidates": schemas.CANDIDATE, "definitions": schemas.DEFINITION, "postings": schemas.FILED_POSTING,
+}
+#: Tables that are dealt into folders by a column.
+FOLDERS = {"postings": "bucket"}
+FORMAT = 2
+
+
+class Staging:
+    """Tables that are written while a change is worked out, and deleted at its end."""
+
+    def __init__(self, store: Store, collection: str) -> None:
+        self.store, self.parts = store, (collection, f"staging-{uuid.uuid4().hex}")
+        self.tables = 0
+
+    def __enter__(self) -> Staging:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.store._files.delete(self.store._path(*self.parts), True)
+
+    def written(self, df: DataFrame) -> DataFrame:
+        """df, written and read back: computed once, and with a plan of one scan."""
+        self.tables += 1
+        path = "/".join((self.store.root, *self.parts, f"t{self.tables}"))
+        df.write.parquet(path)
+        return self.store.spark.read.schema(df.schema).parquet(path)
 
 
 class Store:
@@ -60,28 +86,36 @@ class Store:
             return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{collection}/{pointer['tables'][table]}")
         return self.spark.createDataFrame([], TABLES[table])
 
+    def staging(self, collection: str) -> Staging:
+        return Staging(self, collection)
+
     def commit(self, collection: str, tables: dict[str, DataFrame], facts: dict | None = None) -> None:
         """Write tables as a new version and make it the current one; tables that aren't named stay as they are."""
         pointer = self._pointer(collection) or {"format": FORMAT, "version": 0, "tables": {}, "facts": {}}
         version = f"v{pointer['version'] + 1}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
             columns = [c.strip().split(" ")[0] for c in TABLES[name].split(", ")]
-            df.select(columns).write.mode("errorifexists").parquet(f"{self.root}/{collection}/{version}/{name}")
-        old = dict(pointer["tables"])
-        pointer = {"format": FORMAT, "version": pointer["version"] + 1, "tables": old | {n: f"{version}/{n}" for n in tables}, "facts": pointer["facts"] | (facts or {})}
+            rows, folder = df.select(columns), FOLDERS.get(name)
+            writer = rows.hint("rebalance", folder).write.partitionBy(folder) if folder else rows.write
+            writer.mode("errorifexists").parquet(f"{self.root}/{collection}/{version}/{name}")
+        old, before = dict(pointer["tables"]), pointer.get("before", {})
+        now = old | {n: f"{version}/{n}" for n in tables}
+        pointer = {"format": FORMAT, "version": pointer["version"] + 1, "tables": now, "before": old, "facts": pointer["facts"] | (facts or {})}
         self._flip(collection, json.dumps(pointer))
-        for name in tables:
-            if name in old:
-                self._files.delete(self._path(collection, old[name]), True)
+        for gone in {*before.values()} - {*old.values()} - {*now.values()}:
+            self._files.delete(self._path(collection, gone), True)
 
     def _flip(self, collection: str, text: str) -> None:
         fresh, where = self._path(collection, f".CURRENT-{uuid.uuid4().hex}.json"), self._path(collection, "CURRENT.json")
         out = self._files.create(fresh, True)
         out.write(bytearray(text.encode()))
         out.close()
-        if not self._files.rename(fresh, where):  # some file systems don't rename onto a file
-            self._files.delete(where, False)
-            self._files.rename(fresh, where)
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        onto = gateway.new_array(kind, 1)
+        onto[0] = kind.OVERWRITE
+        qualified = self._files.makeQualified(fresh)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), self.spark._jsc.hadoopConfiguration()).rename(qualified, self._files.makeQualified(where), onto)
 
     def create(self, collection: str, facts: dict, force: bool = False) -> bool:
         """Make an empty collection where there is none, or anew with force; whether it was made."""

@@ -2,7 +2,8 @@
 
 The batch diff is the faithful form, as a file stream reports neither deletions nor edits in place.
 Where a change feed is at hand (rows path, content, deleted), each micro-batch is applied as one
-committed version: the last row of each path counts, and a batch that is replayed changes nothing.
+committed version of all tables, points, graph, postings and snapshot (where a file's sequence number
+stands for its time): the last row of each path counts, and a batch that is replayed changes nothing.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodeseek.operators import parsing, points
+from lodeseek.operators import points
 from lodeseek.plans.engine import Engine
 
 
@@ -23,11 +24,12 @@ def apply_batch(engine: Engine, collection: str) -> Callable[[DataFrame, int], N
     def apply(batch: DataFrame, number: int) -> None:
         if number <= engine.store.facts(collection).get("batch", -1):
             return
-        last = batch.groupBy("path").agg(F.max_by(F.struct("content", "deleted"), "sequence").alias("r")).select("path", "r.*")
-        s = engine.settings
-        cut = parsing.chunks(last.where("NOT deleted").select("path", "content"), s.chunk_size, s.chunk_overlap, ids=s.ids)
-        kept = points.without_paths(engine.store.read(collection, "points"), last.select("path"))
-        engine.store.commit(collection, {"points": points.upserted(kept, engine.points(cut))}, {"batch": number})
+        with engine.store.staging(collection) as stage:
+            last = stage.written(batch.groupBy("path").agg(F.max_by(F.struct("content", "deleted", "sequence"), "sequence").alias("r")).select("path", "r.*"))
+            held = last.where("NOT deleted AND content IS NOT NULL")
+            old = points.without_paths(engine.store.read(collection, "snapshot"), last.select("path"), "path")
+            new = held.select("path", F.octet_length("content").cast("long").alias("size"), F.col("sequence").cast("double").alias("mtime"), F.lit(None).cast("long").alias("inode"), F.md5("content").alias("hash"))
+            engine.apply(collection, stage, held.select("path", "content"), last.select("path"), {"snapshot": old.unionByName(new)}, {"batch": number})
 
     return apply
 

@@ -113,6 +113,90 @@ def test_index_search_drop(spark, tmp_path):
     assert e.index(str(code)) == {} and e.drop(str(code)) and not e.drop(str(code))
 
 
+def tables(e, code):
+    """All tables of a collection without times and embeddings' order."""
+    name = e.collection(str(code))
+    read = lambda table, *columns: sorted(map(str, e.store.read(name, table).select(*columns).collect()))
+    return {
+        "points": read("points", "id", "content", "start_line", "end_line", "language", "file_path", "relative_path", "doc", "parent_chunk_id", "node_key", "part_index", "code", "doc_vec"),
+        "nodes": read("nodes", "id", "content", "relative_path", "start_line", "end_line", "doc"), "edges": read("edges", "source_id", "target_id", "edge_type"),
+        "candidates": read("candidates", "*"), "definitions": read("definitions", "*"), "postings": read("postings", "*"), "snapshot": read("snapshot", "path", "size", "hash"), "texts": [e.store.facts(name)["texts"]],
+    }
+
+
+def test_incremental_index_equals_a_fresh_one(spark, tmp_path):
+    """After edits, renames, files made anew under an old name and deletions every table is what a fresh index gives."""
+    code = tmp_path / "code"
+    code.mkdir()
+    asked = []
+    e = Engine(spark, str(tmp_path / "store"), Settings(vector_size=16, explanation=True, chunk_size=100, chunk_overlap=10), explain=lambda text: asked.append(1) or f"says {len(text)}")
+    write = lambda name, text: (code / name).write_text(text)
+    big = "def long(x):\n" + "".join(f"    y{i} = bar(x)\n" for i in range(12))
+
+    def first():
+        write("a.py", "def foo(x):\n    return bar(x)\n")
+        write("c.py", "def bar(x):\n    return x\n")
+        write("d.js", "function baz(q) { return qux(q); }\n")
+        write("e.js", "class K { run(a) { return baz(a); } }\nfunction qux(w) { return w; }\n")
+
+    steps = [
+        (first, {"added": 4}),
+        (lambda: write("c.py", "def bar(x):\n    return x + 1\n"), {"modified": 1}),
+        (lambda: os.rename(code / "a.py", code / "b.py"), {"renamed": 1}),
+        (lambda: (write("a.py", "def foo(x):\n    return bar(bar(x))\n"), write("c.py", big + "\ndef bar(x):\n    return long(x)\n")), {"added": 1, "modified": 1}),
+        (lambda: ((code / "e.js").unlink(), os.rename(code / "d.js", code / "f.js")), {"removed": 1, "renamed": 1}),
+    ]
+    for n, (change, counts) in enumerate(steps):
+        change()
+        assert e.index(str(code)) == counts
+        again = Engine(spark, str(tmp_path / f"fresh{n}"), e.settings, explain=e.explain)
+        again.index(str(code))
+        mine, theirs = tables(e, code), tables(again, code)
+        for table in mine:
+            assert mine[table] == theirs[table], (n, table)
+    assert any("CALLS" in x for x in mine["edges"]) and any("CONTINUES" in x for x in mine["edges"])
+    left = [p.name for p in (tmp_path / "store" / e.collection(str(code))).iterdir() if "staging" in p.name]
+    assert not left
+
+
+def test_search_reads_postings_and_agrees_with_texts(spark, tmp_path):
+    code = tmp_path / "code"
+    code.mkdir()
+    (code / "shop.py").write_text(STORE)
+    e = engine(spark, tmp_path / "store")
+    e.index(str(code))
+    from lodeseek.operators import search
+
+    name = e.collection(str(code))
+    held, postings, texts = e.store.read(name, "points"), e.store.read(name, "postings"), e.store.facts(name)["texts"]
+    for field in ("content", "doc"):
+        want = search.bm25_scores(held, "id", field, "sell one item numbers").collect()
+        assert want and sorted(search.stored_scores(postings, field, texts[field], "sell one item numbers").collect()) == sorted(want)
+    plan = search.stored_scores(postings, "content", texts["content"], "sell")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan
+
+
+def test_the_version_before_can_still_be_read(spark, tmp_path):
+    e = engine(spark, tmp_path / "store")
+    e.store.create("c", {"docs": False})
+    rows = lambda *paths: spark.createDataFrame([(p, 1, 0.0, 1, "h") for p in paths], "path string, size bigint, mtime double, inode bigint, hash string")
+    e.store.commit("c", {"snapshot": rows("a")})
+    old = e.store.read("c", "snapshot")
+    e.store.commit("c", {"snapshot": rows("a", "b")})
+    assert old.count() == 1 and e.store.read("c", "snapshot").count() == 2
+
+
+def test_scan_deals_one_large_directory(spark, tmp_path):
+    from lodeseek.sources import files
+
+    for i in range(30):
+        (tmp_path / "src" / f"d{i}").mkdir(parents=True)
+        (tmp_path / "src" / f"d{i}" / "x.py").write_text("x")
+    assert len(files.FilesReader({"path": str(tmp_path)}).partitions()) > 30 and files.scan(spark, str(tmp_path)).count() == 30
+    paths = files.scan(spark, str(tmp_path)).where("path LIKE '%d1/%'")
+    assert [bytes(r.content) for r in files.contents(str(tmp_path), paths).collect()] == [b"x"]
+
+
 def test_a_failed_commit_changes_nothing(spark, tmp_path):
     e = engine(spark, tmp_path / "store")
     e.store.create("c", {"docs": False})
@@ -159,7 +243,8 @@ def test_stream_of_changes(spark, tmp_path):
 
     assert push([("a.py", "def a():\n    pass\n", False, 1), ("b.py", "def b():\n    pass\n", False, 2)]) == ["a.py", "b.py"]
     assert push([("a.py", None, True, 3), ("b.py", "def c():\n    pass\n", False, 4)]) == ["b.py"]
-    assert e.store.read("live", "points").head().content.startswith("def c")
+    assert e.store.read("live", "points").head().content.startswith("def c") and [r.path for r in e.store.read("live", "snapshot").collect()] == ["b.py"]
+    assert {r.relative_path for r in e.store.read("live", "nodes").collect()} == {"b.py"} == {r.relative_path for r in e.store.read("live", "postings").collect()}
 
 
 def test_windowed_counts(spark):
