@@ -51,6 +51,8 @@ REMEMBERED_WORDS = 100_000
 SKETCH_WIDTH, SKETCH_ROWS, SKETCH_BLOCK, SKETCH_FAN = 1 << 20, 2, 1 << 15, 64
 #: Texts and shingles (in expectation) of a block, into which groups of texts are dealt.
 GROUP_ROWS, GROUP_SHINGLES = 256, 500_000
+#: Hash values of ids that tell which texts may be asked for: a broadcast table of so many numbers at most (some 25 MB).
+SLOTS = 1 << 20
 #: Edges that a task contracts at a time.
 EDGES_AT_A_TIME = 100_000
 #: A shingle in less than one of RARE texts has full weight, twice that of one in every text.
@@ -475,7 +477,10 @@ def links(docs: DataFrame, signed: DataFrame, key: str, text: str, weights: Broa
     wanted = scratch.written(texts.join(members.select("tid").dropDuplicates(), "tid").select("tid", "rep"), "dedup-wanted")
     # The text of a tid is that of any row with its words; rows of one id may hold other texts, so the hash decides.
     body = docs.select(F.col(key).alias("rep"), F.col(text).cast("string").alias("text"))
-    bodies = body.join(wanted, "rep").select("tid", "text")
+    slot = F.pmod(F.xxhash64("rep"), F.lit(SLOTS))
+    slots = scratch.written(wanted.where("rep IS NOT NULL").select(slot.alias("slot")).dropDuplicates(), "dedup-slots")
+    asked = body.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").select("rep", "text")  # few other texts are moved while few are wanted
+    bodies = asked.join(wanted, "rep").select("tid", "text")
     # Texts that only rows without an id have are found by their hash.
     nameless = _with_tid(body.where("rep IS NULL").select("text"), "text", "tid").where("tid IS NOT NULL").dropDuplicates(["tid"])
     bodies = bodies.unionByName(nameless.join(wanted.where("rep IS NULL").select("tid"), "tid").select("tid", "text"))
