@@ -1,14 +1,20 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two word models, toxic and ordinary, are learned from labelled texts. As Kneser and Ney have it, a
-word counts by how many different words it follows, not by how often it occurs, so passages that
-are copied over and over weigh no more than one. A class's count is discounted, and what that
-frees goes to counts that both classes share: a word whose class counts don't depart from the
-shared expectation beyond chance (Z standard errors of a share that may be off by factor TOLERANCE)
-has the same probability in both models. A text's two log-likelihoods, each divided by its words,
-are compared; a logistic curve fitted on the labelled texts turns the difference into a score.
+Two models of word pairs, toxic and ordinary, are learned from labelled texts. As Kneser and Ney have
+it, a pair counts by how many different words it follows, and a word by how many different words, so
+passages that are copied over and over weigh no more than one. Each model is interpolated:
 
-The pairs serve for counting only: scoring with pair probabilities lowered held-out accuracy.
+    P_c(w | v) = kept_c(v w) / n_c(v) + lambda_c(v) P_c(w)
+    P_c(w)     = kept_c(w) / N_c      + lambda_c    P(w)
+
+where P is a model of words over both classes, with absolute discount DISCOUNT and an even share for
+unknown words, and each lambda is the share that discounts free. The discount of a class's count is
+what the shared counts predict for it, plus DISCOUNT and Z standard deviations, where the class's
+share may be off by factor TOLERANCE: rare pairs and words, and those that both classes use alike,
+are left to the shared counts, so that class sizes and topics don't tell classes apart.
+
+A text's two log-likelihoods, each divided by its words, are compared; a logistic curve fitted on the
+labelled texts turns the difference, beyond that of a text of unknown words, into a score.
 
 Defined results: null, empty or wordless texts have zero words, no difference, and the score of
 that point of the curve. Whole texts are read, of any length. Repeated rows give repeated results;
@@ -28,18 +34,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import fold_of, mapped, share_below, table
+from lodeseek.llm.common import Scratch, fold_of, mapped, share_below, table
 
-#: Labelled rows of each class (in expectation) that the models are learned from, whole texts.
-ROWS_PER_CLASS = 5_000
+#: Labelled rows (in expectation) that the models are learned from, whole texts, by class (0: ordinary, 1: toxic).
+ROWS = {0: 20_000, 1: 5_000}
 DISCOUNT = 0.75
-#: Shared counts that each word gets back, dealt to the classes by their size.
-SHARED = 1.0
 Z = 2.0
 TOLERANCE = 2.0
-#: Words that the models know; the rest have one probability.
-MAX_WORDS = 200_000
 DOCS_AT_A_TIME = 256
+#: Words whose places a task remembers before it starts afresh.
+REMEMBERED_WORDS = 100_000
 FOLDS, HELD_OUT = 5, 0
 
 _WORD = re.compile(r"[^\W_]+")
@@ -49,48 +53,80 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def class_log_ratio(toxic: np.ndarray, ordinary: np.ndarray, share: float) -> np.ndarray:
-    """log P(word | toxic) - log P(word | ordinary) from continuation counts; share: of the toxic class in all counts."""
-    n = toxic + ordinary
+def word_hash(word: str) -> int:
+    """63 bits that stand for a word; those of "" stand for the begin of a text."""
+    return xxhash.xxh3_64_intdigest(word) >> 1
+
+
+def discount(shared: Column, share: Column) -> Column:
+    """What is taken from a class's count where both classes have shared, and the class a share of all counts there."""
+    q = share * TOLERANCE / (share * TOLERANCE + 1 - share)
+    return shared * q + DISCOUNT + Z * F.sqrt(shared * q * (1 - q))
 
-    def departs(count: np.ndarray, p: float) -> np.ndarray:
-        expected = n * (p * TOLERANCE / (p * TOLERANCE + 1 - p))
-        return count > expected + DISCOUNT + Z * np.sqrt(expected)
 
-    ratio = np.log(np.maximum(toxic - DISCOUNT, 0) + SHARED * share) - np.log(np.maximum(ordinary - DISCOUNT, 0) + SHARED * (1 - share)) - np.log(share) + np.log(1 - share)
-    return np.where(departs(toxic, share) | departs(ordinary, 1 - share), ratio, 0.0)
+def kept(count: str, shared: Column, share: Column) -> Column:
+    return F.greatest(F.col(count) - discount(shared, share), F.lit(0.0))
 
 
 @dataclass
 class Models:
-    """Per known word the log probability in each class; place 0 is for unknown words. curve: of the features() of a text."""
+    """Words by hash (ascending; place 0 is for unknown ones, the last for the begin of a text) with their probability in each class; pairs of places with what each class keeps of them.
 
-    place: dict[str, int]
-    toxic: np.ndarray
-    ordinary: np.ndarray
+    Arrays of two rows have ordinary first. free: each class's lambda by the place of v. curve: of the features() of a text.
+    """
+
+    known: np.ndarray
+    word: np.ndarray
+    pairs: np.ndarray
+    pair: np.ndarray
+    free: np.ndarray
+    base: float = 0.0
     curve: np.ndarray | None = None
     prior: float = 0.0
 
-    def rates(self, texts: list[str | None]) -> np.ndarray:
+    @classmethod
+    def none(cls, prior: float) -> Models:
+        return cls(np.zeros(0, np.int64), np.ones((2, 2)), np.zeros(0, np.int64), np.zeros((2, 0)), np.ones((2, 2)), prior=prior)
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[at] == hashes, at + 1, 0)
+
+    def rates(self, texts: list[str | None], memory: dict[str, int]) -> np.ndarray:
         """For each text: words, toxic and ordinary log-likelihood for each word (0 without words)."""
+        found = [words(t) for t in texts]
+        if len(memory) > REMEMBERED_WORDS:
+            memory.clear()
+        if new := list({w for f in found for w in f} - memory.keys()):
+            memory.update(zip(new, self.places(np.array([word_hash(w) for w in new], np.int64)).tolist(), strict=True))
         out = np.zeros((len(texts), 3))
-        get = self.place.get
-        for i, text in enumerate(texts):
-            found = words(text)
-            if found:
-                at = np.fromiter([get(w, 0) for w in found], np.int32, len(found))
-                out[i] = len(found), self.toxic[at].mean(), self.ordinary[at].mean()
+        width = len(self.known) + 2
+        for i, f in enumerate(found):
+            if not f:
+                continue
+            w = np.fromiter(map(memory.__getitem__, f), np.int64, len(f))
+            v = np.concatenate([[width - 1], w[:-1]])
+            p = self.free[:, v] * self.word[:, w]
+            if len(self.pairs):
+                at = np.minimum(np.searchsorted(self.pairs, v * width + w), len(self.pairs) - 1)
+                hit = self.pairs[at] == v * width + w
+                p[:, hit] += self.pair[:, at[hit]]
+            ordinary, toxic = np.log(p).mean(axis=1)
+            out[i] = len(f), toxic, ordinary
         return out
 
     def score(self, rates: np.ndarray) -> np.ndarray:
         if self.curve is None:
             return np.full(len(rates), self.prior)
-        return 1 / (1 + np.exp(-np.clip(features(rates) @ self.curve, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(features(rates, self.base) @ self.curve, -30, 30)))
 
 
-def features(rates: np.ndarray) -> np.ndarray:
-    """The difference of the rates, plain, against the noise of a mean of so many words, and summed up; without a difference, length says nothing."""
-    n, gap = rates[:, 0], rates[:, 1] - rates[:, 2]
+def features(rates: np.ndarray, base: float) -> np.ndarray:
+    """The difference of the rates beyond base, plain, against the noise of a mean of so many words, and summed up; without a difference, length says nothing."""
+    n = rates[:, 0]
+    gap = np.where(n > 0, rates[:, 1] - rates[:, 2] - base, 0)
     return np.stack([np.ones(len(n)), gap, gap * np.sqrt(n), np.log1p(np.maximum(gap * n, 0))], axis=1)
 
 
@@ -109,54 +145,73 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return out
 
 
-def continuation_counts(rows: DataFrame) -> tuple[pa.Table, int, int]:
-    """word, toxic, ordinary: different words that come before it in each class; and both totals. rows: text, toxic."""
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """v, w (hashes of a word and the next), ordinary, toxic: different words before the pair, in each class. rows: text, toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, DOCS_AT_A_TIME):
                 part = batch.slice(start, DOCS_AT_A_TIME)
-                pairs: set[tuple[int, str, int]] = set()
+                memory: dict[str, int] = {"": word_hash("")}
+                by_class: dict[int, list[np.ndarray]] = {}
                 for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    found = words(text)
-                    before = {w: xxhash.xxh3_64_intdigest(w) >> 1 for w in {*found, ""}}
-                    pairs.update((before[a], b, toxic) for a, b in zip(["", *found], found, strict=False))
-                before, word, toxic = zip(*pairs, strict=True) if pairs else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(before, pa.int64()), pa.array(word, pa.string()), pa.array(toxic, pa.int32())], names=["before", "word", "toxic"])
-
-    pairs = mapped(rows.select("text", F.col("toxic").cast("int").alias("toxic")), run, "before long, word string, toxic int").dropDuplicates()
-    counted = pairs.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("ordinary"))
-    counted = counted.persist()
-    totals = counted.agg(F.sum("toxic"), F.sum("ordinary")).head()
-    top = counted.orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "word").limit(MAX_WORDS).toArrow()
-    counted.unpersist()
-    return top, int(totals[0] or 0), int(totals[1] or 0)
-
-
-def build(counts: pa.Table, all_toxic: int, all_ordinary: int) -> Models:
-    toxic, ordinary = (counts.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("toxic", "ordinary"))
-    total = all_toxic + all_ordinary
-    shared = np.maximum(toxic + ordinary - DISCOUNT, 1 - DISCOUNT) / total
-    unknown = max(1 - shared.sum(), 1 / (total + 1)) / (MAX_WORDS + 1)
-    ratio = class_log_ratio(toxic, ordinary, all_toxic / total)
-    mean = np.log(np.concatenate([[unknown], shared]))
-    ratio = np.concatenate([[0.0], ratio])
-    share = all_toxic / total
-    # The shared probability is the classes' mean by size, which fixes both from their ratio.
-    low = mean - np.log(share * np.exp(ratio) + 1 - share)
-    return Models({w: i + 1 for i, w in enumerate(counts.column("word").to_pylist())}, (low + ratio).astype(np.float64), low)
+                    found = ["", "", *words(text)]
+                    for w in set(found) - memory.keys():
+                        memory[w] = word_hash(w)
+                    at = np.fromiter(map(memory.__getitem__, found), np.int64, len(found))
+                    by_class.setdefault(toxic, []).append(np.stack([at[:-2], at[1:-1], at[2:]], axis=1))
+                for toxic, some in by_class.items():
+                    once = np.unique(np.concatenate(some), axis=0)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(once[:, i]) for i in range(3)), pa.array(np.full(len(once), toxic, np.int32))], names=["before", "v", "w", "toxic"])
+
+    seen = mapped(rows.select("text", F.col("toxic").cast("int").alias("toxic")), run, "before long, v long, w long, toxic int").dropDuplicates()
+    return seen.groupBy("v", "w").agg(F.count_if(F.col("toxic") == 0).alias("ordinary"), F.count_if(F.col("toxic") == 1).alias("toxic"))
+
+
+def build(pairs: DataFrame) -> Models | None:
+    """The models from pair counts; None if a class has none. To the driver come all learned words and those pairs of which a class keeps something: both are bounded by the learned rows."""
+    shared = F.col("ordinary") + F.col("toxic")
+    around = pairs.groupBy("v").agg(F.sum("ordinary").alias("all_ordinary"), F.sum("toxic").alias("all_toxic"))
+    whole = F.col("all_ordinary") + F.col("all_toxic")
+    told = pairs.join(around, "v").select("v", "w", *(F.when(F.col(f"all_{c}") > 0, kept(c, shared, F.col(f"all_{c}") / whole) / F.col(f"all_{c}")).otherwise(0.0).alias(c) for c in ("ordinary", "toxic")))
+    told = told.where("ordinary > 0 OR toxic > 0").toArrow()
+    counts = pairs.groupBy("w").agg(F.count_if(F.col("ordinary") > 0).alias("ordinary"), F.count_if(F.col("toxic") > 0).alias("toxic"), F.count("*").alias("both")).toArrow().sort_by("w")
+    number = lambda t, c: t.column(c).to_numpy(zero_copy_only=False)
+    known, both, n = number(counts, "w"), number(counts, "both").astype(float), np.stack([number(counts, c) for c in ("ordinary", "toxic")]).astype(float)
+    totals = n.sum(axis=1)
+    if not totals.all():
+        return None
+    width = len(known) + 2
+    held = np.maximum(both - DISCOUNT, 0)
+    rest = 1 - held.sum() / both.sum()
+    p = np.concatenate([[0], held / both.sum(), [0]]) + rest / width
+    share = (totals / both.sum())[:, None]
+    q = np.minimum(share, 1) * TOLERANCE / (np.minimum(share, 1) * TOLERANCE + 1 - np.minimum(share, 1))
+    stays = np.maximum(n - (both * q + DISCOUNT + Z * np.sqrt(both * q * (1 - q))), 0) / totals[:, None]
+    free = 1 - stays.sum(axis=1, keepdims=True)
+    word = free * p
+    word[:, 1:-1] += stays
+    models = Models(known, word, np.zeros(0, np.int64), np.zeros((2, 0)), np.ones((2, width)), base=float(np.log(free[1, 0]) - np.log(free[0, 0])))
+    v, w = models.places(number(told, "v")), models.places(number(told, "w"))
+    v[number(told, "v") == word_hash("")] = width - 1
+    order = np.argsort(v * width + w)
+    models.pairs, models.pair = (v * width + w)[order], np.stack([number(told, c) for c in ("ordinary", "toxic")])[:, order]
+    for c in range(2):
+        np.subtract.at(models.free[c], v[order], models.pair[c])
+    models.free = np.maximum(models.free, 1e-9)
+    return models
 
 
 def rate(df: DataFrame, key: str, text: str, models: Models) -> DataFrame:
-    """Per row: key, words, toxic_rate, ordinary_rate, score. A narrow pass; the models are of bounded size."""
+    """Per row: key, words, toxic_rate, ordinary_rate, score. A narrow pass; the models' size is bounded by the learned rows."""
     shared = df.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
+        models, memory = shared.value, {}
         for batch in batches:
             for start in range(0, batch.num_rows, DOCS_AT_A_TIME):
                 part = batch.slice(start, DOCS_AT_A_TIME)
-                rates = models.rates(part.column(1).to_pylist())
+                rates = models.rates(part.column(1).to_pylist(), memory)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rates[:, 0].astype(np.int64)), pa.array(rates[:, 1]), pa.array(rates[:, 2]), pa.array(models.score(rates))], names=["key", "words", "toxic_rate", "ordinary_rate", "score"])
 
     kind = df.schema[key].dataType.simpleString()
@@ -164,29 +219,31 @@ def rate(df: DataFrame, key: str, text: str, models: Models) -> DataFrame:
     return out.withColumnRenamed("key", key)
 
 
-def learn(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows_per_class: int = ROWS_PER_CLASS) -> Models:
-    """The models and their curve, from about rows_per_class labelled rows of each class, chosen by a hash of the key."""
+def learn(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows_of: dict[int, int] | None = None) -> Models:
+    """The models and their curve, from about rows_of[class] labelled rows of each class, chosen by a hash of the key."""
+    most = ROWS if rows_of is None else rows_of
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("toxic"))
     sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
-        return Models({}, np.zeros(1), np.zeros(1), None, float(next(iter(sizes), 0)))
+        return Models.none(float(next(iter(sizes), 0)))
     chosen: Column = F.lit(False)
     for toxic, n in sizes.items():
-        chosen = chosen | ((F.col("toxic") == toxic) & share_below(F.col("key"), rows_per_class / n, 5))
-    # Bounded by rows_per_class (about 12 bytes a row), so documents isn't shuffled.
-    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(known.where(chosen)), "key")
-    counts, toxic, ordinary = continuation_counts(rows)
+        chosen = chosen | ((F.col("toxic") == toxic) & share_below(F.col("key"), most[toxic] / n, 5))
+    scratch = Scratch(documents.sparkSession)
+    # The keys are bounded by ROWS (about 12 bytes each), so documents isn't shuffled; the learned texts are read once.
+    rows = scratch.written(documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(known.where(chosen)), "key"), "toxicity-rows")
+    models = build(scratch.written(pair_counts(rows), "toxicity-pairs"))
     prior = sizes[1] / (sizes[0] + sizes[1])
-    if not toxic or not ordinary:
-        return Models({}, np.zeros(1), np.zeros(1), None, prior)
-    models = build(counts, toxic, ordinary)
-    marked = rows.withColumn("mark", F.struct("key", "toxic"))
-    scored = rate(marked, "mark", "text", models).select("mark.toxic", "words", "toxic_rate", "ordinary_rate").toArrow()  # a row for each learned one
+    if models is None:
+        scratch.close()
+        return Models.none(prior)
+    scored = rate(rows.withColumn("mark", F.struct("key", "toxic")), "mark", "text", models).select("mark.toxic", "words", "toxic_rate", "ordinary_rate").toArrow()  # a row for each learned one
     y = scored.column("toxic").to_numpy(zero_copy_only=False).astype(float)
     rates = np.stack([scored.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("words", "toxic_rate", "ordinary_rate")], axis=1)
     share = y.mean()
     weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
-    models.curve = fit_curve(features(rates), y, weight)
+    models.curve = fit_curve(features(rates, models.base), y, weight)
+    scratch.close()
     return models
 
 

@@ -153,20 +153,74 @@ def test_toxicity_held_out(spark):
     assert sum(r.predicted for r in toxic) >= 0.9 * len(toxic) and sum(r.predicted for r in clean) <= 0.01 * len(clean)
 
 
-def test_class_ratio_backs_off():
-    toxic, ordinary = np.array([40.0, 0, 1, 10, 0]), np.array([0.0, 0, 0, 90, 500])
-    ratio = toxicity.class_log_ratio(toxic, ordinary, 0.1)
-    assert ratio[0] > 4 and ratio[1] == ratio[2] == ratio[3] == 0
-    assert toxicity.class_log_ratio(np.array([0.0]), np.array([500.0]), 0.5)[0] < -4
-
-
-def test_toxicity_counts_by_brute_force(spark):
-    rows = [("you awful thing you", 1), ("you nice thing", 0), ("you nice thing", 0), ("awful awful", 1), (None, 0), ("", 1)]
-    counts, toxic, ordinary = toxicity.continuation_counts(spark.createDataFrame(rows, "text string, toxic int"))
-    pairs = {(a, b, y) for t, y in rows for a, b in zip(["", *(t or "").split()], (t or "").split(), strict=False)}
-    want = Counter((b, y) for _, b, y in pairs)
-    got = {(r["word"], y): r[c] for r in counts.to_pylist() for y, c in ((1, "toxic"), (0, "ordinary")) if r[c]}
-    assert got == want and toxic == sum(n for (_, y), n in want.items() if y) and ordinary == sum(n for (_, y), n in want.items() if not y)
+def kneser_ney(rows, text):
+    """Both classes' mean log-likelihoods of a text (ordinary, toxic), straight from the definition."""
+    triples = {c: {t for body, y in rows if y == c for w in [["", "", *toxicity.words(body)]] for t in zip(w, w[1:], w[2:], strict=False)} for c in (0, 1)}
+    pair = {c: Counter((v, w) for _, v, w in triples[c]) for c in (0, 1)}
+    after = {c: Counter() for c in (0, 1)}
+    for c in (0, 1):
+        for (v, _), n in pair[c].items():
+            after[c][v] += n
+    every = set(pair[0]) | set(pair[1])
+    cont = {c: Counter(w for _, w in pair[c]) for c in (0, 1)}
+    both = Counter(w for _, w in every)
+    totals, whole = {c: sum(cont[c].values()) for c in (0, 1)}, sum(both.values())
+
+    def kept(n, shared, share):
+        q = share * toxicity.TOLERANCE / (share * toxicity.TOLERANCE + 1 - share)
+        return max(0.0, n - (shared * q + toxicity.DISCOUNT + toxicity.Z * (shared * q * (1 - q)) ** 0.5))
+
+    rest = 1 - sum(max(n - toxicity.DISCOUNT, 0) for n in both.values()) / whole
+    word_keeps = {c: {w: kept(cont[c][w], n, totals[c] / whole) / totals[c] for w, n in both.items()} for c in (0, 1)}
+    free = {c: 1 - sum(word_keeps[c].values()) for c in (0, 1)}
+
+    def unigram(c, w):
+        return word_keeps[c].get(w, 0) + free[c] * (max(both[w] - toxicity.DISCOUNT, 0) / whole + rest / (len(both) + 2))
+
+    def keeps(c, v, w):
+        return kept(pair[c][v, w], pair[0][v, w] + pair[1][v, w], after[c][v] / (after[0][v] + after[1][v])) / after[c][v] if after[c][v] else 0
+
+    def likelihood(c, v, w):
+        return keeps(c, v, w) + (1 - sum(keeps(c, v, x) for u, x in every if u == v)) * unigram(c, w)
+
+    found = toxicity.words(text)
+    return [np.mean([np.log(likelihood(c, v, w)) for v, w in zip(["", *found], found, strict=False)]) for c in (0, 1)]
+
+
+def test_toxicity_likelihoods_by_brute_force(spark):
+    rng = random.Random(4)
+    plain = "the a of and to road house river stone cloud".split()
+    rows = []
+    for i in range(300):
+        body = [rng.choice(plain) for _ in range(rng.randint(0, 25))]
+        if i % 4 == 0:
+            body[rng.randint(0, len(body)) : 0] = ["you", rng.choice(["fool", "moron"])]
+        elif rng.random() < 0.5:
+            body[rng.randint(0, len(body)) : 0] = [rng.choice(["you", "dear"]), "friend"]
+        rows.append((" ".join(body), int(i % 4 == 0)))
+    rows += [(None, 0), ("", 1), rows[0], rows[0]]
+    models = toxicity.build(toxicity.pair_counts(spark.createDataFrame(rows, "text string, toxic int")))
+    texts = ["you fool", "the road of stone and you moron", "unseen words here", "friend", "you friend fool the a"]
+    got = models.rates(texts, {})
+    for text, (n, toxic, ordinary) in zip(texts, got, strict=True):
+        assert n == len(text.split()) and np.allclose((ordinary, toxic), kneser_ney(rows, text))
+    assert len(models.pairs) and got[0][1] > got[0][2]  # by pairs alone: a word that follows a single other one counts once
+    assert np.array_equal(models.rates([None, "", "!"], {}), np.zeros((3, 3)))
+
+
+def test_toxicity_tells_multi_word_expressions(spark):
+    """Words that both classes use alike, in an order that only one has."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        body = [rng.choice("abcdefghijklmnopqrstuvwxyz") * 3 + rng.choice("xyz") for _ in range(12)]
+        pair = ["get", "lost"] if i % 2 else ["lost", "get"]
+        body[rng.randint(0, 12) : 0] = pair
+        rows.append((i, " ".join(body)))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id bigint, toxic int")
+    models = toxicity.learn(documents(spark, rows), labels, "doc_id", "text", "toxic")
+    got = {r.doc_id: r.score for r in toxicity.rate(documents(spark, [(1, "road get lost house tree"), (2, "road lost get house tree")]), "doc_id", "text", models).collect()}
+    assert got[1] > 0.5 > got[2]
 
 
 def test_toxicity_awkward_rows(spark):
