@@ -45,6 +45,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 16, 4
 #: Bytes of text that a worker takes at a time (a longer text by itself), and words of it and shingles that it holds as objects or in scratch arrays.
 PART_BYTES, WORDS_AT_A_TIME, DRAWN_AT_A_TIME = 1 << 20, 1 << 16, 1 << 15
+#: Texts of up to so many characters are cut into words at once.
+RUN_CHARS = 1 << 18
 #: Words whose hashes a task remembers (about 150 bytes each) before it starts afresh.
 REMEMBERED_WORDS = 100_000
 #: The sketch: counters in a row, rows, counters in a block of a row, and sketches that one task sums.
@@ -71,16 +73,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _runs(text: str) -> Iterator[list[str]]:
     """The text's words, in lists of bounded length."""
-    found = _WORD.finditer(text.lower())
-    while run := [m[0] for m in islice(found, WORDS_AT_A_TIME)]:
+    if len(text) <= RUN_CHARS:
+        if found := _WORD.findall(text.lower()):
+            yield found
+        return
+    words = _WORD.finditer(text.lower())
+    while run := [m[0] for m in islice(words, WORDS_AT_A_TIME)]:
+        yield run
+
+
+def _digested(runs: Iterator[list[str]], out: xxhash.xxh3_128) -> Iterator[list[str]]:
+    """The runs, while out takes in their words, one space between any two."""
+    some = False
+    for run in runs:
+        out.update((" " if some else "") + " ".join(run))
+        some = True
         yield run
 
 
 def _digest(text: str | None) -> bytes | None:
     """The 128-bit hash of the text's words; None without any."""
     out, some = xxhash.xxh3_128(), False
-    for run in _runs(text or ""):
-        out.update((" " if some else "") + " ".join(run))
+    for _ in _digested(_runs(text or ""), out):
         some = True
     return out.digest() if some else None
 
@@ -108,10 +122,16 @@ class Shingler:
             at = [place[w] for w in found]
         return self.hashes[np.array(at, np.int32)]
 
+    def codes(self, text: str | None) -> np.ndarray:
+        """A code for each word of the text."""
+        codes = [self._codes(found) for found in _runs(text or "")]
+        return np.concatenate(codes) if codes else np.zeros(0, np.uint64)
+
     def words(self, text: str | None) -> tuple[bytes | None, np.ndarray]:
-        """The 128-bit hash of the text's words (None without any), and a code for each word."""
-        codes = [self._codes(found) for found in _runs(text)] if text else []
-        return (_digest(text), np.concatenate(codes)) if codes else (None, np.zeros(0, np.uint64))
+        """The 128-bit hash of the text's words (None without any), and a code for each word; the text is read once."""
+        out = xxhash.xxh3_128()
+        codes = [self._codes(found) for found in _digested(_runs(text or ""), out)]
+        return (out.digest(), np.concatenate(codes)) if codes else (None, np.zeros(0, np.uint64))
 
     @staticmethod
     def shingles(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +278,7 @@ def frequencies(docs: DataFrame, text: str) -> Weights:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sketch, n = Shingler(), np.zeros((SKETCH_ROWS, SKETCH_WIDTH), np.int64), 0
         for part in _parts(batches, 0):
-            coded = [codes for body in part.column(0).to_pylist() if len(codes := shingler.words(body)[1])]
+            coded = [codes for body in part.column(0).to_pylist() if len(codes := shingler.codes(body))]
             n += len(coded)
             if coded:
                 for r, places in enumerate(_places(np.concatenate([shingler.shingles(codes)[0] for codes in coded]))):
