@@ -4,7 +4,7 @@ For each language a context tree over bytes, up to ORDER bytes deep, with escape
 method C and frozen counts. A text's code length under a language is the exact sum of its bytes'
 code lengths: at the longest known context a byte costs -log2(count / (total + distinct)) if seen
 there, else an escape, -log2(distinct / (total + distinct)), and its cost at the next shorter
-context. The shortest code wins. Trees are compiled to one automaton (state = longest known
+context. The shortest code wins. Each tree is compiled to an automaton (state = longest known
 context), so that whole texts are scored by table look-ups over many segments at once.
 
 Before coding, letters are lower-cased and everything between words becomes one space, so that
@@ -39,6 +39,8 @@ MIN_CONTEXT = 6
 #: Bytes that count as evidence in the score: more bytes of the same rates don't make it surer.
 EVIDENCE = 64
 SEGMENT = 512
+#: Fills segments up; a byte that UTF-8 never has.
+PADDING = 0xFF
 DOCS_AT_A_TIME = 256
 FOLDS, HELD_OUT = 4, 2
 #: A filter keeps a text if its language is known and its score is at least this.
@@ -95,119 +97,111 @@ def _summed(parts: list[np.ndarray]) -> np.ndarray:
 
 
 @dataclass
-class Automaton:
-    """All languages' trees in one: follow[state, symbol] and cost[state, symbol, language] in bits.
+class Tree:
+    """One language's context tree as an automaton (state = longest known context).
 
-    symbol[byte] is a byte's column; the last column stands for padding: it costs nothing.
+    symbol[byte] is a byte's column: bytes that the language hasn't share one, and PADDING has the
+    last, which costs nothing. At cell state + column, cost has bits and follow the next state, which
+    is the first cell of its row.
     """
 
-    languages: list[str]
     symbol: np.ndarray
     follow: np.ndarray
     cost: np.ndarray
     start: int
 
-    @property
-    def width(self) -> int:
-        return self.follow.shape[1]
+    def bits(self, columns: np.ndarray) -> np.ndarray:
+        """The code length of each segment; columns[j] has the j-th byte of all, ORDER bytes before them first."""
+        state = np.full(columns.shape[1], self.start, np.int32)
+        total = np.zeros(columns.shape[1], np.float32)
+        for j, column in enumerate(columns):
+            at = state + self.symbol[column]
+            if j >= ORDER:
+                total += self.cost[at]
+            state = self.follow[at]
+        return total
+
+
+@dataclass
+class Model:
+    """A tree for each language, by name. Its size is the sum of the trees', so a language more adds its own contexts and bytes only."""
+
+    languages: list[str]
+    trees: list[Tree]
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each text under each language, texts x languages."""
-        out = np.zeros((len(texts), len(self.languages)))
         sizes = np.array([len(t) for t in texts])
         per = -(-np.maximum(sizes, 1) // SEGMENT)
         first = np.concatenate([[0], np.cumsum(per)])
-        # Row i: ORDER symbols before the segment (they lead to its state and cost nothing), then the segment.
-        cells = np.full((first[-1], ORDER + SEGMENT), self.width - 1, np.uint8 if self.width <= 256 else np.uint16)
-        space = self.symbol[32]
+        # Row i: ORDER bytes before the segment (they lead to its state and cost nothing), then the segment.
+        cells = np.full((first[-1], ORDER + SEGMENT), PADDING, np.uint8)
         for k, t in enumerate(texts):
-            symbols = self.symbol[np.frombuffer(t, np.uint8)]
+            data = np.frombuffer(t, np.uint8)
             body = cells[first[k] : first[k + 1], ORDER:]
             whole = len(t) // SEGMENT
-            body[:whole] = symbols[: whole * SEGMENT].reshape(whole, SEGMENT)
+            body[:whole] = data[: whole * SEGMENT].reshape(whole, SEGMENT)
             if rest := len(t) - whole * SEGMENT:
-                body[whole, :rest] = symbols[whole * SEGMENT :]
-            cells[first[k], :ORDER] = space
+                body[whole, :rest] = data[whole * SEGMENT :]
+            cells[first[k], :ORDER] = ord(" ")
             cells[first[k] + 1 : first[k + 1], :ORDER] = body[:-1, -ORDER:]
-        columns = np.ascontiguousarray(cells.T)
-        state = np.full(first[-1], self.start, np.int32)
-        total = np.zeros((first[-1], len(self.languages)), np.float32)
-        follow, cost = self.follow.reshape(-1), self.cost.reshape(-1, len(self.languages))
-        for j, column in enumerate(columns):
-            at = state * self.width + column
-            if j >= ORDER:
-                total += cost[at]
-            state = follow[at]
-        np.add.at(out, np.repeat(np.arange(len(texts)), per), total)
-        return out
+        columns, text = np.ascontiguousarray(cells.T), np.repeat(np.arange(len(texts)), per)
+        return np.stack([np.bincount(text, tree.bits(columns), len(texts)) for tree in self.trees], axis=1)
+
+
+def shorter(context: int) -> int:
+    """The context (length << 40 | bytes) without its first byte."""
+    k = (context >> 40) - 1
+    return (k << 40) | (context & ((1 << (8 * k)) - 1))
 
 
-def compile_trees(grams: pa.Table) -> Automaton | None:
-    """The automaton of the counted grams; None if there are none."""
+def compile_tree(length: np.ndarray, body: np.ndarray, n: np.ndarray) -> Tree:
+    """The automaton of one language's counted grams (bytes in each, the bytes, how often)."""
+    seen = np.unique(body[length == 1])
+    width = len(seen) + 2
+    symbol = np.full(256, len(seen), np.int32)
+    symbol[seen] = np.arange(len(seen))
+    symbol[PADDING] = width - 1
+    context = (body >> 8) | ((length - 1) << 40)
+    order = np.argsort(context, kind="stable")
+    context, count, column = context[order], n[order], symbol[(body & 255)[order]]
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(context)) + 1])
+    ends = np.concatenate([starts[1:], [len(context)]])
+    # Ascending, so shorter contexts come first. A context's suffixes are met at least as often, so they are known too.
+    known = [(int(context[a]), a, b) for a, b in zip(starts, ends, strict=True) if context[a] >> 40 == 0 or count[a:b].sum() >= MIN_CONTEXT]
+    place = {c: i for i, (c, _, _) in enumerate(known)}
+    follow, cost = np.zeros((len(known), width), np.int32), np.full((len(known), width), 8.0, np.float32)
+    for i, (c, a, b) in enumerate(known):
+        if i:
+            cost[i] = cost[place[shorter(c)]]
+        total, distinct = count[a:b].sum(), b - a
+        cost[i] -= np.log2(distinct / (total + distinct))
+        cost[i, column[a:b]] = -np.log2(count[a:b] / (total + distinct))
+        cost[i, -1] = 0.0
+    # One byte on: the context with that byte appended, if it is known; else as from the shorter context.
+    longer: dict[int, list[tuple[int, int]]] = {}
+    for c, at in place.items():
+        if k := c >> 40:
+            longer.setdefault(((k - 1) << 40) | ((c & ((1 << 40) - 1)) >> 8), []).append((int(symbol[c & 255]), at * width))
+    for c, i in place.items():
+        if c >> 40:
+            follow[i] = follow[place[shorter(c)]]
+        for s, cell in longer.get(c, []):
+            follow[i, s] = cell
+    return Tree(symbol, follow.reshape(-1), cost.reshape(-1), place[0] * width)
+
+
+def compile_trees(grams: pa.Table) -> Model | None:
+    """Each language's tree from the counted grams; None if there are none."""
     language, code, n = (grams.column(c).to_numpy(zero_copy_only=False) for c in ("language", "gram", "n"))
     if not len(code):
         return None
-    names = sorted(set(language))
     length, body = code >> 40, code & ((1 << 40) - 1)
-    seen = np.unique(body[length == 1])
-    symbol = np.full(256, len(seen), np.int64)  # bytes that no language has share a column
-    symbol[seen] = np.arange(len(seen))
-    width = len(seen) + 2
-    trees: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-    for name in names:
-        mine = language == name
-        context = (body[mine] >> 8) | ((length[mine] - 1) << 40)
-        order = np.argsort(context, kind="stable")
-        context, count, byte = context[order], n[mine][order], symbol[(body[mine] & 255)[order]]
-        ends = np.concatenate([np.flatnonzero(np.diff(context)) + 1, [len(context)]])
-        starts = np.concatenate([[0], ends[:-1]])
-        trees.append({int(context[a]): (byte[a:b], count[a:b]) for a, b in zip(starts, ends, strict=True) if context[a] >> 40 == 0 or count[a:b].sum() >= MIN_CONTEXT})
-    known = sorted(set().union(*trees))  # shorter contexts first
-    place = {c: i for i, c in enumerate(known)}
-
-    def shorter(c: int) -> int:
-        k = c >> 40
-        return place[((k - 1) << 40) | (c & ((1 << (8 * (k - 1))) - 1))]
-
-    # A context's suffixes are met at least as often, so they are known too; a context without them would go.
-    closed: list[int] = []
-    place = {}
-    for c in known:
-        k = c >> 40
-        if k == 0 or ((k - 1) << 40) | (c & ((1 << (8 * (k - 1))) - 1)) in place:
-            place[c] = len(closed)
-            closed.append(c)
-    follow = np.zeros((len(closed), width), np.int32)
-    cost = np.zeros((len(closed), width, len(names)), np.float32)
-    root = place[0]
-    for i, c in enumerate(closed):
-        k = c >> 40
-        if k:
-            follow[i], cost[i] = follow[shorter(c)], cost[shorter(c)]
-        else:
-            follow[i], cost[i] = root, 8.0
-        for lang, tree in enumerate(trees):
-            if c in tree:
-                bytes_here, counts = tree[c]
-                total, distinct = counts.sum(), len(counts)
-                cost[i, :, lang] += -np.log2(distinct / (total + distinct))
-                cost[i, bytes_here, lang] = -np.log2(counts / (total + distinct))
-        cost[i, -1] = 0.0
-    # One symbol on: the context with that byte appended, if it is known; else as from the shorter context (set above, as shorter ones come first).
-    byte_of = np.zeros(width, np.int64)
-    byte_of[: len(seen)] = seen
-    for i, c in enumerate(closed):
-        k = c >> 40
-        if k:
-            follow[i] = follow[shorter(c)]
-        if k < ORDER:
-            for s in range(len(seen)):
-                if (longer := place.get(((k + 1) << 40) | ((c & ((1 << 40) - 1)) << 8) | int(byte_of[s]))) is not None:
-                    follow[i, s] = longer
-    return Automaton(names, symbol, follow, cost, root)
-
-
-def learn(rows: DataFrame, key: str, text: str, language: str, rows_per_language: int = ROWS_PER_LANGUAGE) -> Automaton | None:
+    names = sorted(set(language))
+    return Model(names, [compile_tree(length[mine], body[mine], n[mine]) for mine in (language == name for name in names)])
+
+
+def learn(rows: DataFrame, key: str, text: str, language: str, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
     """From rows with text and language: about rows_per_language of each, chosen by a hash of the key."""
     usable = rows.where(F.col(text).isNotNull() & F.col(language).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(language).alias("language"))
     sizes = {r[0]: r[1] for r in usable.groupBy("language").count().collect()}  # a row for each language
@@ -217,9 +211,9 @@ def learn(rows: DataFrame, key: str, text: str, language: str, rows_per_language
     return compile_trees(count_grams(usable.where(chosen), "language", "text"))
 
 
-def predict(df: DataFrame, key: str, text: str, model: Automaton | None, carried: tuple[str, ...] = ()) -> DataFrame:
+def predict(df: DataFrame, key: str, text: str, model: Model | None, carried: tuple[str, ...] = ()) -> DataFrame:
     """Per row: key, carried columns, lang_pred, score (0 to 1), bits_per_byte (null for `und`). A narrow pass without a shuffle."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the learned rows
+    shared = df.sparkSession.sparkContext.broadcast(model)  # a tree for each language, bounded by its learned rows
     kept = (key, *carried)
     at = kept.index(text) if text in kept else len(kept)
 
