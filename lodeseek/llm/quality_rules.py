@@ -36,10 +36,6 @@ MAX_CONDITIONS = 3
 MIN_PRECISION = 0.9
 MIN_TAKEN = 3
 
-#: Always 0, but not deterministic: filters on the measures stay above the projection that makes
-#: them. Moved below, they would measure each text once more for each place where a measure is used.
-STAY = "CAST(floor(rand(0)) AS BIGINT)"
-
 #: Feature name -> expression over the measures; ratios are to the words, lines or code points of the text.
 FEATURES: dict[str, str] = {
     "mean_word_chars": "word_chars / n_words",
@@ -84,15 +80,14 @@ def measures(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     starts = f"sort_array(array_distinct(flatten(transform(_twice, p -> array(p.`0`.`{WINDOW}`, p.`1`.`{WINDOW}`)))))"
     # Starts ascending: each covers WINDOW words, less what the one before has covered.
     covered = f"aggregate({starts}, named_struct('last', -{WINDOW}, 'n', 0L), (a, x) -> named_struct('last', x, 'n', a.n + least({WINDOW}, x - a.last)), a -> a.n)"
-    counted = twice.selectExpr(
-        *keep, f"CAST(size(_w) AS BIGINT) + {STAY} AS n_words", "CAST(length(array_join(_w, '')) AS BIGINT) AS word_chars",
-        f"CAST({_removed('_text', '[' + SYMBOLS + ']+')} AS BIGINT) AS n_symbols",
-        "CAST(size(_lines) AS BIGINT) AS n_lines", "CAST(size(_lines) - size(array_distinct(_lines)) AS BIGINT) AS n_dup_lines",
-        f"{covered} AS n_repeat_words",
-        f"CAST({_removed('_text', '\\\\p{Lu}+')} AS BIGINT) AS n_upper", f"CAST({_removed('_text', '[!?]+')} AS BIGINT) AS n_marks", f"CAST({_removed('_text', '[0-9]+')} AS BIGINT) AS n_digits",
-        "CAST(size(array_distinct(_w)) AS BIGINT) AS n_distinct",
-    )
-    return counted
+    counts = {
+        "n_words": "size(_w)", "word_chars": "length(array_join(_w, ''))", "n_symbols": _removed("_text", "[" + SYMBOLS + "]+"),
+        "n_lines": "size(_lines)", "n_dup_lines": "size(_lines) - size(array_distinct(_lines))", "n_repeat_words": covered,
+        "n_upper": _removed("_text", "\\\\p{Lu}+"), "n_marks": _removed("_text", "[!?]+"), "n_digits": _removed("_text", "[0-9]+"), "n_distinct": "size(array_distinct(_w))",
+    }
+    # A generator of one row: filters on the measures stay above it. Moved below, they would measure each text once more for each place where a measure is used.
+    one = ", ".join(f"'{name}', CAST({x} AS BIGINT)" for name, x in counts.items())
+    return twice.selectExpr(*keep, f"inline(array(named_struct({one})))")
 
 
 def base_failed() -> Column:
