@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeseek.llm import mixing, warc
+from lodeseek.llm import contamination, filter_audit, merkle, mixing, warc
 from lodeseek.llm.ann_tree import op6_ann_tree
 from lodeseek.llm.byte_bpe import op10_byte_bpe
 from lodeseek.llm.html_text import op3_html_text
@@ -27,9 +27,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mixing.op8_mixing,
     "op9_warc": warc.op9_warc,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_decontamination": contamination.op12_decontamination,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_mixing": mixing.oracle(),
     "op9_warc": warc.ORACLE,
+    "op11_merkle_manifest": merkle.oracle(),
+    "op12_decontamination": contamination.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
