@@ -71,9 +71,9 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.paths = spark, []
 
-    def written(self, df: DataFrame, tag: str) -> DataFrame:
+    def written(self, df: DataFrame, tag: str, **options: str) -> DataFrame:
         self.paths.append(fresh_path(self.spark, tag))
-        df.write.parquet(self.paths[-1])
+        df.write.options(**options).parquet(self.paths[-1])
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
     def close(self) -> None:

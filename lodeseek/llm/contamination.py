@@ -1,9 +1,9 @@
 """Benchmark decontamination by a positional inverted index of the training texts.
 
-The index is filed by segments: a segment holds the texts of a batch, and for each of its words the
-places where that word stands, as one ascending list (a place is the text's number in the segment,
-and the word's in the text). So building it needs no shuffle, a word in every text is a bounded list
-in every segment, and all that one text needs for an intersection stands in one segment.
+The index is filed by segments: a segment holds some thousand texts, laid end to end with a gap, and
+for each of its words the places where that word stands, as one ascending list. So building it needs
+no shuffle, a word in every text is a bounded list in every segment, and all that one text needs for
+an intersection stands in one segment. No phrase matches across a gap.
 
 Test phrases are looked up from their rarest words on. The lists of a phrase's rarest word give
 candidate places of its begin (each place less the word's offset). Then come the next rarest, and then
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from lodeseek.llm.common import Scratch, mapped, table, written
 
@@ -39,9 +39,13 @@ WINDOW = 10
 #: Places that a word may be off in a proximity match.
 SLOP = 2
 #: Of a phrase's distinct words, those after the rarest whose lists are intersected by themselves, before all the others.
-NEXT_RAREST = 2
-#: Bits of a place that number the word in its text.
-TEXT_BITS = 32
+NEXT_RAREST = 1
+#: Words of a segment, about: a segment ends with the batch that reaches this.
+SEGMENT_WORDS = 2_000_000
+#: Free places between a segment's texts; a slop must be less than half of it.
+GAP = 64
+#: Ascending lists are stored as small differences.
+STORED = {"parquet.writer.version": "PARQUET_2_0", "compression": "zstd"}
 #: Bytes of a text that are cut into words at once.
 PIECE = 1 << 20
 #: What lies between words, once A-Z are lower-cased; CLEAN says the same of UTF-8 bytes.
@@ -62,43 +66,49 @@ def numbered(text: bytes, ids: defaultdict[bytes, int]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def segment_rows(segment: int, keys: pa.ChunkedArray, ids: defaultdict[bytes, int], coded: list[np.ndarray]) -> pa.RecordBatch:
+    """index()'s rows of a segment: coded holds each text's words, ids numbers them."""
+    sizes = np.array([len(c) for c in coded], np.int64)
+    starts = np.cumsum(sizes + GAP) - sizes - GAP
+    terms = np.concatenate(coded)
+    places = np.arange(len(terms)) + np.repeat(np.arange(len(coded)) * GAP, sizes)
+    places = (np.sort(terms << 32 | places) & 0xFFFFFFFF).astype(np.int32)  # by term, ascending
+    n, counts = len(ids), np.bincount(terms, minlength=len(ids))
+    listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(places))
+    own = lambda values: pa.concat_arrays([pa.nulls(n, pa.list_(values.type)), pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)])
+    return pa.RecordBatch.from_pydict({
+        "segment": pa.array(np.full(n + 1, segment)), "term": pa.concat_arrays([pa.array([w.decode("utf-8", "replace") for w in ids], pa.string()), pa.nulls(1, pa.string())]),
+        "n": pa.array(np.append(counts, len(coded)).astype(np.int64)), "keys": own(pa.concat_arrays(keys.chunks)), "n_words": own(pa.array(sizes)), "starts": own(pa.array(starts)),
+        "places": pa.concat_arrays([listed, pa.nulls(1, listed.type)]),
+    })
+
+
 def index(df: DataFrame, key: str, text: str) -> DataFrame:
-    """A row for each segment and word (segment, term, n, places), and one for each segment (term null): its texts' keys and numbers of words."""
+    """A row for each segment and word (segment, term, n, places), and one for each segment (term null): its texts' keys, numbers of words and first places."""
     asked = df.select(F.col(key).alias("key"), F.col(text).cast("string").cast("binary").alias("body"))
-    lists = {"keys": asked.schema["key"].dataType, "n_words": LongType(), "places": LongType()}
+    lists = {"keys": asked.schema["key"].dataType, "n_words": LongType(), "starts": LongType(), "places": IntegerType()}
     schema = StructType([*StructType.fromDDL("segment bigint, term string, n bigint").fields, *(StructField(c, ArrayType(t)) for c, t in lists.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment = TaskContext.get().partitionId() << 32
+        keys, ids, coded, n = [], defaultdict(count().__next__), [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            segment += 1
-            ids: defaultdict[bytes, int] = defaultdict(count().__next__)
-            coded = [numbered(t.as_py() or b"", ids) for t in batch.column(1)]
-            sizes = np.array([len(c) for c in coded], np.int64)
-            terms = np.concatenate(coded)
-            base = np.repeat(np.arange(len(coded), dtype=np.int64) << TEXT_BITS, sizes)
-            places = base + np.arange(len(terms)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            bounds = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(ids)))]).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(bounds), pa.array(places[np.argsort(terms, kind="stable")]))
-            n = len(ids)
-            names = pa.array([w.decode("utf-8", "replace") for w in ids], pa.string())
-            own = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            columns = {
-                "segment": pa.array(np.full(n + 1, segment)), "term": pa.concat_arrays([names, pa.nulls(1, pa.string())]), "n": pa.array(np.append(np.diff(bounds), len(coded)).astype(np.int64)),
-                "keys": pa.concat_arrays([pa.nulls(n, pa.list_(batch.column(0).type)), own(batch.column(0))]), "n_words": pa.concat_arrays([pa.nulls(n, pa.list_(pa.int64())), own(pa.array(sizes))]),
-                "places": pa.concat_arrays([listed, pa.nulls(1, listed.type)]),
-            }
-            yield pa.RecordBatch.from_pydict(columns)
+            keys.append(batch.column(0))
+            coded += [numbered(t.as_py() or b"", ids) for t in batch.column(1)]
+            n += sum(map(len, coded[len(coded) - batch.num_rows :]))
+            if n >= SEGMENT_WORDS:
+                yield segment_rows(segment, pa.chunked_array(keys), ids, coded)
+                segment, keys, ids, coded, n = segment + 1, [], defaultdict(count().__next__), [], 0
+        if coded:
+            yield segment_rows(segment, pa.chunked_array(keys), ids, coded)
 
     return mapped(asked, run, schema)
 
 
 def texts(indexed: DataFrame) -> DataFrame:
-    """segment, number, key, n_words of each text in the index."""
-    held = indexed.where("term IS NULL").select("segment", F.posexplode(F.arrays_zip("keys", "n_words")).alias("number", "x"))
-    return held.select("segment", "number", F.col("x.keys").alias("key"), F.col("x.n_words").alias("n_words"))
+    """segment, start, key, n_words of each text in the index."""
+    held = indexed.where("term IS NULL").select("segment", F.explode(F.arrays_zip("keys", "n_words", "starts")).alias("x"))
+    return held.select("segment", F.col("x.starts").alias("start"), F.col("x.keys").alias("key"), F.col("x.n_words").alias("n_words"))
 
 
 def windows(items: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -116,47 +126,54 @@ def _confirmed(candidates: DataFrame, wanted: DataFrame, asked: DataFrame, slop:
     beside = wants.withColumn("found", F.explode(F.sequence(F.col("place") - slop, F.col("place") + slop)) if slop else F.col("place"))
     # At most as many places as the segment's candidates want: a segment is a batch of texts.
     gathered = beside.groupBy("segment", "term").agg(F.collect_set("found").alias("wanted"))
-    found = gathered.join(asked, ["segment", "term"]).select("segment", "term", F.explode(F.array_intersect("wanted", "places")).alias("found"))
+    lists = asked.join(wanted.select("term").distinct(), "term", "left_semi")
+    found = gathered.join(lists, ["segment", "term"]).select("segment", "term", F.explode(F.array_intersect("wanted", "places")).alias("found"))
     met = beside.join(found, ["segment", "term", "found"]).groupBy(*by, "offset").agg(F.min(F.abs(F.col("found") - F.col("place"))).alias("beside"))
     n_wanted = wanted.groupBy("phrase_id").agg(F.count("*").alias("n_wanted"))
     full = met.groupBy(*by).agg(F.count("*").alias("n_met"), F.sum("beside").alias("beside")).join(n_wanted, "phrase_id").where("n_met = n_wanted")
-    return full.select("segment", "phrase_id", "at", (F.col("off") + F.col("beside")).alias("off"))
+    return full.select("segment", "phrase_id", "at", (F.col("off") + F.col("beside")).cast("int").alias("off"))
 
 
 def search(indexed: DataFrame, phrases: DataFrame, scratch: Scratch, slop: int = 0) -> DataFrame:
-    """segment, number, phrase_id, begin, off: where phrases (phrase_id, phrase) stand in the index's texts.
+    """segment, start, phrase_id, begin, off: where phrases (phrase_id, phrase) stand in the index's texts.
 
     off is 0 for an exact match, else by how many places its words are off, in sum. begin is where the
     rarest word (ties: the first) would have the phrase begin; in a proximity match that may lie before the text.
     """
+    if 2 * slop >= GAP:
+        raise ValueError(f"a slop must be less than half of {GAP}")
     places = phrases.select("phrase_id", F.posexplode("phrase").alias("offset", "term"))
     # What the lookups read of the index: the lists of the phrases' words.
-    asked = scratch.written(indexed.where("term IS NOT NULL").join(places.select("term").distinct(), "term", "left_semi").select("segment", "term", "n", "places"), "contamination-asked")
+    asked = scratch.written(indexed.where("term IS NOT NULL").join(places.select("term").distinct(), "term", "left_semi").select("segment", "term", "n", "places"), "contamination-asked", **STORED)
     held = asked.groupBy("term").agg(F.sum("n").alias("n"))
     of_phrase = Window.partitionBy("phrase_id")  # a window's words
     ranks = places.join(held, "term", "left").withColumns({"rank": F.row_number().over(of_phrase.orderBy("n", "offset")), "absent": F.max(F.col("n").isNull()).over(of_phrase)})
     ranked = scratch.written(ranks.where("NOT absent").select("phrase_id", "term", "offset", "rank"), "contamination-ranks")
     begins = asked.join(ranked.where("rank = 1").select("phrase_id", "term", "offset"), "term").select("segment", "phrase_id", "offset", F.explode("places").alias("place"))
-    early = F.expr(f"(place & {(1 << TEXT_BITS) - 1}L) < offset - {slop}")
-    found = begins.where(~early).select("segment", "phrase_id", (F.col("place") - F.col("offset")).alias("at"), F.lit(0).cast("bigint").alias("off"))
+    found = begins.select("segment", "phrase_id", (F.col("place") - F.col("offset")).alias("at"), F.lit(0).alias("off"))
     for low, high in ((2, 1 + NEXT_RAREST), (2 + NEXT_RAREST, 1 << 30)):
         found = scratch.written(found, "contamination-found")
         of_rank = ranked.where(F.col("rank").between(low, high)).select("phrase_id", "term", "offset")
         without = found.join(of_rank, "phrase_id", "left_anti")  # their phrases have no more words
         found = _confirmed(found, of_rank, asked, slop).unionByName(without)
-    number = F.shiftright(F.col("at") + slop, TEXT_BITS)
-    return found.select("segment", number.alias("number"), "phrase_id", (F.col("at") - F.shiftleft(number, TEXT_BITS)).alias("begin"), "off")
+    # The text of a match is the last that starts no later than the match's words may stand.
+    nothing = [F.lit(None).cast(kind).alias(c) for c, kind in found.dtypes if c != "segment"]
+    starts = texts(indexed).select("segment", *nothing, "start", F.col("start").alias("place"))
+    both = starts.unionByName(found.withColumns({"start": F.lit(None).cast("bigint"), "place": (F.col("at") + slop).cast("bigint")}))
+    in_segment = Window.partitionBy("segment").orderBy("place", F.col("phrase_id").asc_nulls_first())  # a segment's matches and texts
+    of_text = both.withColumn("start", F.last("start", ignorenulls=True).over(in_segment)).where("phrase_id IS NOT NULL")
+    return of_text.select("segment", "start", "phrase_id", (F.col("at") - F.col("start")).alias("begin"), "off")
 
 
 def overlap(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, size: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """Per row of docs: key, n_words, n_hit (words inside exact matches of an item's windows), n_items, items_sha256, contaminated, n_near (items with proximity matches only)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    indexed = scratch.written(index(docs, key, text), "contamination-index")
+    indexed = scratch.written(index(docs, key, text), "contamination-index", **STORED)
     listed = scratch.written(windows(items, item_key, item_text, size), "contamination-windows")
     phrases = scratch.written(listed.select("phrase").distinct().withColumn("phrase_id", F.monotonically_increasing_id()), "contamination-phrases")
     found = scratch.written(search(indexed, phrases, scratch, slop).join(phrases.select("phrase_id", F.size("phrase").alias("length")), "phrase_id"), "contamination-matches")
-    one = ["segment", "number"]
+    one = ["segment", "start"]
     spans = found.where("off = 0").groupBy(*one, "begin").agg(F.max(F.col("begin") + F.col("length")).alias("end"))
     reached = F.max("end").over(Window.partitionBy(*one).orderBy("begin").rowsBetween(Window.unboundedPreceding, -1))  # a text's words, at most
     fresh = F.col("end") - F.greatest(F.col("begin"), F.least(F.col("end"), F.coalesce(reached, F.lit(0).cast("bigint"))))

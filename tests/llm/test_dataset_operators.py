@@ -151,8 +151,8 @@ def test_proximity_by_brute_force(spark):
     asked = spark.createDataFrame(list(enumerate(map(list, dict.fromkeys(phrases)))), "phrase_id bigint, phrase array<string>")
     scratch, n = Scratch(spark), Counter(w for d in docs for w in d)
     indexed = scratch.written(contamination.index(df, "doc_id", "text"), "index")
-    of = {(r.segment, r.number): r.key for r in contamination.texts(indexed).collect()}
-    found = {(of[r.segment, r.number], r.phrase_id, r.begin, r.off) for r in contamination.search(indexed, asked, scratch, 1).collect()}
+    of = {(r.segment, r.start): r.key for r in contamination.texts(indexed).collect()}
+    found = {(of[r.segment, r.start], r.phrase_id, r.begin, r.off) for r in contamination.search(indexed, asked, scratch, 1).collect()}
     expected = set()
     for p, phrase in enumerate(dict.fromkeys(phrases)):
         if not all(n[w] for w in phrase):
