@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from lodeseek.functions.ids import collection_name
 from lodeseek.operators import chunking, diff, graph, parsing, points, references, search
 from lodeseek.plans.services import Embed, Explain, embedded, explained, hashed_vectors
 from lodeseek.sources import files
-from lodeseek.sources.store import Staging, Store
+from lodeseek.sources.store import CONTENT, FILES, Staging, Store
 
 
 @dataclass
@@ -58,7 +59,8 @@ class Engine:
         """Bring the collection up to date; counts of changes by kind.
 
         Files are told apart by their snapshot: those whose metadata changed are hashed, and those
-        whose content or path changed are parsed. All tables are committed together at the end.
+        whose content or path changed are parsed. All tables change together at the end, by rows of
+        changed files only.
         """
         name, s = self.collection(path), self.settings
         self.store.create(name, {"path": path, "vector_size": s.vector_size, "docs": s.doc_index}, force)
@@ -68,22 +70,24 @@ class Engine:
             new = stage.written(diff.records(meta, old, files.contents(path, diff.unknown(meta, old))))
             found = stage.written(diff.changes(old, new))
             counts = {r[0]: r[1] for r in found.groupBy("change").count().collect()}  # a row for each kind
+            told = stage.written(new.exceptAll(old.select(new.columns)))
+            silent = old.select(new.columns).exceptAll(new).select("path").unionByName(told.select("path"))
             if counts:
                 # A moved file has new ids, so it is parsed again under its new path.
                 moved = found.where(F.col("change") == diff.RENAMED)
                 changed = diff.to_add(found).unionByName(moved.select("path"))
                 gone = diff.to_remove(found).unionByName(moved.select(F.col("old_path").alias("path")))
-                self.apply(name, stage, files.texts(files.contents(path, changed)), gone, {"snapshot": new})
-            elif not new.exceptAll(old.select(new.columns)).isEmpty():
-                self.store.commit(name, {"snapshot": new})  # only metadata changed: keep hashes from being made again
+                self.apply(name, stage, files.texts(files.contents(path, changed)), gone, told, silent)
+            elif not told.isEmpty():
+                self.store.change(name, {"snapshot": told}, {FILES: silent})  # only metadata changed: keep hashes from being made again
         return counts
 
-    def apply(self, name: str, stage: Staging, changed: DataFrame, gone: DataFrame, tables: dict[str, DataFrame], facts: dict | None = None) -> None:
-        """Commit tables, and what follows from changed files (path, content) and gone paths.
+    def apply(self, name: str, stage: Staging, changed: DataFrame, gone: DataFrame, told: DataFrame, silent: DataFrame, facts: dict | None = None) -> None:
+        """Bring tables up to changed files (path, content), gone paths, and the snapshot's new rows (told) in place of those of silent paths.
 
-        What is used more than once is written to the stage first, so that plans stay small and the
-        services are asked once. Edges of unchanged files into changed ones are found anew, as those
-        of changed files are: names are joined both ways.
+        Only rows of changed files are written. What is used more than once is written to the stage
+        first, so that plans stay small and the services are asked once. Edges of unchanged files
+        into changed ones are found anew, as those of changed files are: names are joined both ways.
         """
         s, read = self.settings, lambda table: self.store.read(name, table)
         changed = stage.written(changed)
@@ -91,23 +95,18 @@ class Engine:
         rows = stage.written(parsing.parsed(changed, ids=s.ids))
         cut = stage.written(parsing.chunks(changed, s.chunk_size, s.chunk_overlap, rows, s.ids))
         fresh = stage.written(self.points(cut))
-        all_points = points.without_paths(read("points"), away).unionByName(fresh.select(*read("points").columns))
-        lost = read("nodes").join(away.withColumnRenamed("path", "relative_path"), "relative_path", "left_semi").select("id")
-        nodes, edges = graph.remove_nodes(read("nodes"), read("edges"), lost)
-        nodes = stage.written(nodes.unionByName(fresh.select(*nodes.columns)))
         asked, known = (stage.written(references.by_parts(x, rows, cut)) for x in (parsing.candidates(rows), parsing.definitions(rows)))
         old_asked, old_known = (points.without_paths(read(t), away, "file_path") for t in ("candidates", "definitions"))
-        all_known = old_known.unionByName(known)
-        names = references.reference_edges(asked, all_known, s.within_files).unionByName(references.reference_edges(old_asked, known, s.within_files))
-        made = chunking.continues_edges(cut).unionByName(graph.parent_edges(cut)).unionByName(names)
+        named = references.reference_edges(asked, old_known.unionByName(known), s.within_files, True).unionByName(references.reference_edges(old_asked, known, s.within_files, True))
+        in_file = cut.select(F.col("id").alias("source_id"), F.col("file_path").alias("source_path"), F.col("file_path").alias("target_path"))
+        within = chunking.continues_edges(cut).unionByName(graph.parent_edges(cut)).join(in_file, "source_id")
+        edges = named.unionByName(within.select(*named.columns)).where("source_id <> '' AND target_id <> ''").dropDuplicates()
         held = ["content", "doc"] if s.doc_index else ["content"]
-        fresh_postings = [search.filed(search.postings(fresh, "id", field, field).join(fresh.select(F.col("id").alias("chunk_id"), "relative_path"), "chunk_id")) for field in held]
-        postings = points.without_paths(read("postings"), away)
-        for some in fresh_postings:
-            postings = postings.unionByName(some.select(*postings.columns))
-        texts = all_points.agg(F.count("content").alias("content"), F.count("doc").alias("doc")).head().asDict()
-        out = {"points": all_points, "nodes": nodes, "edges": graph.upsert_edges(edges, made, nodes), "candidates": old_asked.unionByName(asked), "definitions": all_known, "postings": postings}
-        self.store.commit(name, out | tables, (facts or {}) | {"texts": texts})
+        of_path = fresh.select(F.col("id").alias("chunk_id"), "relative_path")
+        made = [search.filed(search.postings(fresh, "id", field, field).join(of_path, "chunk_id")) for field in held]
+        tallies = fresh.groupBy(F.col("relative_path").alias("path")).agg(F.count("content").alias("content"), F.count("doc").alias("doc"))
+        out = {"points": fresh, "nodes": fresh, "edges": edges, "candidates": asked, "definitions": known, "postings": reduce(DataFrame.unionByName, made), "tallies": tallies, "snapshot": told}
+        self.store.change(name, out, {CONTENT: away, FILES: silent}, facts)
 
     def points(self, chunks: DataFrame) -> DataFrame:
         """Chunks with vectors and payload."""

@@ -14,3 +14,5 @@ FILED_POSTING = POSTING + ", relative_path string, bucket int"
 SEARCH_RESULT = "content string, doc string, relative_path string, start_line int, end_line int, language string, score double"
 EDGE = "source_id string, target_id string, edge_type string"
 NODE = "id string, content string, relative_path string, start_line int, end_line int, language string, doc string"
+#: Of a file: its chunks with content, and with documentation.
+TALLY = "path string, content bigint, doc bigint"

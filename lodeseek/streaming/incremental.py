@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodeseek.operators import points
 from lodeseek.plans.engine import Engine
 
 
@@ -27,9 +26,8 @@ def apply_batch(engine: Engine, collection: str) -> Callable[[DataFrame, int], N
         with engine.store.staging(collection) as stage:
             last = stage.written(batch.groupBy("path").agg(F.max_by(F.struct("content", "deleted", "sequence"), "sequence").alias("r")).select("path", "r.*"))
             held = last.where("NOT deleted AND content IS NOT NULL")
-            old = points.without_paths(engine.store.read(collection, "snapshot"), last.select("path"), "path")
             new = held.select("path", F.octet_length("content").cast("long").alias("size"), F.col("sequence").cast("double").alias("mtime"), F.lit(None).cast("long").alias("inode"), F.md5("content").alias("hash"))
-            engine.apply(collection, stage, held.select("path", "content"), last.select("path"), {"snapshot": old.unionByName(new)}, {"batch": number})
+            engine.apply(collection, stage, held.select("path", "content"), last.select("path"), new, last.select("path"), {"batch": number})
 
     return apply
 
