@@ -434,17 +434,42 @@ def expand_with_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.expand(ranked, graph.upsert_edges(None, edges, nodes), 2, 25)
 
 
+def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Texts as chunks: candidates and definitions."""
+    docs = _docs(spark, sf_dir).selectExpr("concat('d', doc_id) AS chunk_id", "lang AS language", "source AS file_path", "regexp_extract_all(lower(text), '[a-z]{6,}', 0) AS w", "doc_id")
+    owner = "CASE WHEN doc_id % 3 = 0 THEN 'A' WHEN doc_id % 3 = 1 THEN 'B' END AS owner"
+    known = docs.where("size(w) > 0").selectExpr("chunk_id", "language", "w[0] AS name", owner, "file_path")
+    asked = docs.selectExpr("chunk_id", "language", "explode(w) AS name", "CASE WHEN doc_id % 2 = 0 THEN 'call' ELSE 'identifier' END AS kind", owner, "file_path")
+    return asked, known
+
+
 @query("""WITH d AS (SELECT concat('d', doc_id) AS chunk_id, lang, source, regexp_extract_all(lower(text), '[a-z]{6,}') AS w, doc_id, CASE WHEN doc_id % 3 = 0 THEN 'A' WHEN doc_id % 3 = 1 THEN 'B' END AS owner FROM documents),
 k AS (SELECT chunk_id, lang, w[1] AS name, owner, source FROM d WHERE len(w) > 0),
 a AS (SELECT DISTINCT chunk_id, lang, unnest(w) AS name, CASE WHEN doc_id % 2 = 0 THEN 'CALLS' ELSE 'USES' END AS edge_type, owner, source FROM d)
 SELECT DISTINCT a.chunk_id AS source_id, k.chunk_id AS target_id, edge_type FROM a JOIN k ON a.lang = k.lang AND a.name = k.name AND a.chunk_id <> k.chunk_id AND a.source <> k.source AND (a.owner IS NULL OR k.owner IS NULL OR a.owner = k.owner)""")
 def symbol_reference_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's rarer words refer to the texts whose first word they are."""
-    docs = _docs(spark, sf_dir).selectExpr("concat('d', doc_id) AS chunk_id", "lang AS language", "source AS file_path", "regexp_extract_all(lower(text), '[a-z]{6,}', 0) AS w", "doc_id")
-    owner = "CASE WHEN doc_id % 3 = 0 THEN 'A' WHEN doc_id % 3 = 1 THEN 'B' END AS owner"
-    known = docs.where("size(w) > 0").selectExpr("chunk_id", "language", "w[0] AS name", owner, "file_path")
-    asked = docs.selectExpr("chunk_id", "language", "explode(w) AS name", "CASE WHEN doc_id % 2 = 0 THEN 'call' ELSE 'identifier' END AS kind", owner, "file_path")
-    return references.reference_edges(asked, known)
+    return references.reference_edges(*_named(spark, sf_dir))
+
+
+_SYMBOLS = """docs AS (SELECT concat('d', doc_id) AS chunk_id, lang, source, regexp_extract_all(lower(text), '[a-z]{6,}') AS w, doc_id, CASE WHEN doc_id % 3 = 0 THEN 'A' WHEN doc_id % 3 = 1 THEN 'B' END AS owner FROM documents),
+k AS (SELECT chunk_id, lang, w[1] AS name, owner, source FROM docs WHERE len(w) > 0),
+a AS (SELECT DISTINCT chunk_id, lang, unnest(w) AS name, owner, source FROM docs),
+e AS (SELECT DISTINCT a.chunk_id AS x, k.chunk_id AS y FROM a JOIN k ON a.lang = k.lang AND a.name = k.name AND a.chunk_id <> k.chunk_id AND a.source <> k.source AND (a.owner IS NULL OR k.owner IS NULL OR a.owner = k.owner)),
+p AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+seeds AS (SELECT chunk_id AS id FROM docs WHERE doc_id IN (3, 7))"""
+
+
+@query(f"""WITH {_SYMBOLS},
+h1 AS (SELECT DISTINCT y AS id FROM p WHERE x IN (SELECT id FROM seeds)),
+h2 AS (SELECT DISTINCT y AS id FROM p WHERE x IN (SELECT id FROM h1))
+SELECT id, CAST(min(d) AS INT) AS distance FROM (SELECT id, 0 AS d FROM seeds WHERE id IN (SELECT x FROM p) UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2) GROUP BY id""")
+def symbol_neighbors_h2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hops over the references of symbol_reference_join, factored by names: no edge is listed."""
+    asked, known = _named(spark, sf_dir)
+    none = spark.createDataFrame([], "source_id string, target_id string, edge_type string")
+    seeds = spark.createDataFrame([("d3",), ("d7",)], "id string")
+    return graph.neighbour_nodes(none, seeds, 2, references.Symbols(asked, known))
 
 
 @query(f"SELECT doc_id, md5(concat_ws(chr(31), {PATH}, 'text', '', 'whole')) AS id FROM documents")

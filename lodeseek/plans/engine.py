@@ -86,21 +86,19 @@ class Engine:
         """Bring tables up to changed files (path, content), gone paths, and the snapshot's new rows (told) in place of those of silent paths.
 
         Only rows of changed files are written. What is used more than once is written to the stage
-        first, so that plans stay small and the services are asked once. Edges of unchanged files
-        into changed ones are found anew, as those of changed files are: names are joined both ways.
+        first, so that plans stay small and the services are asked once. References are kept as
+        candidates and definitions, from which a search walks them (references.Symbols): no
+        edge of an unchanged file changes here, and names that all files share have no square of edges.
         """
-        s, read = self.settings, lambda table: self.store.read(name, table)
+        s = self.settings
         changed = stage.written(changed)
         away = stage.written(gone.select("path").unionByName(changed.select("path")).dropDuplicates())
         rows = stage.written(parsing.parsed(changed, ids=s.ids))
         cut = stage.written(parsing.chunks(changed, s.chunk_size, s.chunk_overlap, rows, s.ids))
         fresh = stage.written(self.points(cut))
         asked, known = (stage.written(references.by_parts(x, rows, cut)) for x in (parsing.candidates(rows), parsing.definitions(rows)))
-        old_asked, old_known = (points.without_paths(read(t), away, "file_path") for t in ("candidates", "definitions"))
-        named = references.reference_edges(asked, old_known.unionByName(known), s.within_files, True).unionByName(references.reference_edges(old_asked, known, s.within_files, True))
         in_file = cut.select(F.col("id").alias("source_id"), F.col("file_path").alias("source_path"), F.col("file_path").alias("target_path"))
-        within = chunking.continues_edges(cut).unionByName(graph.parent_edges(cut)).join(in_file, "source_id")
-        edges = named.unionByName(within.select(*named.columns)).where("source_id <> '' AND target_id <> ''").dropDuplicates()
+        edges = chunking.continues_edges(cut).unionByName(graph.parent_edges(cut)).join(in_file, "source_id").dropDuplicates()
         held = ["content", "doc"] if s.doc_index else ["content"]
         of_path = fresh.select(F.col("id").alias("chunk_id"), "relative_path")
         made = [search.filed(search.postings(fresh, "id", field, field).join(of_path, "chunk_id")) for field in held]
@@ -127,9 +125,17 @@ class Engine:
         held, facts = self.store.read(name, "points"), self.store.facts(name)
         ranked = search.hybrid(held, query, self.embed([query])[0], top_k, threshold, bool(facts.get("docs")), self.settings.rrf_k, self.store.read(name, "postings"), facts.get("texts"))
         if max_graph_hops:
-            ranked = graph.expand(ranked, self.store.read(name, "edges"), max_graph_hops, graph_limit)
+            ranked = graph.expand(ranked, self.store.read(name, "edges"), max_graph_hops, graph_limit, self.symbols(name))
             return search.results(ranked.select("id", "score"), held).join(F.broadcast(ranked.select("id", "position")), "id").orderBy("position").drop("position")
         return search.results(ranked, held).orderBy(F.desc("score"), "id")
 
+    def symbols(self, name: str) -> references.Symbols:
+        return references.Symbols(self.store.read(name, "candidates"), self.store.read(name, "definitions"), self.settings.within_files)
+
+    def edges(self, path: str) -> DataFrame:
+        """All edges of the collection, listed."""
+        name = self.collection(path)
+        return self.store.read(name, "edges").unionByName(self.symbols(name).edges())
+
     def drop(self, path: str) -> bool:
         return self.store.drop(self.collection(path))

@@ -94,7 +94,7 @@ def test_index_search_drop(spark, tmp_path):
     first = best.head()
     assert first.relative_path == "shop.py" and "sell" in first.content
     assert json.loads(sinks.json_text(best))["total"] == best.count() and "shop.py" in sinks.plain_text(best)
-    edges = {r.edge_type for r in e.store.read(e.collection(str(code)), "edges").collect()}
+    edges = {r.edge_type for r in e.edges(str(code)).collect()}
     assert edges == {"PARENT_OF", "CALLS", "USES"}
     out = io.StringIO()
     cli.serve(e, io.StringIO(json.dumps({"query": "sell", "path": str(code), "limit": 2}) + '\n\n{"query": " "}\n[\n'), out)
@@ -119,7 +119,7 @@ def tables(e, code):
     read = lambda table, *columns: sorted(map(str, e.store.read(name, table).select(*columns).collect()))
     return {
         "points": read("points", "id", "content", "start_line", "end_line", "language", "file_path", "relative_path", "doc", "parent_chunk_id", "node_key", "part_index", "code", "doc_vec"),
-        "nodes": read("nodes", "id", "content", "relative_path", "start_line", "end_line", "doc"), "edges": read("edges", "source_id", "target_id", "edge_type"),
+        "nodes": read("nodes", "id", "content", "relative_path", "start_line", "end_line", "doc"), "edges": sorted(map(str, e.edges(str(code)).collect())), "filed edges": read("edges", "source_id", "target_id", "edge_type"),
         "candidates": read("candidates", "*"), "definitions": read("definitions", "*"), "postings": read("postings", "*"), "snapshot": read("snapshot", "path", "size", "hash"), "texts": [e.store.facts(name)["texts"]],
     }
 

@@ -97,3 +97,33 @@ def test_references(spark):
     assert targets("A") == [("x1", "CALLS")]
     assert targets(None, kind="identifier") == [("x1", "USES"), ("y1", "USES")]
     assert targets("A", "x.py") == [] and targets("A", "x.py", within=True) == [("x1", "CALLS")]
+
+
+@pytest.mark.parametrize("within", [False, True])
+def test_symbols_walk_the_listed_edges(spark, within):
+    rng = random.Random(9)
+    file_of = {f"k{i}": rng.choice(["f", "g", "h", "lone"]) for i in range(40)}
+    row = lambda chunk, *kind: (chunk, rng.choice(["py", "js"]), rng.choice(["hot", "hot", "a", "b", "", f"n{rng.randrange(30)}"]), *kind, rng.choice([None, None, "A", "B"]), file_of[chunk])
+    asked = spark.createDataFrame([row(rng.choice(list(file_of)), rng.choice(["call", "identifier"])) for _ in range(60)], CANDIDATE)
+    known = spark.createDataFrame([row(rng.choice(list(file_of))) for _ in range(40)], DEFINITION)
+    plain = edges(spark, [("k1", "k2"), ("k3", "x"), ("x", "y")])
+    symbols = references.Symbols(asked, known, within)
+    listed = references.reference_edges(asked, known, within)
+    pairs = {(r.source_id, r.target_id) for r in listed.collect()}
+    for some in (["k1"], ["k5", "k6"], ["none"], list(file_of)):
+        mine = {r.id for r in symbols.neighbours(ids(spark, some)).collect()}
+        assert mine == {b for a, b in pairs if a in some} | {a for a, b in pairs if b in some}
+        assert {r.id for r in symbols.touched(ids(spark, some)).collect()} == {x for x in some if any(x in p for p in pairs)}
+        assert sorted(symbols.edges_at(ids(spark, some)).collect()) == sorted(r for r in listed.collect() if r.source_id in some or r.target_id in some)
+    both = plain.unionByName(listed)
+    for seeds in (["k1", "z"], ["y"]):
+        for f in (graph.hops, graph.neighbour_nodes, graph.neighbour_edges):
+            assert sorted(f(plain, ids(spark, seeds), 2, symbols).collect()) == sorted(f(both, ids(spark, seeds), 2).collect())
+
+
+def test_a_name_of_all_files_has_no_square(spark):
+    """Two thousand files that define and use one name: four million edges, none of which is listed."""
+    files = spark.range(2000).selectExpr("concat('k', id) AS chunk_id", "'py' AS language", "'main' AS name", "cast(null AS string) AS owner", "concat('f', id) AS file_path")
+    symbols = references.Symbols(files.selectExpr("chunk_id", "language", "name", "'call' AS kind", "owner", "file_path"), files)
+    reached = symbols.neighbours(ids(spark, ["k0"]))
+    assert reached.count() == 1999
