@@ -71,17 +71,18 @@ def to_remove(found: DataFrame) -> DataFrame:
 
 
 def unknown(meta: DataFrame, old: DataFrame) -> DataFrame:
-    """path of the current files whose content has to be read: those that aren't known with the same metadata."""
-    return meta.alias("n").join(old.alias("o"), (F.col("n.path") == F.col("o.path")) & same_metadata("n", "o"), "left_anti").select("path")
+    """path, size of the current files whose content has to be read: those that aren't known with the same metadata."""
+    return meta.alias("n").join(old.alias("o"), (F.col("n.path") == F.col("o.path")) & same_metadata("n", "o"), "left_anti").select("path", "size")
 
 
 def records(meta: DataFrame, old: DataFrame, content: DataFrame) -> DataFrame:
     """path, size, mtime, inode, hash of the current files: a file whose metadata didn't change keeps its hash, the others are hashed.
 
-    The others are told apart first, so that only their content is read; files that can't be read drop out.
+    The others are told apart first, so that only they are read; files that can't be read drop out.
+    content: path and hash, or path and content.
     """
     joined = meta.alias("n").join(old.alias("o"), (F.col("n.path") == F.col("o.path")) & same_metadata("n", "o"), "left")
     known = joined.where(F.col("o.path").isNotNull()).select("n.path", "n.size", "n.mtime", "n.inode", "o.hash")
     fresh = joined.where(F.col("o.path").isNull()).select("n.path", "n.size", "n.mtime", "n.inode")
-    hashed = fresh.join(content.select("path", F.md5("content").alias("hash")), "path").where("hash IS NOT NULL")
+    hashed = fresh.join(content.select("path", "hash" if "hash" in content.columns else F.md5("content").alias("hash")), "path").where("hash IS NOT NULL")
     return known.unionByName(hashed)

@@ -67,7 +67,7 @@ class Engine:
         old = self.store.read(name, "snapshot")
         with self.store.staging(name) as stage:
             meta = stage.written(files.scan(self.spark, path, s.ignore))
-            new = stage.written(diff.records(meta, old, files.contents(path, diff.unknown(meta, old))))
+            new = stage.written(diff.records(meta, old, files.hashes(path, diff.unknown(meta, old))))
             found = stage.written(diff.changes(old, new))
             counts = {r[0]: r[1] for r in found.groupBy("change").count().collect()}  # a row for each kind
             told = stage.written(new.exceptAll(old.select(new.columns)))
@@ -77,7 +77,8 @@ class Engine:
                 moved = found.where(F.col("change") == diff.RENAMED)
                 changed = diff.to_add(found).unionByName(moved.select("path"))
                 gone = diff.to_remove(found).unionByName(moved.select(F.col("old_path").alias("path")))
-                self.apply(name, stage, files.texts(files.contents(path, changed)), gone, told, silent)
+                sized = stage.written(changed.join(new.select("path", "size"), "path"))
+                self.apply(name, stage, files.texts(files.contents(path, sized)), gone, told, silent)
             elif not told.isEmpty():
                 self.store.change(name, {"snapshot": told}, {FILES: silent})  # only metadata changed: keep hashes from being made again
         return counts

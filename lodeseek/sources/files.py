@@ -8,6 +8,7 @@ in parallel, also where one directory holds it all.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from collections import deque
@@ -28,6 +29,10 @@ NAME = "lodeseek_files"
 PARTS, SPREAD = 256, 512
 #: Bytes of content in one batch.
 BATCH_BYTES = 8 << 20
+#: Bytes that are hashed at once, that a task reads, about, and that a row's content has at most.
+BLOCK_BYTES, TASK_BYTES, ROW_BYTES = 64 << 10, 128 << 20, 1 << 30
+#: Files of a range that is sorted by size.
+RANGE_FILES = 100_000
 IGNORE_FILE = ".gitignore"
 
 
@@ -134,14 +139,62 @@ def scan(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), content:
     return spark.read.format(NAME).option("ignore", "\n".join(ignore)).option("content", str(content).lower()).load(root)
 
 
+def dealt(paths: DataFrame) -> DataFrame:
+    """path, dealt to tasks by the files' bytes (size, if paths have it; else each counts alike).
+
+    Tasks are as many as the bytes take (TASK_BYTES each), or the session's shuffle partitions. Paths
+    are sorted by size in ranges, and each range is dealt out in turn, the largest first: a task's
+    share is like any other's. The number of tasks is given, so nothing merges them by the bytes of the paths.
+    """
+    spark = paths.sparkSession
+    size = F.col("size").cast("bigint") if "size" in paths.columns else F.lit(0).cast("bigint")
+    told = paths.select("path", F.coalesce(size, F.lit(0)).alias("size"))
+    n_bytes, n_files = told.agg(F.sum("size"), F.count("*")).head()
+    if not n_files:
+        return paths.select("path")
+    tasks = min(n_files, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // TASK_BYTES)))
+    ranges = min(tasks, n_files // RANGE_FILES + 1)
+    at = F.monotonically_increasing_id()
+    ordered = told.repartitionByRange(ranges, F.desc("size"), "path").sortWithinPartitions(F.desc("size"), "path")
+    turn = F.pmod(at.bitwiseAND((1 << 33) - 1) + F.shiftright(at, 33) * F.lit(7919), F.lit(tasks)).cast("int")
+    return ordered.select("path", turn.alias("task")).repartitionById(tasks, "task").select("path")
+
+
+def _base(root: str) -> str:
+    return os.path.realpath(os.path.expanduser(re.sub(r"^file:(//)?(?=/)", "", root)))
+
+
+def block_hash(path: str) -> str | None:
+    """The md5 of a file, read in blocks; None if it can't be read."""
+    told = hashlib.md5()
+    try:
+        with open(path, "rb", buffering=0) as f:
+            while block := f.read(BLOCK_BYTES):
+                told.update(block)
+    except OSError:
+        return None
+    return told.hexdigest()
+
+
+def hashes(root: str, paths: DataFrame) -> DataFrame:
+    """path, hash of the files with these paths below root; null if one can't be read. No content leaves the reading task, which holds a block of it."""
+    base = _base(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([block_hash(os.path.join(base, p)) for p in batch.column(0).to_pylist()], pa.string())], names=["path", "hash"])
+
+    return dealt(paths).mapInArrow(run, "path string, hash string")
+
+
 def contents(root: str, paths: DataFrame) -> DataFrame:
-    """path, content of the files with these paths below root, and of no others; null content if it can't be read."""
-    base = os.path.realpath(os.path.expanduser(re.sub(r"^file:(//)?(?=/)", "", root)))
+    """path, content of the files with these paths below root, and of no others; null content if it can't be read or is too long for a row."""
+    base = _base(root)
 
     def read(path: str) -> bytes | None:
         try:
             with open(os.path.join(base, path), "rb") as f:
-                return f.read()
+                return f.read() if os.fstat(f.fileno()).st_size <= ROW_BYTES else None
         except OSError:
             return None
 
@@ -158,7 +211,7 @@ def contents(root: str, paths: DataFrame) -> DataFrame:
         if rows:
             yield _batch(rows)
 
-    return paths.select("path").mapInArrow(run, "path string, content binary")
+    return dealt(paths).mapInArrow(run, "path string, content binary")
 
 
 def _batch(rows: list[tuple[str, bytes | None]]) -> pa.RecordBatch:
