@@ -80,9 +80,10 @@ def unit(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return held, vectors[held] / lengths[held, None]
 
 
-def _best(scores: np.ndarray, n: int) -> np.ndarray:
-    """Places of the n highest scores, those further on last among equals."""
+def _best(scores: np.ndarray, n: int, floor: float | None = None) -> np.ndarray:
+    """Places of the n highest scores, of floor or more; those further on last among equals."""
     border = -np.partition(-scores, n - 1)[n - 1]
+    border = border if floor is None else max(border, floor)
     held = np.flatnonzero(scores >= border)
     return held[np.argsort(-scores[held], kind="stable")[:n]]
 
@@ -148,9 +149,14 @@ def probed(order: np.ndarray, counts: np.ndarray, probes: int, k: int) -> np.nda
 
 
 def approximate(index: DataFrame, queries: DataFrame, id: str, vector: str, book: Codebook, counts: np.ndarray, probes: int, k: int, most: int) -> DataFrame:
-    """query_id, id, near: the most best rows of each query's cells by their codes."""
+    """query_id, id, near: the most best rows of each query's cells by their codes.
+
+    The nearest cells that hold so many rows are scored first; the others then give only what isn't
+    worse than the last of those, so what a query's cells give grows little with their number.
+    """
     asked = queries.select(F.col(id).alias("query_id"), F.col(vector).alias("v"))
     kind, id_kind = asked.schema["query_id"].dataType.simpleString(), index.schema["id"].dataType.simpleString()
+    names = ["query_id", "cell", "centre", "q", "first"]
 
     def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,34 +165,39 @@ def approximate(index: DataFrame, queries: DataFrame, id: str, vector: str, book
                 continue
             order, products = book.order(vectors)
             n = probed(order, counts, probes, k)
-            rows = np.repeat(np.arange(len(held)), n)
-            cells = np.concatenate([o[:x] for o, x in zip(order, n, strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(held[rows])), pa.array(cells.astype(np.int32)), pa.array(products[rows, cells]), pa.array(list(vectors[rows]), pa.list_(pa.float64()))], names=["query_id", "cell", "centre", "q"])
-
-    wants = asked.mapInArrow(cells_of, f"query_id {kind}, cell int, centre double, q array<double>")
-    blocks = lambda n, of: F.pmod(F.xxhash64(F.col(of).cast("string")), n).cast("int").alias("block")
-    n_query_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    asking = wants.select("cell", blocks(F.lit(n_query_blocks), "query_id"), F.struct("query_id", "centre", "q").alias("x")).groupBy("cell", "block").agg(F.collect_list("x").alias("asking"))
+            n_first = np.minimum((np.cumsum(counts[order], axis=1) < most).sum(axis=1) + 1, n)
+            rows, cells = np.repeat(np.arange(len(held)), n), np.concatenate([o[:x] for o, x in zip(order, n, strict=True)])
+            first = np.concatenate([np.arange(x) < y for x, y in zip(n, n_first, strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(held[rows])), pa.array(cells.astype(np.int32)), pa.array(products[rows, cells]), pa.array(list(vectors[rows]), pa.list_(pa.float64())), pa.array(first)], names=names)
+
+    wants = asked.mapInArrow(cells_of, f"query_id {kind}, cell int, centre double, q array<double>, first boolean")
+    block = lambda n, of: F.pmod(F.xxhash64(F.col(of).cast("string")), n).cast("int").alias("block")
+    n_query_blocks = F.lit(max(1, -(-queries.count() // BLOCK_QUERIES)))
     n_blocks = F.element_at(F.array(*(F.lit(int(-(-c // BLOCK_ROWS)) or 1) for c in counts)), F.col("cell") + 1)
-    rows = index.select("cell", blocks(n_blocks, "id"), F.struct("id", "codes").alias("x"))
-    held = rows.groupBy("cell", "block").agg(F.collect_list("x").alias("rows"))
-    pairs = held.select("cell", "rows").join(asking.select("cell", "asking"), "cell").select("rows", "asking")
+    held = index.select("cell", block(n_blocks, "id"), F.struct("id", "codes").alias("x")).groupBy("cell", "block").agg(F.collect_list("x").alias("rows"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some, asks in zip(batch.column(0), batch.column(1), strict=True):
-                rows, asks = some.values, asks.as_py()
+                rows, asks = some.values, asks.values
                 rows = rows.take(pc.sort_indices(rows.field("id")))  # equal scores go to the smaller id
                 codes = np.frombuffer(b"".join(rows.field("codes").to_pylist()), np.uint8).reshape(len(rows), -1)
-                tables = book.tables(np.array([a["q"] for a in asks]))
-                near = np.array([a["centre"] for a in asks])[:, None] + sum(tables[:, p, codes[:, p]] for p in range(codes.shape[1]))
-                n = min(most, len(rows))
-                best = np.stack([_best(row, n) for row in near])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([a["query_id"] for a in asks], object), n).tolist(), batch.schema.field(1).type.value_type.field("query_id").type), rows.field("id").take(pa.array(best.reshape(-1))), pa.array(np.take_along_axis(near, best, 1).reshape(-1))], names=["query_id", "id", "near"])
+                tables = book.tables(np.array(asks.field("q").to_pylist()))
+                near = np.array(asks.field("centre"))[:, None] + sum(tables[:, p, codes[:, p]] for p in range(codes.shape[1]))
+                best = [_best(row, min(most, len(rows)), floor) for row, floor in zip(near, asks.field("floor").to_pylist(), strict=True)]
+                of = np.repeat(np.arange(len(best)), [len(x) for x in best])
+                flat = np.concatenate(best)
+                yield pa.RecordBatch.from_arrays([asks.field("query_id").take(pa.array(of)), rows.field("id").take(pa.array(flat)), pa.array(near[of, flat])], names=["query_id", "id", "near"])
+
+    def scored(some: DataFrame) -> DataFrame:
+        asking = some.select("cell", block(n_query_blocks, "query_id"), F.struct("query_id", "centre", "q", "floor").alias("x")).groupBy("cell", "block").agg(F.collect_list("x").alias("asking"))
+        return held.select("cell", "rows").join(asking.select("cell", "asking"), "cell").select("rows", "asking").mapInArrow(score, f"query_id {kind}, id {id_kind}, near double")
 
-    scored = pairs.mapInArrow(score, f"query_id {kind}, id {id_kind}, near double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
+    best = lambda found: found.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
+    first = best(scored(wants.where("first").withColumn("floor", F.lit(None).cast("double"))))
+    floors = first.groupBy("query_id").agg(F.when(F.count("*") >= most, F.min("near")).alias("floor"))
+    return best(first.unionByName(scored(wants.where("NOT first").join(floors, "query_id", "left"))))
 
 
 def exact_scores(pairs: DataFrame, queries: DataFrame, points: DataFrame, query_id: str, id: str, vector: str, of_query: str | None = None) -> DataFrame:
