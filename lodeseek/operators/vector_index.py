@@ -34,6 +34,8 @@ SAMPLE, ROUNDS = 20_000, 12
 BLOCK_ROWS, BLOCK_QUERIES = 8_192, 256
 #: A query's cells hold at least so many times the rows it asks for, and so many are scored again.
 WIDEN, RERANK = 8, 8
+#: Times the rows that are scored again, that a query's first cells hold: they tell what the other cells' rows must reach.
+FIRST = 8
 #: Queries whose true neighbours calibrate the probes.
 CALIBRATION = 64
 
@@ -151,8 +153,8 @@ def probed(order: np.ndarray, counts: np.ndarray, probes: int, k: int) -> np.nda
 def approximate(index: DataFrame, queries: DataFrame, id: str, vector: str, book: Codebook, counts: np.ndarray, probes: int, k: int, most: int) -> DataFrame:
     """query_id, id, near: the most best rows of each query's cells by their codes.
 
-    The nearest cells that hold so many rows are scored first; the others then give only what isn't
-    worse than the last of those, so what a query's cells give grows little with their number.
+    The nearest cells that hold FIRST times as many rows are scored first; the others then give only
+    what isn't worse than the last of the best of those, so what a query's cells give grows little with their number.
     """
     asked = queries.select(F.col(id).alias("query_id"), F.col(vector).alias("v"))
     kind, id_kind = asked.schema["query_id"].dataType.simpleString(), index.schema["id"].dataType.simpleString()
@@ -165,7 +167,7 @@ def approximate(index: DataFrame, queries: DataFrame, id: str, vector: str, book
                 continue
             order, products = book.order(vectors)
             n = probed(order, counts, probes, k)
-            n_first = np.minimum((np.cumsum(counts[order], axis=1) < most).sum(axis=1) + 1, n)
+            n_first = np.minimum((np.cumsum(counts[order], axis=1) < FIRST * most).sum(axis=1) + 1, n)
             rows, cells = np.repeat(np.arange(len(held)), n), np.concatenate([o[:x] for o, x in zip(order, n, strict=True)])
             first = np.concatenate([np.arange(x) < y for x, y in zip(n, n_first, strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(held[rows])), pa.array(cells.astype(np.int32)), pa.array(products[rows, cells]), pa.array(list(vectors[rows]), pa.list_(pa.float64())), pa.array(first)], names=names)
