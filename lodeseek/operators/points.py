@@ -19,12 +19,6 @@ def without_paths(points: DataFrame, paths: DataFrame, column: str = "relative_p
     return points.join(paths.select(F.col("path").alias(column)).dropDuplicates(), column, "left_anti").select(points.columns)
 
 
-def moved_paths(points: DataFrame, moves: DataFrame, column: str = "relative_path") -> DataFrame:
-    """points with old_path replaced by path."""
-    joined = points.join(moves.select(F.col("old_path").alias(column), F.col("path").alias("_to")), column, "left")
-    return joined.withColumn(column, F.coalesce("_to", column)).select(points.columns)
-
-
 def needs_doc(df: DataFrame) -> DataFrame:
     return df.where(is_blank(F.col("doc")))
 
