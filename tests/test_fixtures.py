@@ -69,6 +69,19 @@ def test_scan_query(spark):
     assert got == {p: os.path.getsize(os.path.join(root, p)) for p in want}
 
 
+def test_broken_files_lose_no_method(spark):
+    turns = spark.read.parquet(f"{SMALL}/conversations.parquet").collect()
+    want = {(r.conv_id, "function_definition", f"turn_{r.turn}") for r in turns} | {(r.conv_id, "class_definition", f"Talk{r.conv_id}") for r in turns} | {(r.conv_id, "function_definition", "heard") for r in turns}
+    rows = fixtures.parse_broken_python(spark, SMALL).collect()
+    first = [r for r in rows if r.part_index == 0]
+    assert sorted((int(re.search(r"\d+", r.file_path)[0]), r.node_type, re.match(r"(?:class|def) (\w+)", r.content)[1]) for r in first) == sorted(want)
+    assert {r.parse_status.split(",")[0] for r in rows} == {"parsed"}
+    for r in turns:
+        text = "\n        ".join(re.split(r"\r\n|\r|\n", r.text or ""))
+        parts = sorted((x.part_index, x.content) for x in rows if x.file_path == f"broken/t{r.conv_id}.py" and x.parent_chunk_id)
+        assert any(line.strip() in content for line in text.split("\n")[:1] for _, content in parts)
+
+
 def test_result_json(spark):
     rows = [json.loads(r.json) for r in fixtures.result_json(spark, SMALL).collect()]
     assert len(rows) == catalogue.TOP and all(set(r) == {"content", "doc", "relative_path", "start_line", "end_line", "language", "score"} for r in rows)
