@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.fixed_values import CHUNK_OVERLAP, CHUNK_SIZE, RRF_K, VECTOR_SIZE
+from lodeseek.fixed_values import CHUNK_OVERLAP, CHUNK_SIZE, NO_DOC, RRF_K, VECTOR_SIZE
 from lodeseek.functions.ids import collection_name
 from lodeseek.operators import chunking, diff, graph, parsing, points, references, search
-from lodeseek.plans.services import Embed, Explain, embedded, explained, hashed_vectors
+from lodeseek.plans.services import ANSWER_BUCKETS, Embed, Explain, answer_bucket, answer_key, blank, embedded, explained, hashed_vectors
 from lodeseek.sources import files
 from lodeseek.sources.store import CONTENT, FILES, Staging, Store
 
@@ -29,6 +30,14 @@ class Settings:
     rrf_k: int = RRF_K
     ids: str = "md5"
     ignore: tuple[str, ...] = ()
+    #: Names of the models behind the services: another name asks anew.
+    embed_model: str = "default"
+    explain_model: str = "default"
+    #: Calls a second, over all tasks; so many tasks share them.
+    rate: float | None = None
+    tasks: int = 8
+    #: Texts that are asked for before their answers are kept.
+    wave: int = 200_000
 
     def __post_init__(self) -> None:
         if not 0 < self.chunk_size <= 100_000 or self.chunk_size % 10:
@@ -96,7 +105,7 @@ class Engine:
         away = stage.written(gone.select("path").unionByName(changed.select("path")).dropDuplicates())
         rows = stage.written(parsing.parsed(changed, ids=s.ids))
         cut = stage.written(parsing.chunks(changed, s.chunk_size, s.chunk_overlap, rows, s.ids))
-        fresh = stage.written(self.points(cut))
+        fresh = stage.written(self.points(name, stage, cut))
         asked, known = (stage.written(references.by_parts(x, rows, cut)) for x in (parsing.candidates(rows), parsing.definitions(rows)))
         in_file = cut.select(F.col("id").alias("source_id"), F.col("file_path").alias("source_path"), F.col("file_path").alias("target_path"))
         edges = chunking.continues_edges(cut).unionByName(graph.parent_edges(cut)).join(in_file, "source_id").dropDuplicates()
@@ -107,16 +116,48 @@ class Engine:
         out = {"points": fresh, "nodes": fresh, "edges": edges, "candidates": asked, "definitions": known, "postings": reduce(DataFrame.unionByName, made), "tallies": tallies, "snapshot": told}
         self.store.change(name, out, {CONTENT: away, FILES: silent}, facts)
 
-    def points(self, chunks: DataFrame) -> DataFrame:
-        """Chunks with vectors and payload."""
-        s = self.settings
-        out = chunks
-        if s.explanation:
-            out = explained(out, "content", "doc", self.explain, s.parallel)
-        out = embedded(out, "content", "code", self.embed)
-        out = embedded(out, "doc", "doc_vec", self.embed) if s.doc_index else out.withColumn("doc_vec", F.lit(None).cast("array<float>"))
+    def points(self, name: str, stage: Staging, chunks: DataFrame) -> DataFrame:
+        """Chunks with vectors and payload. A service is asked once for a text, whatever file or version it is in."""
+        s, out = self.settings, chunks
+        each = s.rate and s.rate / s.tasks
+        if s.explanation and self.explain is None:
+            out = explained(out, "content", "doc", None)
+        elif s.explanation:
+            asked = lambda some: explained(some.withColumn("answer", F.lit(None).cast("string")), "text", "answer", self.explain, s.parallel, each).where(F.col("answer") != NO_DOC)
+            said = self.answers(name, stage, f"explain {s.explain_model}", out.where(blank(F.col("doc"))).select(F.col("content").alias("text")), "answer", asked)
+            keyed = out.withColumn("_key", F.when(blank(F.col("doc")), answer_key(F.col("content"))))
+            doc = F.when(F.col("_key").isNull(), F.col("doc")).otherwise(F.coalesce("answer", F.lit(NO_DOC)))
+            out = stage.written(keyed.join(said, F.col("_key") == F.col("key"), "left").withColumn("doc", doc).select(*chunks.columns))
+        fields = {"code": "content", "doc_vec": "doc"} if s.doc_index else {"code": "content"}
+        texts = reduce(DataFrame.unionByName, (out.select(F.col(c).alias("text")) for c in fields.values()))
+        said = self.answers(name, stage, f"embed {s.embed_model} {s.vector_size}", texts, "vector", lambda some: embedded(some, "text", "vector", self.embed, rate=each))
+        for to, field in fields.items():
+            of = said.select(F.col("key").alias("_key"), F.col("vector").alias(to))
+            out = out.withColumn("_of", answer_key(F.col(field))).join(of, F.col("_of") == F.col("_key"), "left").drop("_of", "_key")
+        if not s.doc_index:
+            out = out.withColumn("doc_vec", F.lit(None).cast("array<float>"))
         return out.withColumn("relative_path", F.col("file_path")).withColumn("indexed_at", F.current_timestamp())
 
+    def answers(self, name: str, stage: Staging, kind: str, texts: DataFrame, of: str, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """key and what a service says (of: vector or answer) of each text (text).
+
+        Only what the collection doesn't know is asked for, each text once. Answers are kept wave by wave,
+        apart from the rest of a change: after a failure, what was answered isn't asked for again. They
+        are filed by their key, so that a few texts read few folders.
+        """
+        s = self.settings
+        wanted = stage.written(texts.where("text IS NOT NULL").select(answer_key(F.col("text")).alias("key"), "text").dropDuplicates(["key"]).withColumn("bucket", answer_bucket(F.col("key"))))
+        buckets = [r[0] for r in wanted.select("bucket").distinct().limit(ANSWER_BUCKETS).collect()]
+        known = lambda: self.store.read(name, "answers").where(F.col("bucket").isin(buckets) & (F.col("kind") == kind)).drop("bucket")
+        missing = stage.written(wanted.join(known().select("key"), "key", "left_anti"))
+        waves = -(-missing.count() // s.wave)
+        for i in range(waves):
+            some = missing.where(F.pmod(F.xxhash64("key"), F.lit(waves)) == i)
+            said = ask(some.repartition(s.tasks, "key") if s.rate else some)
+            other = {"vector": "answer", "answer": "vector"}[of]
+            self.store.change(name, {"answers": said.withColumn("kind", F.lit(kind)).withColumn(other, F.lit(None).cast({"answer": "string", "vector": "array<float>"}[other]))})
+        return stage.written(known().join(wanted.select("key"), "key", "left_semi").select("key", of))
+
     def search(self, path: str, query: str, top_k: int = 5, threshold: float = 0.0, max_graph_hops: int | None = None, graph_limit: int | None = None) -> DataFrame:
         """SEARCH_RESULT rows with id, best first. Words are looked up in the stored postings; no text is cut up here."""
         search.check_arguments(query, top_k, threshold, max_graph_hops)

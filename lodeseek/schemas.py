@@ -16,3 +16,5 @@ EDGE = "source_id string, target_id string, edge_type string"
 NODE = "id string, content string, relative_path string, start_line int, end_line int, language string, doc string"
 #: Of a file: its chunks with content, and with documentation.
 TALLY = "path string, content bigint, doc bigint"
+#: What a service said of a text: kind tells the service, key is the text's hash.
+ANSWER = "kind string, key string, vector array<float>, answer string, bucket int"

@@ -28,15 +28,15 @@ from lodeseek import schemas
 
 TABLES = {
     "points": schemas.POINT, "snapshot": schemas.FILE_RECORD, "nodes": schemas.NODE, "edges": schemas.EDGE, "candidates": schemas.CANDIDATE, "definitions": schemas.DEFINITION, "postings": schemas.FILED_POSTING,
-    "tallies": schemas.TALLY,
+    "tallies": schemas.TALLY, "answers": schemas.ANSWER,
 }
 #: Tables that are dealt into folders by a column.
-FOLDERS = {"postings": "bucket"}
-#: The paths that a table's rows belong to, and whether their files' content or their snapshot is meant.
-CONTENT, FILES = "content", "files"
+FOLDERS = {"postings": "bucket", "answers": "bucket"}
+#: The paths that a table's rows belong to, and whether their files' content or their snapshot is meant. What is kept belongs to none.
+CONTENT, FILES, KEPT = "content", "files", "kept"
 BELONGS = {
     "points": (CONTENT, ["relative_path"]), "nodes": (CONTENT, ["relative_path"]), "edges": (CONTENT, ["source_path", "target_path"]), "candidates": (CONTENT, ["file_path"]), "definitions": (CONTENT, ["file_path"]),
-    "postings": (CONTENT, ["relative_path"]), "tallies": (CONTENT, ["path"]), "snapshot": (FILES, ["path"]),
+    "postings": (CONTENT, ["relative_path"]), "tallies": (CONTENT, ["path"]), "snapshot": (FILES, ["path"]), "answers": (KEPT, []),
 }
 #: Segments of paths that are gone, by what is meant.
 GONE = {CONTENT: "gone_content", FILES: "gone_files"}
@@ -124,8 +124,8 @@ class Store:
         rows = self._segments(collection, table, schema, held)
         if rows is None:
             return self.spark.createDataFrame([], schema)
-        gone = [x for x in pointer["segments"].get(GONE[what], []) if x["last"] > min(s["added"] for s in held)]
-        if went := self._segments(collection, GONE[what], "path string, at int", gone):
+        gone = [x for x in pointer["segments"].get(GONE.get(what), []) if x["last"] > min(s["added"] for s in held)]
+        if went := self._segments(collection, GONE.get(what), "path string, at int", gone):
             last = went.groupBy("path").agg(F.max("at").alias("_at"))
             for i, c in enumerate(columns):
                 rows = rows.join(last.select(F.col("path").alias(f"_path{i}"), F.col("_at").alias(f"_at{i}")), F.col(c) == F.col(f"_path{i}"), "left")
