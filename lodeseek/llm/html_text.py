@@ -58,6 +58,9 @@ FURNITURE_WORDS = frozenset(
 MAIN_WORDS = frozenset("article content main post story entry body text".split())
 NEUTRAL_WORDS = frozenset("area bar block box button buttons col column container group holder inner item items left link links list outer panel right row section site top bottom wrap wrapper page".split())
 STATES = frozenset("has with no without is".split())
+# Elements that hold running text, and words which there, within the main text, say how it looks rather than what it is.
+RUNNING = frozenset("p li dd dt blockquote pre td th figcaption".split()) | HEADINGS
+LOOKS = frozenset("widget form dialog search header related share sharing social login alert".split())
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"""
@@ -80,11 +83,12 @@ class Block:
     main: bool
 
 
-def says(attributes: str, within_main: bool) -> tuple[bool, bool]:
+def says(attributes: str, within_main: bool, tag: str = "") -> tuple[bool, bool]:
     """Whether class, id or role name page furniture, and whether they name main text.
 
     A name's last word that isn't neutral counts: "search-algorithms" are no search, a
     "comment-list" is of comments. A header is the article's own if the name or what is around says so.
+    A paragraph of the main text isn't furniture for a word that may tell of its looks only.
     """
     furniture = main = False
     for _, value in _NAMED.findall(attributes):
@@ -96,7 +100,7 @@ def says(attributes: str, within_main: bool) -> tuple[bool, bool]:
             of_main = not MAIN_WORDS.isdisjoint(parts)
             if not heads:
                 main |= of_main
-            elif heads[-1] in FURNITURE_WORDS:
+            elif heads[-1] in FURNITURE_WORDS and not (within_main and tag in RUNNING and heads[-1] in LOOKS):
                 furniture |= not (heads[-1] == "header" and (within_main or of_main))
     return furniture, main
 
@@ -234,7 +238,7 @@ class _Page:
         self.heading = tag in HEADINGS
         if tag in VOID:
             return
-        furniture, main = says(rest, top.main) if "=" in rest else (False, False)
+        furniture, main = says(rest, top.main, tag) if "=" in rest else (False, False)
         # A header within the main text holds its title; elsewhere it is the page's.
         furniture = furniture or tag in FURNITURE_TAGS or (tag == "header" and not top.main)
         main = tag in MAIN_TAGS or (main and not furniture)
@@ -268,7 +272,7 @@ SKETCHES = (
     "3/0f-! 4/100f- 12/0hm+ 12/0m+ 10/0m+ 9/0m+ 14/30m+ 12/0m+ 30/0f-! 5/0hf-! 18/0f-! 40/0f-! 6/0f-!",
     "2/100f- 2/100f- 40/0f-! 5/0hm+ 200/2m+ 7/100m+ 150/0m+ 3/100m+ 90/0m+ 55/10f-! 2/100f- 2/100f- 9/20f-!",
     "18/0f-! 2/0hm+ 3/0m+! 5/0m+! 4/0m+! 2/0m+! 6/0m+! 25/0f-! 90/0f-!",
-    "5/100f- 8/0hm+ 70/0m+ 3/100m-! 4/100m-! 3/100m-! 5/100m-! 65/0m+ 12/100m+ 50/0m+ 2/100f- 3/100f-",
+    "5/100f- 8/0hm+ 70/0m+ 3/100m+! 4/100m+! 3/100m+! 5/100m+! 65/0m+ 12/100m+ 50/0m+ 2/100f- 3/100f-",
     "1/0m+!",
     "400/1m+ 350/0m+ 500/3m+ 60/0f-! 300/0m+",
     "9/0hm+ 60/0m+ 1/0m+! 1/0b-! 2/0b-! 45/0m+ 5/0b-! 2/0m+! 3/0b-! 30/0b-! 20/0m+ 1/0m+! 12/0b-! 4/0m+! 1/0b-! 70/0b-!",
@@ -278,6 +282,14 @@ SKETCHES = (
     "60/0m+ 9/0m+",
     "22/0m+!",
     "15/100m+! 14/0m+!",
+    # short articles, and lists of links at an article's end
+    "2/100f- 3/100f- 2/0hm+! 8/0m+! 14/0f-! 2/100f-",
+    "2/0hm+! 12/0m+!",
+    "8/0m+! 10/0m+! 15/0m+!",
+    "12/0m+!",
+    "9/0hm+! 3/0m+! 6/100m+! 8/0f-!",
+    "6/0hm+ 70/0m+ 1/0hm+! 3/100m+! 9/100m+! 14/100m+! 2/100m+! 30/90m+! 5/0f-!",
+    "3/100m+!",
     # articles on pages that say nothing
     "1/100- 1/100- 1/100- 2/100- 9/0h+ 45/0+ 80/5+ 30/0+ 6/0h+ 55/0+ 90/20+ 2/100- 1/100- 3/100- 9/0-",
     "2/100- 3/100- 7/0h+ 35/10+ 60/0+ 8/0+ 45/0+ 22/0+ 5/0h+ 28/0+ 50/0+ 4/100- 6/100- 5/100- 6/0-",
@@ -285,6 +297,23 @@ SKETCHES = (
     "1/100- 2/100- 120/0+ 6/0+ 90/5+ 4/0h+ 70/0+ 12/0+ 65/0+ 30/90- 20/100- 8/50-",
     "4/0- 3/100- 3/100- 2/100- 11/0h+ 250/4+ 9/100+ 180/0+ 3/0h+ 140/0+ 2/0h- 5/100- 6/100- 4/100- 7/0-",
     "40/0+ 40/0+ 40/0+",
+    # pages of hardly more than a text
+    "1/0+",
+    "4/0+",
+    "7/0+",
+    "12/0+",
+    "30/0+",
+    "4/0+ 5/0+",
+    "5/0+ 4/0+",
+    "6/0+ 9/0+",
+    "5/0+ 7/0+ 6/0+",
+    "12/0+ 10/0+",
+    "7/0+ 16/0+",
+    "4/0h+ 11/0+",
+    "5/0h+ 12/0+ 9/0+",
+    "12/0+ 9/10+ 14/0+",
+    "3/100- 2/100-",
+    "2/100-",
     "1/100- 1/100- 70/0+ 1/0- 90/0+ 1/0- 60/0+ 2/0- 1/0- 1/0- 1/100- 1/0-",
     # pages of links, menus and small print
     "1/100- 1/100- 1/100- 1/100- 3/0h- 5/100- 6/100- 4/100- 2/0h- 3/100- 5/100- 7/100- 6/0- 4/0- 3/100-",
@@ -295,13 +324,17 @@ _SKETCHED = re.compile(r"(\d+)/(\d+)(h?)([fmb]?)([+-])(!?)")
 
 
 def labelled(sketches: tuple[str, ...] = SKETCHES) -> list[tuple[tuple[float, ...], int]]:
-    """The features and the label (1: main text) of each sketched block, as it is, and without what surroundings say unless only they can tell it."""
+    """The features and the label (1: main text) of each sketched block, as it is, and without what surroundings say unless only they can tell it.
+
+    What surroundings say weighs more than form, so each block is also listed as if they said main text, furniture, and both.
+    """
     out = []
     for sketch in sketches:
         cut = [_SKETCHED.fullmatch(x).groups() for x in sketch.split()]
         for hints in (True, False):
             found = [Block("", int(w), round(int(w) * int(d) / 100), bool(h), hints and s in ("f", "b"), hints and s in ("m", "b")) for w, d, h, s, _, _ in cut]
             out += [(x, int(c[4] == "+")) for x, c in zip(features(found), cut, strict=True) if hints or not c[5]]
+        out += [((*x[:-2], furniture, main), int(main > furniture)) for x in features(found) for furniture, main in ((0.0, 1.0), (1.0, 0.0), (1.0, 1.0))]
     return out
 
 

@@ -97,6 +97,31 @@ def test_html_elements_end_as_in_html(page, want):
     assert html_text.main_text(f"<article>{page}</article>", html_text.train(html_text.labelled())).split("\n\n") == want
 
 
+WORDS40 = "<p>" + "word " * 40 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><h1>Short news</h1><p>The bridge was closed again on Monday morning.</p></article>", ["Short news", "The bridge was closed again on Monday morning."]),
+        *((f"<article><p>{'w ' * n}</p></article>", [" ".join("w" * n)]) for n in range(1, 30)),
+        (f"<article>{WORDS40}<h2>References</h2><ul><li><a href=a>First ref</a><li><a href=b>Second</a></ul></article><footer><a href=c>Imprint</a></footer>", [" ".join(["word"] * 40), "References", "First ref", "Second"]),
+        (f'<article>{WORDS40}<p class="widget">Kept</p>{WORDS40}<div class="widget">Gone</div><p class="advert">Buy</p></article>', [" ".join(["word"] * 40), "Kept", " ".join(["word"] * 40)]),
+        ("A page that is plain text.", ["A page that is plain text."]), ("<body><p>One short paragraph here.</p><p>And a second of them.</p></body>", ["One short paragraph here.", "And a second of them."]),
+        ('<nav><a href=a>Home</a></nav><p class="widget">Weather today</p><article><p>Text</p></article>', ["Text"]),
+    ],
+)
+def test_html_short_articles_and_lists_of_links(page, want):
+    assert html_text.main_text(page, html_text.train(html_text.labelled())).split("\n\n") == want
+
+
+def test_html_surroundings_outweigh_form():
+    tree, rng = html_text.train(html_text.labelled()), random.Random(3)
+    for _ in range(20_000):
+        form = [rng.choice([0.0, 1.0, 7.0, 15.0, 60.0, 900.0]) if i % 2 == 0 else rng.random() for i in range(6)] + [float(rng.random() < 0.2)]
+        assert html_text.is_main(tree, (*form, 0.0, 1.0)) and not html_text.is_main(tree, (*form, 1.0, 0.0)) and not html_text.is_main(tree, (*form, 1.0, 1.0))
+
+
 def test_html_takes_time_in_proportion():
     tree = html_text.train(html_text.labelled())
 
