@@ -297,6 +297,8 @@ SKETCHES = (
     "1/100- 2/100- 120/0+ 6/0+ 90/5+ 4/0h+ 70/0+ 12/0+ 65/0+ 30/90- 20/100- 8/50-",
     "4/0- 3/100- 3/100- 2/100- 11/0h+ 250/4+ 9/100+ 180/0+ 3/0h+ 140/0+ 2/0h- 5/100- 6/100- 4/100- 7/0-",
     "40/0+ 40/0+ 40/0+",
+    "55/0+ 3/0+ 70/0+ 5/0+ 50/0+ 2/100- 3/100- 3/0- 2/100- 3/100-",
+    "2/100- 3/100- 40/0+ 3/0+ 45/0+ 2/0+ 60/0+ 3/0+ 64/0+ 3/0+ 90/0+ 2/0+ 100/0+ 2/100- 3/0- 2/100-",
     # pages of hardly more than a text
     "1/0+",
     "4/0+",
@@ -349,7 +351,7 @@ class Node:
     verdict: bool
 
 
-def train(rows: list[tuple[tuple[float, ...], int]], depth: int = 9) -> Node:
+def train(rows: list[tuple[tuple[float, ...], int]], depth: int = 12) -> Node:
     """A classification tree by Gini impurity; among equal splits the first feature and the smallest cut."""
     good = sum(y for _, y in rows)
     leaf = Node(-1, 0.0, None, None, 2 * good > len(rows))
