@@ -4,9 +4,11 @@ Every word position of every text gives a rolling hash of its k-gram; Spark join
 positions of the same hash in the templates (a small table of fixed size). A hit votes for the
 diagonal "text position minus template position". Votes are summed by diagonal, and diagonals that lie
 next to each other (words inserted or left out) are merged. A merged span is verified: its hits are
-aligned with the template, in order and from diagonal to neighbouring diagonal, and the share of the
-template's words that the best alignment covers, each word once, must reach MIN_COVER. Base phrases
-are templates whose every k-gram must lie on one diagonal, so each such diagonal is a place.
+aligned with the template, in order and from diagonal to neighbouring diagonal. The best alignment
+covers most template words, each once and less the words inserted between them; its share of the template's
+words must reach MIN_COVER. Of spans with different labels that lie on one another by more than half of the shorter, only
+the best stays (cover, then the longer template), so that a licence isn't told as its sibling. Base phrases
+are templates whose every k-gram must lie on one diagonal, so each such diagonal is a place; they don't compete.
 
 Defined results: a null text counts as empty: no words, no places, null first and last word, empty
 labels, score 0. Texts of any length are read whole. Rows that repeat (same id and text) each get
@@ -46,8 +48,6 @@ BASE_PHRASES = {
 LICENSE_TEXTS = {
     "apache": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "cc-by": "this work is licensed under a creative commons attribution 4 0 international license",
-    "cc-by-nc": "licensed under cc by nc 4 0",
     "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
@@ -55,6 +55,21 @@ LICENSE_TEXTS = {
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 
+# The elements of Creative Commons licences, short and long, and which of them go together.
+CC_ELEMENTS = {"nc": "noncommercial", "nd": "noderivatives", "sa": "sharealike"}
+CC_KINDS = ("", "sa", "nd", "nc", "nc sa", "nc nd")
+
+
+def creative_commons() -> dict[str, str]:
+    """Wording -> label of every kind, in the short and the long form."""
+    out = {}
+    for kind in CC_KINDS:
+        parts = kind.split()
+        label = "-".join(["cc-by", *parts])
+        out[" ".join(["licensed under cc by", *parts, "4 0"])] = label
+        out[" ".join(["this work is licensed under a creative commons attribution", *(CC_ELEMENTS[x] for x in parts), "4 0 international license"])] = label
+    return out
+
 
 @dataclass(frozen=True)
 class Template:
@@ -72,8 +87,10 @@ class Template:
         return len(self.words) - self.k + 1
 
 
-def templates(phrases: dict[str, str], texts: dict[str, str]) -> list[Template]:
+def templates(phrases: dict[str, str], texts: dict[str, str], forms: dict[str, str] | None = None) -> list[Template]:
+    """Of phrases (wording -> label), texts (label -> wording) and forms (wording -> label, where a label has several)."""
     rows = [(label, tuple(p.split()), True) for p, label in phrases.items()] + [(label, tuple(t.split()), False) for label, t in texts.items()]
+    rows += [(label, tuple(t.split()), False) for t, label in (forms or {}).items()]
     out = [Template(i, *row) for i, row in enumerate(rows)]
     if short := [t.words for t in out if t.grams < 1]:
         raise ValueError(f"templates shorter than their k: {short}")
@@ -106,34 +123,34 @@ def votes(df: DataFrame, key: str, text: str, known: list[Template]) -> DataFram
     return hits.groupBy(*by).agg(F.sort_array(F.collect_set("at")).alias("at"))  # as many as the template has, at most
 
 
-def aligned(hits: list[tuple[int, int]], k: int) -> tuple[int, int]:
-    """The most template words that hits (diagonal, template position) cover in order, each once, and the text position where that begins.
+def aligned(hits: list[tuple[int, int]], k: int) -> tuple[int, int, int]:
+    """The most template words that hits (diagonal, template position) cover in order, each once, less the words inserted between them, and the text positions where that begins and ends.
 
     A hit may follow another if it lies further on in text and template, on the same diagonal or one
-    no more than DIAGONAL_GAP away. Ties go to the earlier begin.
+    no more than DIAGONAL_GAP away; each step to a later diagonal is an inserted word. Ties go to the later begin, then to the earlier end.
     """
     spots = sorted((diagonal + at, at) for diagonal, at in hits)
     by_at: dict[int, list[tuple[int, int, int]]] = {}  # template position -> text position, words, begin of the best alignment that ends there
-    best = (0, 0)
+    best = (0, 0, 0)
     for word, at in spots:
         covered, begin = k, word
         for before, ends in by_at.items():
             if before >= at:
                 continue
             for w, n, first in reversed(ends):
-                if w < word - (at - before) - DIAGONAL_GAP:
+                step = (word - at) - (w - before)
+                if step > DIAGONAL_GAP:
                     break
-                if w < word and abs((word - at) - (w - before)) <= DIAGONAL_GAP:
-                    n += min(k, at - before, word - w)
-                    covered, begin = max((covered, -begin), (n, -first))
-                    begin = -begin
+                if w < word and step >= -DIAGONAL_GAP:
+                    n += min(k, at - before, word - w) - max(0, step)
+                    covered, begin = max((covered, begin), (n, first))
         by_at.setdefault(at, []).append((word, covered, begin))
-        best = max(best, (covered, -begin))
-    return best[0], -best[1]
+        best = max(best, (covered, begin, -word))
+    return best[0], best[1], k - best[2]
 
 
 def spans(df: DataFrame, key: str, text: str, known: list[Template]) -> DataFrame:
-    """Verified spans: key, text_hash, template, label, base, start (word), cover (share of the template's words)."""
+    """Verified spans: key, text_hash, template, label, base, start (word), cover (share of the template's words, less inserted ones)."""
     facts = df.sparkSession.createDataFrame([(t.number, t.label, t.base, t.k, t.grams, len(t.words)) for t in known], "template int, label string, base boolean, k int, all_grams int, all_words int")
     voted = votes(df, key, text, known).join(F.broadcast(facts), "template")
     named = ["key", "text_hash", "template", "label"]
@@ -148,21 +165,36 @@ def spans(df: DataFrame, key: str, text: str, known: list[Template]) -> DataFram
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts, covers = [], []
+            starts, ends, covers = [], [], []
             for k, all_words, lines in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                n, start = aligned([(x["diagonal"], at) for x in lines for at in x["at"]], k)
+                n, start, end = aligned([(x["diagonal"], at) for x in lines for at in x["at"]], k)
                 starts.append(start)
+                ends.append(end)
                 covers.append(n / all_words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts, pa.int32()), pa.array(covers, pa.float64())], names=["named", "start", "cover"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(covers, pa.float64())], names=["named", "all_words", "start", "end", "cover"])
 
     asked = merged.select(F.struct(*named).alias("named"), "k", "all_words", "lines")
-    judged = mapped(asked, verify, StructType([asked.schema["named"], *StructType.fromDDL("start int, cover double").fields])).where(F.col("cover") >= MIN_COVER)
-    return places.unionByName(judged.select("named.*", F.lit(False).alias("base"), "start", "cover"))
-
-
-def scan(df: DataFrame, key: str, text: str, phrases: dict[str, str] | None = None, texts: dict[str, str] | None = None) -> DataFrame:
-    """Per row of df: key, n_words, n_base, first_word, last_word, base_labels, labels, score (the best cover)."""
-    known = templates(BASE_PHRASES if phrases is None else phrases, LICENSE_TEXTS if texts is None else texts)
+    judged = mapped(asked, verify, StructType([asked.schema["named"], *StructType.fromDDL("all_words int, start int, end int, cover double").fields])).where(F.col("cover") >= MIN_COVER)
+    # A span's inserted words are fewer than its template's, so those that lie on it begin within twice the longest template; few do.
+    reach = 2 * max((len(t.words) for t in known), default=0)
+    near = Window.partitionBy("key", "text_hash").orderBy("start").rangeBetween(-reach, reach)
+    mine = ("label", "start", "end", "cover", "all_words")
+    rivals = judged.select("named.*", *mine[1:]).withColumn("rivals", F.collect_list(F.struct(*mine)).over(near))
+
+    def beats(x: Column) -> Column:
+        common = F.least(x["end"], F.col("end")) - F.greatest(x["start"], F.col("start"))
+        better = F.struct(x["cover"], x["all_words"], x["label"]) > F.struct("cover", "all_words", "label")
+        return (x["label"] != F.col("label")) & (2 * common > F.least(x["end"] - x["start"], F.col("end") - F.col("start"))) & better
+
+    stay = rivals.where(~F.exists("rivals", beats))
+    return places.unionByName(stay.select(*named, F.lit(False).alias("base"), "start", "cover"))
+
+
+def scan(df: DataFrame, key: str, text: str, phrases: dict[str, str] | None = None, texts: dict[str, str] | None = None, forms: dict[str, str] | None = None) -> DataFrame:
+    """Per row of df: key, n_words, n_base, first_word, last_word, base_labels, labels, score (the best cover). With texts of one's own, forms have to be given too."""
+    if forms is None:
+        forms = creative_commons() if texts is None else {}
+    known = templates(BASE_PHRASES if phrases is None else phrases, LICENSE_TEXTS if texts is None else texts, forms)
     base = F.col("base")
     listed = lambda kept: F.array_join(F.array_sort(F.collect_set(kept)), ",")  # noqa: E731  at most a label for each template
     found = spans(df, key, text, known).groupBy("key", "text_hash").agg(

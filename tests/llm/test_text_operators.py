@@ -311,14 +311,44 @@ def test_license_awkward_rows(spark):
     assert license_scan.scan(documents(spark), "doc_id", "text").count() == 0
 
 
-def best_cover(found, template, k=license_scan.TEXT_K, gap=license_scan.DIAGONAL_GAP):
-    """The share of the template's words in the best chain of k-grams that text and template have in common, tried one by one."""
+def best_chains(found, template, k=license_scan.TEXT_K, gap=license_scan.DIAGONAL_GAP):
+    """(cover, start, end) of each group of neighbouring diagonals: the chain of k-grams that text and template have in common with most words, less inserted ones, tried one by one."""
     words = template.split()
-    hits = [(p, a) for p in range(len(found) - k + 1) for a in range(len(words) - k + 1) if found[p : p + k] == words[a : a + k]]
+    hits = sorted((p, a) for p in range(len(found) - k + 1) for a in range(len(words) - k + 1) if found[p : p + k] == words[a : a + k])
+    diagonals, group = sorted({p - a for p, a in hits}), {}
+    for i, d in enumerate(diagonals):
+        group[d] = group[diagonals[i - 1]] if i and d - diagonals[i - 1] <= gap else d
     best = {}
     for p, a in hits:
-        best[p, a] = max([k, *(best[q, b] + min(k, a - b, p - q) for q, b in hits if q < p and b < a and abs((p - a) - (q - b)) <= gap)])
-    return max(best.values(), default=0) / len(words)
+        steps = [(best[q, b], (p - a) - (q - b), min(k, a - b, p - q)) for q, b in hits if q < p and b < a and abs((p - a) - (q - b)) <= gap]
+        best[p, a] = max([(k, p), *((n + new - max(0, step), first) for (n, first), step, new in steps)])
+    out = {}
+    for (p, a), (n, first) in best.items():
+        out[group[p - a]] = max(out.get(group[p - a], (0, 0, 0)), (n, first, -p))
+    return [(n / len(words), first, k - p) for n, first, p in out.values()]
+
+
+def licensed(found):
+    """Label -> best cover, of spans that no better one of another label lies on."""
+    known = [(label, t) for label, t in license_scan.LICENSE_TEXTS.items()] + [(label, t) for t, label in license_scan.creative_commons().items()]
+    spans = [(cover, len(t.split()), label, start, end) for label, t in known for cover, start, end in best_chains(found, t) if cover >= license_scan.MIN_COVER]
+    stay = [x for x in spans if not any(y[2] != x[2] and y[:3] > x[:3] and 2 * (min(x[4], y[4]) - max(x[3], y[3])) > min(x[4] - x[3], y[4] - y[3]) for y in spans)]
+    return {label: max(x[0] for x in stay if x[2] == label) for label in {x[2] for x in stay}}
+
+
+def test_license_siblings_are_told_apart(spark):
+    forms = license_scan.creative_commons()
+    assert len(forms) == 12 and len(set(forms.values())) == 6
+    rows = [(i, f"some words {text} and more of them") for i, text in enumerate(forms)] + [(99, "licensed under cc by nc nd 4 0"), (98, "this work is licensed under a creative commons attribution sharealike 4 0 international license")]
+    want = dict(enumerate(forms.values())) | {99: "cc-by-nc-nd", 98: "cc-by-sa"}
+    assert {r.doc_id: (r.labels, r.score) for r in license_scan.scan(documents(spark, rows), "doc_id", "text").collect()} == {i: (label, 1.0) for i, label in want.items()}
+
+
+def test_license_inserted_words_count(spark):
+    bsd = license_scan.LICENSE_TEXTS["bsd"].split()
+    rows = [(n, " ".join(bsd[:10] + ["odd"] * n + bsd[10:])) for n in range(6)]
+    got = {r.doc_id: r.score for r in license_scan.scan(documents(spark, rows), "doc_id", "text").collect()}
+    assert [round(got[n] * len(bsd)) for n in range(5)] == [len(bsd) - n for n in range(5)] and got[5] < got[4]  # five are more than diagonals may lie apart
 
 
 def test_license_labels_by_brute_force(spark):
@@ -327,7 +357,7 @@ def test_license_labels_by_brute_force(spark):
     for i in range(120):
         out = []
         for _ in range(rng.randint(1, 3)):
-            some = rng.choice(list(license_scan.LICENSE_TEXTS.values())).split()
+            some = rng.choice([*license_scan.LICENSE_TEXTS.values(), *license_scan.creative_commons()]).split()
             for _ in range(rng.randint(0, 6)):
                 at = rng.randrange(len(some))
                 some[at : at + rng.randint(0, 2)] = [rng.choice(["x", "the", "software"])] * rng.randint(0, 2)
@@ -338,9 +368,7 @@ def test_license_labels_by_brute_force(spark):
         rows.append((10 + i, " ".join(out)))
     texts, labelled = dict(rows), 0
     for r in license_scan.scan(documents(spark, rows), "doc_id", "text").collect():
-        found = texts[r.doc_id].split()
-        covers = {label: best_cover(found, t) for label, t in license_scan.LICENSE_TEXTS.items()}
-        good = {label: c for label, c in covers.items() if c >= license_scan.MIN_COVER}
+        good = licensed(texts[r.doc_id].split())
         base = set(filter(None, base_places(texts[r.doc_id])[4].split(",")))
         assert r.labels == ",".join(sorted({*good, *base})) and abs(r.score - max([1.0] * bool(base) + list(good.values()), default=0)) < 1e-9
         labelled += bool(good)
