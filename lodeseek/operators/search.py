@@ -3,28 +3,34 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeseek.fixed_values import BM25_AVERAGE_LENGTH, BM25_B, BM25_K1, MAX_RESULTS, RRF_K
+from lodeseek.functions import stemming
 from lodeseek.functions.scoring import cosine, idf, reciprocal_rank, saturation
+from lodeseek.operators import sparse_index
 
 #: Scores are rounded before they rank, so that the order of a sum's terms can't change a ranking.
 DIGITS = 6
 
 
-def query_terms(query: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"[a-z0-9]+", query.lower())))
+def query_terms(query: str, english: bool = False) -> list[str]:
+    """The query's distinct words; english: stems of those that aren't stop-words."""
+    found = re.findall(r"[a-z0-9]+", query.lower())
+    return list(dict.fromkeys(stemming.english(found) if english else found))
 
 
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def postings(df: DataFrame, id: str, text: str, field: str) -> DataFrame:
-    """chunk_id, field, term, tf, doc_len of every term."""
-    split = df.select(F.col(id).alias("chunk_id"), F.lit(field).alias("field"), terms(F.col(text)).alias("t"))
+def postings(df: DataFrame, id: str, text: str, field: str, english: bool = False) -> DataFrame:
+    """chunk_id, field, term, tf, doc_len of every term; english: stems of words that aren't stop-words, which lengths leave out too."""
+    words = terms(F.col(text))
+    split = df.select(F.col(id).alias("chunk_id"), F.lit(field).alias("field"), (stemming.english_terms(words) if english else words).alias("t"))
     counted = split.select("chunk_id", "field", F.size("t").alias("doc_len"), F.explode("t").alias("term")).groupBy("chunk_id", "field", "term", "doc_len").agg(F.count("*").cast("int").alias("tf"))
     return counted.select("chunk_id", "field", "term", "tf", "doc_len")
 
@@ -37,8 +43,8 @@ def bucket_of(term: Column) -> Column:
 
 
 def filed(postings: DataFrame) -> DataFrame:
-    """postings with the bucket that a store files them under."""
-    return postings.withColumn("bucket", bucket_of(F.col("term")))
+    """postings with their layer and the bucket that a store files them under."""
+    return sparse_index.layered(postings).withColumn("bucket", bucket_of(F.col("term")))
 
 
 def top(df: DataFrame, k: int, score: str = "score", id: str = "id") -> DataFrame:
@@ -77,6 +83,13 @@ def stored_scores(postings: DataFrame, field: str, texts: int, query: str, k1: f
     return weighed.groupBy(F.col("chunk_id").alias("id")).agg(F.round(F.sum(F.col("idf") * saturation(F.col("tf"), F.col("doc_len"), k1, b, average)), DIGITS).alias("score"))
 
 
+def stored_top(postings: DataFrame, field: str, texts: int, query: str, k: int, english: bool = False) -> DataFrame:
+    """The k best (id, score, rank) of filed postings, as top() of stored_scores() has them, without scoring the rows that can't be among them."""
+    asked = query_terms(query, english)
+    here = reduce(lambda x, term: x | (F.col("bucket") == bucket_of(F.lit(term))), asked, F.lit(False))  # folded, so a scan skips the other folders
+    return top(sparse_index.best(postings.where(here & (F.col("field") == field)), asked, texts, k, DIGITS), k)
+
+
 def dense_scores(df: DataFrame, id: str, vector: str, query: Column) -> DataFrame:
     """id and cosine similarity with query, a literal array or a scalar subquery's column."""
     return df.where(F.col(vector).isNotNull()).select(F.col(id).alias("id"), F.round(cosine(F.col(vector), query), DIGITS).alias("score")).where("score IS NOT NULL")
@@ -106,13 +119,13 @@ def check_arguments(query: str, top_k: int, threshold: float, hops: int | None)
         raise ValueError("hops must be 1 or more")
 
 
-def hybrid(points: DataFrame, query: str, query_vector: list[float], limit: int, threshold: float = 0.0, docs: bool = False, rrf_k: int = RRF_K, postings: DataFrame | None = None, texts: dict[str, int] | None = None) -> DataFrame:
-    """id, score over points (id, content, code[, doc, doc_vec]): two branches, four with docs. With filed postings and the number of texts by field, words are looked up there."""
+def hybrid(points: DataFrame, query: str, query_vector: list[float], limit: int, threshold: float = 0.0, docs: bool = False, rrf_k: int = RRF_K, postings: DataFrame | None = None, texts: dict[str, int] | None = None, english: bool = False) -> DataFrame:
+    """id, score over points (id, content, code[, doc, doc_vec]): two branches, four with docs. With filed postings and the number of texts by field, words (english: their stems) are looked up there."""
     literal = vector_literal(query_vector)
-    words = lambda field: bm25_scores(points, "id", field, query) if postings is None or texts is None else stored_scores(postings, field, texts[field], query)
-    branches = [top(dense_scores(points, "id", "code", literal), limit), top(words("content"), limit)]
+    words = lambda field: top(bm25_scores(points, "id", field, query), limit) if postings is None or texts is None else stored_top(postings, field, texts[field], query, limit, english)
+    branches = [top(dense_scores(points, "id", "code", literal), limit), words("content")]
     if docs:
-        branches += [top(dense_scores(points, "id", "doc_vec", literal), limit), top(words("doc"), limit)]
+        branches += [top(dense_scores(points, "id", "doc_vec", literal), limit), words("doc")]
     return fuse(branches, rrf_k, limit, threshold)
 
 

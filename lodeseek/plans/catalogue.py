@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lodeseek.fixed_values import LANGUAGE_OF_EXTENSION, RRF_K
 from lodeseek.functions import text as tx
 from lodeseek.functions.ids import chunk_id
-from lodeseek.operators import chunking, diff, graph, ignore, points, references, search
+from lodeseek.operators import chunking, diff, graph, ignore, points, references, search, sparse_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -288,6 +288,20 @@ def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.postings(_table(spark, sf_dir, "documents"), "doc_id", "text", "text")
 
 
+def layers_top(spark: SparkSession, sf_dir: str, english: bool) -> DataFrame:
+    """The best of all documents from postings in layers; those of the query's words are kept in the session's shared folder while the search reads them."""
+    docs, asked = _table(spark, sf_dir, "documents"), search.query_terms(QUERY, english)
+    held = sparse_index.layered(search.postings(docs, "doc_id", "text", "text", english).where(F.col("term").isin(*asked)))
+    if spark.conf.get("spark.checkpoint.dir", None):
+        held = held.checkpoint()
+    return search.top(sparse_index.best(held, asked, docs.where("text IS NOT NULL").count(), TOP, search.DIGITS), TOP)
+
+
+@query(f"WITH {_bm25_sql()} SELECT id, score, CAST(rank AS INT) AS rank FROM bm25_top")
+def bm25_layers_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers_top(spark, sf_dir, False)
+
+
 def _fused_sql(branches: list[str], threshold: float) -> str:
     rows = " UNION ALL ".join(f"SELECT id, rank FROM {b}" for b in branches)
     return f"fused AS (SELECT id, round(sum(1.0::DOUBLE / ({RRF_K} + rank)), 6) AS score FROM ({rows}) GROUP BY id HAVING round(sum(1.0::DOUBLE / ({RRF_K} + rank)), 6) >= {threshold} ORDER BY score DESC, id LIMIT {TOP})"

@@ -29,6 +29,8 @@ class Settings:
     within_files: bool = False
     rrf_k: int = RRF_K
     ids: str = "md5"
+    #: Words are looked up by their English stems, without stop-words.
+    english: bool = False
     ignore: tuple[str, ...] = ()
     #: Names of the models behind the services: another name asks anew.
     embed_model: str = "default"
@@ -72,7 +74,7 @@ class Engine:
         changed files only.
         """
         name, s = self.collection(path), self.settings
-        self.store.create(name, {"path": path, "vector_size": s.vector_size, "docs": s.doc_index}, force)
+        self.store.create(name, {"path": path, "vector_size": s.vector_size, "docs": s.doc_index, "english": s.english}, force)
         old = self.store.read(name, "snapshot")
         with self.store.staging(name) as stage:
             meta = stage.written(files.scan(self.spark, path, s.ignore))
@@ -111,7 +113,7 @@ class Engine:
         edges = chunking.continues_edges(cut).unionByName(graph.parent_edges(cut)).join(in_file, "source_id").dropDuplicates()
         held = ["content", "doc"] if s.doc_index else ["content"]
         of_path = fresh.select(F.col("id").alias("chunk_id"), "relative_path")
-        made = [search.filed(search.postings(fresh, "id", field, field).join(of_path, "chunk_id")) for field in held]
+        made = [search.filed(search.postings(fresh, "id", field, field, self.english(name)).join(of_path, "chunk_id")) for field in held]
         tallies = fresh.groupBy(F.col("relative_path").alias("path")).agg(F.count("content").alias("content"), F.count("doc").alias("doc"))
         out = {"points": fresh, "nodes": fresh, "edges": edges, "candidates": asked, "definitions": known, "postings": reduce(DataFrame.unionByName, made), "tallies": tallies, "snapshot": told}
         self.store.change(name, out, {CONTENT: away, FILES: silent}, facts)
@@ -165,12 +167,16 @@ class Engine:
         if not self.store.exists(name):
             raise RuntimeError(f"{path} isn't indexed")
         held, facts = self.store.read(name, "points"), self.store.facts(name)
-        ranked = search.hybrid(held, query, self.embed([query])[0], top_k, threshold, bool(facts.get("docs")), self.settings.rrf_k, self.store.read(name, "postings"), facts.get("texts"))
+        ranked = search.hybrid(held, query, self.embed([query])[0], top_k, threshold, bool(facts.get("docs")), self.settings.rrf_k, self.store.read(name, "postings"), facts.get("texts"), self.english(name))
         if max_graph_hops:
             ranked = graph.expand(ranked, self.store.read(name, "edges"), max_graph_hops, graph_limit, self.symbols(name))
             return search.results(ranked.select("id", "score"), held).join(F.broadcast(ranked.select("id", "position")), "id").orderBy("position").drop("position")
         return search.results(ranked, held).orderBy(F.desc("score"), "id")
 
+    def english(self, name: str) -> bool:
+        """How the collection's words are kept: as it was made, whatever the settings are now."""
+        return bool(self.store.facts(name).get("english"))
+
     def symbols(self, name: str) -> references.Symbols:
         return references.Symbols(self.store.read(name, "candidates"), self.store.read(name, "definitions"), self.settings.within_files)
 

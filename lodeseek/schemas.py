@@ -10,7 +10,7 @@ DEFINITION = "chunk_id string, language string, name string, owner string, file_
 CANDIDATE = "chunk_id string, language string, name string, kind string, owner string, file_path string"
 POINT = CHUNK + ", code array<float>, doc_vec array<float>, relative_path string, indexed_at timestamp"
 POSTING = "chunk_id string, field string, term string, tf int, doc_len int"
-FILED_POSTING = POSTING + ", relative_path string, bucket int"
+FILED_POSTING = POSTING + ", relative_path string, layer int, bucket int"
 SEARCH_RESULT = "content string, doc string, relative_path string, start_line int, end_line int, language string, score double"
 EDGE = "source_id string, target_id string, edge_type string"
 NODE = "id string, content string, relative_path string, start_line int, end_line int, language string, doc string"

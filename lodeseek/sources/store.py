@@ -32,6 +32,8 @@ TABLES = {
 }
 #: Tables that are dealt into folders by a column.
 FOLDERS = {"postings": "bucket", "answers": "bucket"}
+#: Tables whose files are sorted, so that a scan skips parts of them.
+SORTED = {"postings": ["bucket", "term", "layer"]}
 #: The paths that a table's rows belong to, and whether their files' content or their snapshot is meant. What is kept belongs to none.
 CONTENT, FILES, KEPT = "content", "files", "kept"
 BELONGS = {
@@ -42,7 +44,7 @@ BELONGS = {
 GONE = {CONTENT: "gone_content", FILES: "gone_files"}
 #: A segment of less than this many times the bytes that came after it is merged with them.
 GROWTH = 2
-FORMAT = 3
+FORMAT = 4
 
 
 def names(schema: str) -> list[str]:
@@ -138,7 +140,9 @@ class Store:
     def _write(self, collection: str, table: str, rows: DataFrame, version: int) -> dict:
         folder = FOLDERS.get(table)
         path = f"added={version}/attempt={uuid.uuid4().hex}"
-        writer = rows.hint("rebalance", folder).write.partitionBy(folder) if folder else rows.write
+        rows = rows.hint("rebalance", folder) if folder else rows
+        rows = rows.sortWithinPartitions(*SORTED[table]) if table in SORTED else rows
+        writer = rows.write.partitionBy(folder) if folder else rows.write
         writer.mode("errorifexists").parquet(f"{self.root}/{collection}/{table}/{path}")
         n_bytes = self._files.getContentSummary(self._path(collection, table, path)).getLength()
         return {"added": version, "last": version, "path": path, "bytes": n_bytes}

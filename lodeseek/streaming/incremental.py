@@ -34,7 +34,7 @@ def apply_batch(engine: Engine, collection: str) -> Callable[[DataFrame, int], N
 
 def start(engine: Engine, collection: str, feed: DataFrame, checkpoint: str) -> StreamingQuery:
     """Apply feed (path, content, deleted, sequence) until it is stopped."""
-    engine.store.create(collection, {"docs": engine.settings.doc_index})
+    engine.store.create(collection, {"docs": engine.settings.doc_index, "english": engine.settings.english})
     return feed.writeStream.foreachBatch(apply_batch(engine, collection)).option("checkpointLocation", checkpoint).start()
 
 
