@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodeseek.operators import parsing, references, syntax
+from lodeseek.operators import references
+from lodeseek.plans import fixtures
+from tests.conftest import SMALL
 
 CANDIDATE = "chunk_id string, language string, name string, kind string, owner string, file_path string"
 DEFINITION = "chunk_id string, language string, name string, owner string, file_path string"
@@ -48,3 +50,7 @@ def test_each_edge_comes_once(spark, within):
     }
     got = references.reference_edges(spark.createDataFrame(asked, CANDIDATE), spark.createDataFrame(known, DEFINITION), within).collect()
     assert sorted(map(tuple, got)) == sorted(wanted)
+
+
+def test_files_of_the_graph_are_parsed_once(spark):
+    assert "MapInArrow" not in fixtures.reference_graph(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
