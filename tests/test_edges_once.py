@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodeseek.operators import references
+from lodeseek.operators import parsing, references, syntax
 from lodeseek.plans import fixtures
 from tests.conftest import SMALL
 
@@ -54,3 +54,21 @@ def test_each_edge_comes_once(spark, within):
 
 def test_files_of_the_graph_are_parsed_once(spark):
     assert "MapInArrow" not in fixtures.reference_graph(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_files_are_parsed_once(spark):
+    """Chunks of each kind from one pass over the files."""
+    files = spark.createDataFrame([(f"f{i}.py", "def f():\n    return 1\n") for i in range(3)] + [("t.txt", "a\n\nb")], "path string, content string")
+    plan = parsing.chunks(files, 12, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("language", sorted(syntax.HEADS))
+def test_what_declares_nothing_is_not_cut(language):
+    assert not syntax.may_declare(language, "plain words, subclassed or prefunctional") and syntax.read(language, "p", "plain words", str) == ([], [], [])
+    for head in syntax.HEADS[language]:
+        assert syntax.may_declare(language, f"x; {head} A {{}}")
+    if language in syntax.METHODS:
+        assert syntax.may_declare(language, "a = { b() {} }")
+    if language in syntax.ARROWS:
+        assert syntax.may_declare(language, "x => x")
