@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodeseek.operators import parsing, references, syntax
+from lodeseek.operators import graph, parsing, references, syntax
 from lodeseek.plans import fixtures
 from tests.conftest import SMALL
 
@@ -72,3 +72,12 @@ def test_what_declares_nothing_is_not_cut(language):
         assert syntax.may_declare(language, "a = { b() {} }")
     if language in syntax.ARROWS:
         assert syntax.may_declare(language, "x => x")
+
+
+@pytest.mark.parametrize("walk", [graph.neighbour_nodes, graph.neighbour_edges, graph.hops])
+def test_a_walk_shuffles_no_untouched_edges(spark, walk):
+    nodes = spark.range(3000).selectExpr("concat('n', id) AS id").where("id <> 'n5'")
+    new = spark.range(2999).selectExpr("concat('n', id) AS source_id", "concat('n', id + 1) AS target_id", "if(id = 2, 'LIKES', 'USES') AS edge_type")
+    new, seeds, found = new.unionByName(new), spark.createDataFrame([("n3",), ("n9",), ("n5",), ("zz",)], "id string"), []
+    assert written_rows(spark, lambda: found.extend(map(tuple, walk(graph.Upserted(new, nodes), seeds, 2).collect()))) < 500
+    assert sorted(found) == sorted(map(tuple, walk(graph.upsert_edges(None, new, nodes), seeds, 2).collect()))
