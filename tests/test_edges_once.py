@@ -81,3 +81,11 @@ def test_a_walk_shuffles_no_untouched_edges(spark, walk):
     new, seeds, found = new.unionByName(new), spark.createDataFrame([("n3",), ("n9",), ("n5",), ("zz",)], "id string"), []
     assert written_rows(spark, lambda: found.extend(map(tuple, walk(graph.Upserted(new, nodes), seeds, 2).collect()))) < 500
     assert sorted(found) == sorted(map(tuple, walk(graph.upsert_edges(None, new, nodes), seeds, 2).collect()))
+
+
+def test_symbols_shuffle_no_untouched_candidates(spark):
+    known = spark.range(300).selectExpr("concat('k', id) AS chunk_id", "'py' AS language", "concat('w', id % 7) AS name", "cast(null AS string) AS owner", "concat('f', id) AS file_path")
+    asked = known.crossJoin(spark.range(40)).selectExpr("chunk_id", "language", "concat('w', id) AS name", "'call' AS kind", "owner", "file_path")
+    seeds, found = spark.createDataFrame([("k1",)], "id string"), []
+    assert written_rows(spark, lambda: found.extend(references.Symbols(asked, known).neighbours(seeds).collect())) < 4000
+    assert len(found) == 299
