@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Unicode white space, written out so that every engine agrees on it.
@@ -28,6 +28,16 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
+#: Rows in a batch of whole texts that goes to a Python worker: both sides hold a batch, whatever the table's size.
+TEXT_ROWS = 512
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, with batches of TEXT_ROWS rows to Python workers set for its session."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    return df
+
+
 def is_blank(text: Column) -> Column:
     return F.coalesce(strip(text) == "", F.lit(True))
 

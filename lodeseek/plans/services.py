@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.fixed_values import EMBED_BATCH, NO_DOC, VECTOR_SIZE
+from lodeseek.functions.text import in_small_batches
 
 #: From a batch of texts to a vector for each; called on executors, so it must pickle.
 Embed = Callable[[list[str]], list[list[float]]]
@@ -99,7 +100,7 @@ def embedded(df: DataFrame, text: str, to: str, embed: Embed, batch: int = EMBED
                     out[i] = v
             yield pd.Series(out, index=part.index)
 
-    return df.withColumn(to, vectors.asNondeterministic()(F.col(text)))  # a filter above must not ask again
+    return in_small_batches(df).withColumn(to, vectors.asNondeterministic()(F.col(text)))  # a filter above must not ask again
 
 
 def blank(doc: Column) -> Column:
