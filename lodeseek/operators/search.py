@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodeseek.fixed_values import BM25_AVERAGE_LENGTH, BM25_B, BM25_K1, MAX_RESULTS, RRF_K
 from lodeseek.functions import stemming
 from lodeseek.functions.scoring import cosine, idf, reciprocal_rank, saturation
+from lodeseek.functions.text import in_small_batches
 from lodeseek.operators import sparse_index
 
 #: Scores are rounded before they rank, so that the order of a sum's terms can't change a ranking.
@@ -30,6 +31,7 @@ def terms(text: Column) -> Column:
 def postings(df: DataFrame, id: str, text: str, field: str, english: bool = False) -> DataFrame:
     """chunk_id, field, term, tf, doc_len of every term; english: stems of words that aren't stop-words, which lengths leave out too."""
     words = terms(F.col(text))
+    df = in_small_batches(df) if english else df
     split = df.select(F.col(id).alias("chunk_id"), F.lit(field).alias("field"), (stemming.english_terms(words) if english else words).alias("t"))
     counted = split.select("chunk_id", "field", F.size("t").alias("doc_len"), F.explode("t").alias("term")).groupBy("chunk_id", "field", "term", "doc_len").agg(F.count("*").cast("int").alias("tf"))
     return counted.select("chunk_id", "field", "term", "tf", "doc_len")

@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodeseek.operators import graph, parsing, references, syntax
+from lodeseek.operators import graph, parsing, references, search, syntax
 from lodeseek.plans import fixtures
+from lodeseek.plans.services import embedded
 from tests.conftest import SMALL
 
 CANDIDATE = "chunk_id string, language string, name string, kind string, owner string, file_path string"
@@ -89,3 +90,11 @@ def test_symbols_shuffle_no_untouched_candidates(spark):
     seeds, found = spark.createDataFrame([("k1",)], "id string"), []
     assert written_rows(spark, lambda: found.extend(references.Symbols(asked, known).neighbours(seeds).collect())) < 4000
     assert len(found) == 299
+
+
+def test_batches_of_texts_are_small(spark):
+    sizes = spark.range(2000, numPartitions=1).selectExpr("id", "concat('running ', id) AS text")
+    for used in (lambda: embedded(sizes, "text", "code", lambda texts: [[float(len(texts))]] * len(texts)), lambda: search.postings(sizes, "id", "text", "text", True)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        used()
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
