@@ -53,6 +53,28 @@ def test_each_edge_comes_once(spark, within):
     assert sorted(map(tuple, got)) == sorted(wanted)
 
 
+@pytest.mark.parametrize("within", [False, True])
+def test_each_edge_comes_once_if_names_are_dealt(spark, monkeypatch, within):
+    for limit, value in (("BLOCK", 3), ("GROUP", 2), ("SOURCES", 8), ("PAIRS", 16), ("SAMPLE", 2)):
+        monkeypatch.setattr(references, limit, value)
+    test_each_edge_comes_once(spark, within)
+    rows = [(f"k{i}", "py", "ab"[i % 9 == 0], (None, "A", "B")[i % 3], f"f{i % 5}") for i in range(120)]
+    asked = spark.createDataFrame([(*r[:3], "call", *r[3:]) for r in rows], CANDIDATE)
+    wanted = {(c[0], d[0]) for c in rows for d in rows if c[2] == d[2] and c[0] != d[0] and (not c[3] or not d[3] or c[3] == d[3]) and (within or c[4] != d[4])}
+    got = references.reference_edges(asked, spark.createDataFrame(rows, DEFINITION), within).collect()
+    assert sorted((e.source_id, e.target_id) for e in got) == sorted(wanted)
+
+
+def test_files_of_edges_are_small(spark, tmp_path):
+    """8,000 definitions and 160 chunks that call them: 1,280,000 edges."""
+    known = spark.range(8000).selectExpr("concat('k', id) AS chunk_id", "concat('py', id % 1) AS language", "'main' AS name", "cast(null AS string) AS owner", "concat('f', id) AS file_path")
+    asked = known.where("file_path < 'f1143'").selectExpr("concat('c', chunk_id) AS chunk_id", "language", "name", "'call' AS kind", "owner", "concat('c', file_path) AS file_path")
+    references.reference_edges(asked, known).write.parquet(f"{tmp_path}/edges")
+    edges = spark.read.parquet(f"{tmp_path}/edges").count()
+    assert edges == asked.count() * 8000
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < edges * 0.3
+
+
 def test_files_of_the_graph_are_parsed_once(spark):
     assert "MapInArrow" not in fixtures.reference_graph(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
 
