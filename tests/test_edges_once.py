@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeseek.operators import graph, parsing, references, search, syntax
-from lodeseek.plans import fixtures
+from lodeseek.plans import catalogue, fixtures
 from lodeseek.plans.services import embedded
 from tests.conftest import SMALL
 
@@ -75,6 +75,16 @@ def test_files_of_edges_are_small(spark, tmp_path):
     assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < edges * 0.3
 
 
+def test_words_of_texts_are_shuffled_once(spark, tmp_path):
+    """600 texts of 40 words, each of which begins some text: about 23,000 candidates, of which two thirds have an owner and so two slots."""
+    spark.range(600).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, 39), j -> concat('harvest', translate(cast((id + j) % 40 AS string), '0123456789', 'abcdefghij'))) ) AS text", "'en' AS lang", "concat('s', id % 20) AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    found, held = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    assert written_rows(spark, lambda: found.append(catalogue.symbol_reference_join(spark, str(tmp_path)).agg(F.sum(F.length("source_id"))).collect())) < 60_000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert found[0][0][0] > 200_000
+
+
 def test_files_of_the_graph_are_parsed_once(spark):
     assert "MapInArrow" not in fixtures.reference_graph(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
 
